@@ -67,3 +67,30 @@ def text_or_empty(column: str = "text"):
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_groups(batches, keys: list[str]):
+    """Cuts a stream of batches, sorted by integer key columns, into tables that never end inside a group."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        key = tuple(c[-1] for c in cols)
+        same = np.ones(batch.num_rows, bool)
+        for c, v in zip(cols, key, strict=True):
+            same &= c == v
+        start = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
+        if start == 0 and key == last:
+            held.append(batch)
+            continue
+        whole = [*held, batch.slice(0, start)] if start else held
+        if whole:
+            yield pa.Table.from_batches(whole)
+        held, last = [batch.slice(start)], key
+    if held:
+        yield pa.Table.from_batches(held)
