@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, line_dedup, mixing, packing, pii, simhash, topk
+from . import langid, license_scan, line_dedup, mixing, packing, pii, simhash, substring_dedup, topk
 from .common import table
 
 
@@ -44,6 +44,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents"), length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 ORACLE: dict[str, str] = {
     "op1_license_scan": license_scan.oracle(),
     "op3_exact_topk": """
