@@ -1,11 +1,59 @@
-"""The corpus pipeline; its stages follow as their operators arrive."""
+"""The corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing to target weights, best-fit packing.
 
-STAGES: list = []
+Every stage takes what its predecessor kept, whole, and all but the last return the columns of documents. Between stages the
+rows are written to the folder that driver and executors share, so a lost executor never costs more than its own stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from kerbline.llm import langid, line_dedup, mixing, packing, simhash
+from kerbline.llm.common import cut, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or without a language of probability 1/2 or more go."""
+    return langid.keep_known(docs, least=0.5)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Aligned blocks go from the later document; a document goes if nothing is left of it."""
+    return line_dedup.keep_rest(docs)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by fingerprints of five-word shingles (at most 3 of 64 bits apart) the one of smallest id stays."""
+    return simhash.keep_one(docs, shingle=5, radius=3)
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are thinned by rates of at most 1 that bring the domains of the labels table to the target weights."""
+    return mixing.keep_mixed(docs, mixing.label_domains(table(spark, sf_dir, "labels")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens with their sequence and place."""
+    return packing.pack(docs, capacity=2048)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup_stage),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("mixing", mix_to_targets),
+    ("best_fit_packing", pack),
+]
+
+#: Tokenising, alignment and fitting are beyond SQL; tests/llm holds the pipeline against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pipeline over the documents table."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs, name)
     return docs

@@ -238,12 +238,15 @@ def learn(docs: DataFrame, sample_docs: int = 200, sample_chars: int = 20_000, v
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs that are named doc_id or text, and lang_pred, score."""
+    """docs, all columns, with lang_pred and score; no row moves."""
     spark = docs.sparkSession
     ship(spark)
+    old = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    docs = docs.select(*old)
     if model is None:
-        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = spark.sparkContext.broadcast(model)  # vocabulary x languages numbers, whatever the input's size
+    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "score double"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         m = shared.value
@@ -255,9 +258,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 best = sums.argmax(axis=1)
                 score = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
                 names = [m.langs[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names), pa.array(np.where(letters, score, 0.0))], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0))], [*old, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(run, shape)
 
 
 def held_out():
@@ -266,11 +269,9 @@ def held_out():
 
 def identify(docs: DataFrame, **bounds) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs, learnt from its rows that are not held out."""
-    return predict(docs, learn(docs, **bounds)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs.select(F.col("doc_id").cast("long"), "text"), learn(docs, **bounds)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def keep_known(docs: DataFrame, least: float = 0.5, **bounds) -> DataFrame:
-    """docs without the documents that have no letter or no language of at least that probability; rows keep their columns."""
-    model = learn(docs, **bounds)
-    found = predict(docs.where(F.col("doc_id").isNotNull()), model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """docs without the documents that have no letter or no language of at least that probability."""
+    return predict(docs, learn(docs, **bounds)).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
