@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, line_dedup, mixing, packing, pii, simhash, substring_dedup, topk
+from . import ann, langid, license_scan, line_dedup, mixing, packing, pii, simhash, substring_dedup, topk
 from .common import table
 
 
@@ -49,6 +49,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.vectors(table(spark, sf_dir, "embeddings"))
+    return ann.nearest(rows, F.pmod("id", F.lit(20)) == 0, k=20)
+
+
 ORACLE: dict[str, str] = {
     "op1_license_scan": license_scan.oracle(),
     "op3_exact_topk": """
