@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import cut, release, text_or_empty
 
 #: Target weights of the corpus queries, by domain of the labels table.
-TARGETS = {"high": 0.85, "low": 0.10, "toxic": 0.05}
+TARGETS = {"high": 0.92, "low": 0.04, "toxic": 0.04}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
