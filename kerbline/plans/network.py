@@ -171,7 +171,7 @@ def src2(spark, d):
     return X.road_segments(spark, d).where(geo.bbox_hit(X.coords(), -70.66, 42.35, -70.64, 42.36)).select("segment_id")
 
 
-_BOX = geo.tile_box(13, 2488, 3029)
+_BOX = geo.tile_box(13, 2488, 3030)
 
 
 @query("pf4_tile_bbox", f"SELECT segment_id FROM v_road_segments WHERE greatest(start_lon, mid_lon, end_lon) >= {_BOX[0]!r} AND least(start_lon, mid_lon, end_lon) <= {_BOX[2]!r} AND greatest(start_lat, mid_lat, end_lat) >= {_BOX[1]!r} AND least(start_lat, mid_lat, end_lat) <= {_BOX[3]!r}")
