@@ -105,14 +105,17 @@ def revealing(holders: DataFrame, docs: DataFrame, disclosure: float = 0.9, supp
     pairs = cut(pairs, "pairs")
     n_e = entity.select("e", "doc_id").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
     n_te = pairs.groupBy("t", "e", "content").agg(F.count("*").alias("n")).groupBy("t", "e").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= support)
-    n_te = cut(n_te, "joint")
+    n = float(docs.count())
+    ic = F.log2(F.lit(n) / F.col("n_e"))
+    # PMI >= disclosure * IC bounds n_t from above; the documents with t in any window bound it from below, so most terms need no look at the corpus
+    n_w = pairs.select("t", "doc_id").distinct().groupBy("t").agg(F.count("*").alias("n_w"))
+    most = F.col("n_te") * F.pow(F.lit(n) / F.col("n_e"), F.lit(1 - disclosure)) * (1 + 1e-9)
+    joint = cut(n_te.join(n_e, "e").join(n_w, "t").where((ic > 0) & (F.col("n_w") <= most)).drop("n_w"), "joint")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("t"))
-    n_t = words.groupBy("t").agg(F.count("*").alias("n_t")).join(n_te.select("t").distinct(), "t", "left_semi")
-    n = docs.count()
-    known = n_te.join(n_e, "e").join(n_t, "t")
-    ic = F.log2(F.lit(float(n)) / F.col("n_e"))
-    pmi = F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
-    strong = known.where((ic > 0) & (pmi >= disclosure * ic)).select("t", "e")
+    n_t = words.groupBy("t").agg(F.count("*").alias("n_t")).join(joint.select("t").distinct(), "t", "left_semi")
+    known = joint.join(n_t, "t")
+    pmi = F.log2(F.col("n_te") * F.lit(n) / (F.col("n_t") * F.col("n_e")))
+    strong = known.where(pmi >= disclosure * ic).select("t", "e")
     return pairs.join(strong, ["t", "e"]).groupBy("doc_id").agg(F.array_sort(F.collect_set("t")).alias("terms"))
 
 
