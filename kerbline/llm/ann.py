@@ -67,7 +67,7 @@ def best(edges: DataFrame, degree: int) -> DataFrame:
     return one.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= degree)
 
 
-def first_graph(codes: DataFrame, n: int, width: int, trees: int = 6, bucket: int = 512, keep: int = 12, seed: int = 7) -> DataFrame:
+def first_graph(codes: DataFrame, n: int, width: int, trees: int = 24, bucket: int = 1024, keep: int = 10, seed: int = 7) -> DataFrame:
     """Proposed edges from random-hyperplane buckets."""
     bits = max(0, math.ceil(math.log2(max(1, n / bucket))))
     planes = np.random.default_rng(seed).standard_normal((trees, bits, width)).astype(np.float32)
@@ -147,7 +147,7 @@ def introduce(graph: DataFrame, codes: DataFrame, forward: int, backward: int, k
     return groups.mapInArrow(run, EDGE)
 
 
-def build(codes: DataFrame, degree: int = 40, forward: int = 24, backward: int = 12, keep: int = 6, rounds: int = 5, settle: float = 0.02, **start) -> DataFrame:
+def build(codes: DataFrame, degree: int = 56, forward: int = 40, backward: int = 16, keep: int = 8, rounds: int = 5, settle: float = 0.02, **start) -> DataFrame:
     """The neighbour graph: id, dst, sim, fresh, rn. codes: as of encode(), cheap to read again."""
     ship(codes.sparkSession)
     n, size = codes.agg(F.count("*"), F.max(F.octet_length("code"))).first()
@@ -177,7 +177,7 @@ def _score(pairs: DataFrame, asked: DataFrame, codes: DataFrame) -> DataFrame:
     return full.select("q", "dst", "code", "qcode").mapInArrow(run, "q long, dst long, sim float")
 
 
-def search(graph: DataFrame, codes: DataFrame, asked: DataFrame, pool: int = 48, width: int = 12, hops: int = 2, entries: int = 64) -> DataFrame:
+def search(graph: DataFrame, codes: DataFrame, asked: DataFrame, pool: int = 96, width: int = 24, hops: int = 4, entries: int = 64) -> DataFrame:
     """q, dst, sim: the best ``pool`` candidates of each query. asked: (id, code); a query never finds the row with its id."""
     doors = codes.select("id").orderBy(F.xxhash64("id"), "id").limit(entries)
     start = asked.select(F.col("id").alias("q")).crossJoin(F.broadcast(doors.select(F.col("id").alias("dst"))))  # entries rows a query
@@ -210,7 +210,7 @@ def nearest(rows: DataFrame, asked, k: int = 20, **options) -> DataFrame:
     rows = cut(rows, "vectors")
     codes = cut(encode(rows), "codes")
     graph = build(codes, **options)
-    found = search(graph, codes, codes.where(asked), pool=max(48, 2 * k))
+    found = search(graph, codes, codes.where(asked), pool=max(96, 4 * k))
     exact = found.select("q", "dst").join(rows.select(F.col("id").alias("dst"), F.col("v").alias("cv")), "dst").join(rows.where(asked).select(F.col("id").alias("q"), F.col("v").alias("qv")), "q")
     exact = exact.select(F.col("q").alias("query_id"), F.col("dst").alias("vec_id"), dot(F.col("qv"), F.col("cv")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
