@@ -117,32 +117,32 @@ def introduce(graph: DataFrame, codes: DataFrame, forward: int, backward: int, k
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
-            m = b.column("m")
-            flat = m.flatten()
-            size = m.value_lengths().to_numpy()
-            ids, fresh, worst = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("id", "fresh", "worst"))
-            x = _codes(flat.field("code"), len(flat))
-            out: tuple[list, list, list] = ([], [], [])
-            at = 0
-            for n in size.tolist():
-                own = slice(at, at + n)
-                at += n
-                if n < 2 or not fresh[own].any():
-                    continue
-                sim = x[own] @ x[own].T
-                f = fresh[own].astype(bool)
-                sim[~(f[:, None] | f[None, :])] = -np.inf
-                np.fill_diagonal(sim, -np.inf)
-                sim[sim <= worst[own][:, None]] = -np.inf
-                k = min(keep, n - 1)
-                near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-                s = np.take_along_axis(sim, near, 1)
-                i, j = np.nonzero(np.isfinite(s))
-                out[0].append(ids[own][i])
-                out[1].append(ids[own][near[i, j]])
-                out[2].append(s[i, j])
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["id", "dst", "sim"])
+            for start in range(0, b.num_rows, 500):
+                m = b.slice(start, 500).column("m")
+                flat = m.flatten()
+                ids, fresh, worst = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("id", "fresh", "worst"))
+                x = _codes(flat.field("code"), len(flat))
+                out: tuple[list, list, list] = ([], [], [])
+                at = 0
+                for n in m.value_lengths().to_pylist():
+                    own = slice(at, at + n)
+                    at += n
+                    if n < 2 or not fresh[own].any():
+                        continue
+                    sim = x[own] @ x[own].T
+                    f = fresh[own].astype(bool)
+                    sim[~(f[:, None] | f[None, :])] = -np.inf
+                    np.fill_diagonal(sim, -np.inf)
+                    sim[sim <= worst[own][:, None]] = -np.inf
+                    k = min(keep, n - 1)
+                    near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+                    s = np.take_along_axis(sim, near, 1)
+                    i, j = np.nonzero(np.isfinite(s))
+                    out[0].append(ids[own][i])
+                    out[1].append(ids[own][near[i, j]])
+                    out[2].append(s[i, j])
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["id", "dst", "sim"])
 
     return groups.mapInArrow(run, EDGE)
 
