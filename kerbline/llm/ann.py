@@ -179,8 +179,8 @@ def _score(pairs: DataFrame, asked: DataFrame, codes: DataFrame) -> DataFrame:
 
 def search(graph: DataFrame, codes: DataFrame, asked: DataFrame, pool: int = 96, width: int = 24, hops: int = 4, entries: int = 64) -> DataFrame:
     """q, dst, sim: the best ``pool`` candidates of each query. asked: (id, code); a query never finds the row with its id."""
-    doors = codes.select("id").orderBy(F.xxhash64("id"), "id").limit(entries)
-    start = asked.select(F.col("id").alias("q")).crossJoin(F.broadcast(doors.select(F.col("id").alias("dst"))))  # entries rows a query
+    doors = [F.lit(r["id"]) for r in codes.select("id").orderBy(F.xxhash64("id"), "id").limit(entries).collect()]
+    start = asked.select(F.col("id").alias("q"), F.explode(F.array(*doors).cast("array<bigint>")).alias("dst"))
     own = graph.join(asked.select("id"), "id", "left_semi").select(F.col("id").alias("q"), "dst", "sim", F.lit(0).alias("done"))
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "dst")
 
