@@ -197,8 +197,8 @@ def repeated_anchors(base: DataFrame, length: int) -> DataFrame:
             again = np.append(same[1:], False)  # the first of several in this batch: stands for them under its key
             state = np.zeros(len(h), np.int8)
             state[order] = np.where(same, 2, np.where(again, 1, 0))
-            key = np.where(state == 2, place * 31 + ids, h)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, h, ids, place * 4 + state)], ["key", "h", "doc_id", "place"])
+            key = np.where(state == 2, place * 31 + ids, h)  # what is known to repeat needs no meeting place
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids, place * 4 + state)], ["h", "doc_id", "place"])
 
     def known(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for t in whole_groups(batches, ["h"]):
@@ -209,8 +209,8 @@ def repeated_anchors(base: DataFrame, length: int) -> DataFrame:
             keep = ~asked | (count[inverse] > 1)
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(place[keep] // 4)], ["doc_id", "place"])
 
-    found = base.select("doc_id", "text").mapInArrow(probe, "key long, h long, doc_id long, place long")
-    dealt = found.repartition(parts(base.sparkSession), "key").select("h", "doc_id", "place").sortWithinPartitions("h")
+    found = base.select("doc_id", "text").mapInArrow(probe, "h long, doc_id long, place long")
+    dealt = found.repartition(parts(base.sparkSession), "h").sortWithinPartitions("h")
     return dealt.mapInArrow(known, "doc_id long, place long")
 
 
@@ -340,16 +340,19 @@ def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     ship(docs.sparkSession)
     if length <= GRAM or length > GRAM + 126:
         raise ValueError(f"lengths from {GRAM + 1} to {GRAM + 126} bytes")
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    ids = "doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")  # a needless alias would keep Spark from reusing the exchange
+    text = docs.select(ids, text_or_empty().alias("text"))
     base = text.where(F.col("doc_id").isNotNull()).withColumn("content", F.xxhash64("text"))
     prints = base.where(F.octet_length("text") >= length).select("doc_id", "content", F.md5("text").alias("md5"), F.octet_length("text").cast("long").alias("size"))
     first = prints.groupBy("md5", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = prints.join(first, ["md5", "size"]).where("doc_id > first").select("doc_id", "content", F.lit(0).cast("long").alias("s"), F.col("size").alias("e")).distinct()
-    anchored = repeated_anchors(base, length).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    rows = base.join(anchored, "doc_id").join(copies.select("doc_id", "content"), ["doc_id", "content"], "left_anti")
+    # the text moves once: both joins need it dealt by doc_id, and Spark reuses the exchange; contents tell rows of one id apart
+    copied = copies.groupBy("doc_id").agg(F.collect_set("content").alias("copied"))
+    anchored = repeated_anchors(base, length).groupBy("doc_id").agg(F.collect_list("place").alias("places")).join(copied, "doc_id", "left")
+    rows = base.join(anchored, "doc_id").where(~F.coalesce(F.array_contains("copied", F.col("content")), F.lit(False)))
     gone = removals(contexts(rows.select("doc_id", "text", "content", "places"), length), length).unionByName(copies)
-    gone = gone.groupBy("doc_id", "content").agg(F.collect_list(F.struct("s", "e")).alias("gone")).select(F.col("doc_id").alias("id"), F.col("content").alias("of"), "gone")
-    every = base.join(gone, (base.doc_id == F.col("id")) & (base.content == F.col("of")), "left").select("doc_id", "text", "gone")
+    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("content", "s", "e")).alias("all"))
+    every = base.join(gone, "doc_id", "left").select("doc_id", "text", F.transform(F.filter("all", lambda g: g["content"] == F.col("content")), lambda g: F.struct(g["s"], g["e"])).alias("gone"))
     every = every.unionByName(text.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<struct<s:bigint,e:bigint>>").alias("gone")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
