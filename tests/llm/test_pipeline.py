@@ -14,7 +14,7 @@ def test_pipeline(spark, tmp_path):
     rng = random.Random(3)
     texts = [text(rng) for _ in range(60)]
     near = texts[7] + " more"
-    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, texts[5], near, "123 !", None, texts[1] + "\n" + texts[2] + "\n" + text(rng)])]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate([*texts, texts[5], near, "123 !", None, texts[1] + "\n" + texts[2] + "\n" + text(rng)])]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
