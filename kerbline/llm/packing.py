@@ -40,7 +40,7 @@ class Encoder:
     ASCII punctuation go to the tokenizer one by one, as do those with characters that normalisation might compose.
     """
 
-    def __init__(self, path: str, room: int = 500_000):
+    def __init__(self, path: str, room: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tk, self.room = Tokenizer.from_file(path), room
@@ -93,7 +93,7 @@ class Encoder:
         if missing:
             stems = {}
             for w in missing:  # closing punctuation is a pre-token of its own
-                stem = w.rstrip(".,")
+                stem = w.rstrip(_TAIL)
                 if stem != w and _splits(stem, w[len(stem) :]):
                     stems[w] = (stem, w[len(stem) :])
             bare = missing.difference(stems).union(*stems.values())
@@ -116,6 +116,8 @@ def _latin(text: str) -> bool:
     return True
 
 
+#: Marks that form one pre-token after a letter; none of them takes part in a contraction or a special token.
+_TAIL = '.,!?;:%*#$&()"'
 #: A full stop or comma before white space whose own pre-token may have begun before it.
 _MARKS = re.compile(r"[^\sa-z0-9\xdf-\xf6\xf8-\xff][.,]\s")
 
