@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbline.llm import langid, line_dedup, mixing, packing, simhash
+from kerbline.llm import langid, line_dedup, mixing, near, packing
 from kerbline.llm.common import cut, table
 
 
@@ -23,8 +23,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints of five-word shingles (at most 3 of 64 bits apart) the one of smallest id stays."""
-    return simhash.keep_one(docs, shingle=5, radius=3)
+    """Of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles the one of smallest id stays."""
+    return near.keep_one(docs, shingle=5, least=0.8, radius=3)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
