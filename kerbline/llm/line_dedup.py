@@ -11,8 +11,8 @@ blocks are deleted from the later document (larger doc_id). Three choices keep t
 
 The alignment of a pair is the longest run of shared keys whose positions increase in both documents (patience sorting). A
 block is a maximal stretch of it that is contiguous in both, blank lines aside. A block is deleted if it has at least
-``min_chars`` characters and either ``min_lines`` lines or a rare line (one that at most ``rare`` documents hold); a frequent
-line that stands alone is boilerplate of its own kind and stays. A document all of whose lines align as one block goes whole.
+``min_chars`` characters, however many documents hold it. A document all of whose lines align as one block goes whole.
+``rare`` (none by default) additionally asks a block of fewer than ``min_lines`` lines for a line that at most so many hold.
 
 Defined cases: null text is empty; blank lines never match and stay where lines around them stay; a document without a
 doc_id is never changed; rows that repeat a doc_id are treated alike and never matched with one another.
@@ -76,7 +76,7 @@ def blocks(pairs: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def removable(lines: list[str], shared: Iterable[tuple[int, int, int, int]], rare: int, min_lines: int, min_chars: int) -> list[list[int]]:
+def removable(lines: list[str], shared: Iterable[tuple[int, int, int, int]], rare: int | None, min_lines: int, min_chars: int) -> list[list[int]]:
     """Blocks to delete. lines: the non-blank ones; shared: (position, earlier document, position there, documents that hold it)."""
     by_doc: dict[int, dict[int, int]] = defaultdict(dict)
     held: dict[int, int] = {}
@@ -88,7 +88,7 @@ def removable(lines: list[str], shared: Iterable[tuple[int, int, int, int]], rar
         for b in blocks(increasing(sorted(by_doc[a].items()))):
             if len(b) == len(lines):
                 out.append(b)
-            elif sum(len(lines[p]) for p in b) >= min_chars and (len(b) >= min_lines or any(held[p] <= rare for p in b)):
+            elif sum(len(lines[p]) for p in b) >= min_chars and (rare is None or len(b) >= min_lines or any(held[p] <= rare for p in b)):
                 out.append(b)
     return out
 
@@ -111,7 +111,7 @@ def line_keys(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, pos int, key long")
 
 
-def dedup(docs: DataFrame, rare: int = 64, min_lines: int = 2, min_chars: int = 40) -> DataFrame:
+def dedup(docs: DataFrame, rare: int | None = None, min_lines: int = 2, min_chars: int = 40) -> DataFrame:
     """docs with text without the deleted blocks (null stays null), and n_lines, n_removed, n_blocks (long)."""
     lines = line_keys(docs)
     first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1")
