@@ -1,16 +1,20 @@
 """Line deduplication by pairwise alignment.
 
-Overlapping documents are found through the hashes of the lines they share, aligned with patience diff, and aligned common
+Overlapping documents are found through the hashes of the windows they share, aligned with patience diff, and aligned common
 blocks are deleted from the later document (larger doc_id). Three choices keep the work in proportion to the lines:
 
-* A line shared by many documents is attributed to the first document that holds it, so a group of n copies makes n - 1
-  pairs and not n squared. Copies of a third of all rows are no exception, and no line is left out for being frequent.
-* A line's key holds its occurrence number within its document. Every key is then unique in its document, as patience diff
-  wants its anchors, and the second of two equal lines aligns with the second one there.
+* A window is as many consecutive lines as reach ``min_chars`` characters, from its first line on or back from its last. The
+  lines fix where it ends, so every document with the block has the same windows there, and together they cover the block.
+* A window shared by many documents is attributed to the first place that holds it, so a group of n copies makes n - 1 pairs
+  and not n squared. Nothing is lost by that: whatever earlier document a block is common with, each of its windows stands
+  whole in its first place, in an earlier document too. No window is left out for being frequent.
 * What two documents share is already in the rows that meet on the key (both positions), so no other text moves.
 
-The alignment of a pair is the longest run of shared keys whose positions increase in both documents (patience sorting). A
-block is a maximal stretch of it that is contiguous in both, blank lines aside. A block is deleted if it has at least
+Windows of fewer characters are keys only for documents that are no longer than that as a whole.
+
+The alignment of a pair is the longest run of shared lines whose positions increase in both documents (patience sorting). A
+block is a maximal stretch of it that is contiguous in both, blank lines aside; stretches across the alignment (sections that
+stand in another order, or twice) are blocks after these. A block is deleted if it has at least
 ``min_chars`` characters, however many documents hold it. A document all of whose lines align as one block goes whole.
 ``rare`` (none by default) additionally asks a block of fewer than ``min_lines`` lines for a line that at most so many hold.
 
@@ -32,16 +36,26 @@ from pyspark.sql import functions as F
 from .common import ship, text_or_empty
 
 
-def keys(text: str) -> list[tuple[int, int]]:
-    """(index of the line among all lines, signed key) of every line that isn't blank."""
-    seen: dict[str, int] = defaultdict(int)
+def windows(lines: list[str], least: int) -> list[tuple[int, int, int, bool]]:
+    """(position, lines, signed key, whether to look it up) of the windows of the non-blank lines."""
+    found: dict[tuple[int, int], bool] = {}
+    n, sizes = len(lines), list(map(len, lines))
+    for p in range(n):
+        total, k = 0, 0
+        while total < least and p + k < n:
+            total += sizes[p + k]
+            k += 1
+            found[p, k] = total >= least or k == n
+        total, k = 0, 0
+        while total < least and k <= p:
+            total += sizes[p - k]
+            k += 1
+        if total >= least:
+            found[p - k + 1, k] = True
     out = []
-    for i, line in enumerate(text.split("\n")):
-        line = line.strip()
-        if line:
-            seen[line] += 1
-            h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), seen[line])
-            out.append((i, h - (1 << 64) if h >> 63 else h))
+    for (p, k), ask in found.items():
+        h = xxhash.xxh64_intdigest("\n".join(lines[p : p + k]).encode("utf-8", "surrogatepass"))
+        out.append((p, k, h - (1 << 64) if h >> 63 else h, ask))
     return out
 
 
@@ -76,47 +90,57 @@ def blocks(pairs: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def stretches(pairs: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """All stretches of pairs that are contiguous in both documents, in whatever order, as positions in the later one."""
+    return blocks(sorted(pairs, key=lambda x: (x[1] - x[0], x[0])))
+
+
 def removable(lines: list[str], shared: Iterable[tuple[int, int, int, int]], rare: int | None, min_lines: int, min_chars: int) -> list[list[int]]:
-    """Blocks to delete. lines: the non-blank ones; shared: (position, earlier document, position there, documents that hold it)."""
-    by_doc: dict[int, dict[int, int]] = defaultdict(dict)
-    held: dict[int, int] = {}
+    """Disjoint blocks to delete. lines: the non-blank ones; shared: (position, earlier document, position there, how often it is held)."""
+    by_doc: dict[int, set[tuple[int, int]]] = defaultdict(set)
+    held: dict[int, int] = defaultdict(int)
     for p, a, q, n in shared:
-        by_doc[a][p] = q
-        held[p] = n
-    out = []
+        by_doc[a].add((p, q))
+        held[p] = max(held[p], n)
+    out: list[list[int]] = []
+    done: set[int] = set()
     for a in sorted(by_doc):
-        for b in blocks(increasing(sorted(by_doc[a].items()))):
-            if len(b) == len(lines):
-                out.append(b)
-            elif sum(len(lines[p]) for p in b) >= min_chars and (rare is None or len(b) >= min_lines or any(held[p] <= rare for p in b)):
-                out.append(b)
+        aligned = increasing(sorted(by_doc[a], key=lambda x: (x[0], -x[1])))
+        for b in [*blocks(aligned), *stretches(by_doc[a])]:
+            new = [p for p in b if p not in done]
+            enough = sum(len(lines[p]) for p in b) >= min_chars and (rare is None or len(b) >= min_lines or any(held[p] <= rare for p in b))
+            if new and (enough or len(b) == len(lines)):
+                out.append(new)
+                done.update(new)
     return out
 
 
-def line_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (among the lines that aren't blank), key."""
+def line_keys(docs: DataFrame, least: int) -> DataFrame:
+    """doc_id, pos (among the lines that aren't blank), size, key, ask: the windows of all rows."""
     ship(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
-            ids, pos, key = [], [], []
+            ids, found = [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                own = [k for _, k in keys(text)]
+                own = windows([x for x in map(str.strip, text.split("\n")) if x], least)
                 ids += [doc] * len(own)
-                pos += range(len(own))
-                key += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(key, pa.int64())], ["doc_id", "pos", "key"])
+                found += own
+            cols = list(zip(*found, strict=True)) or [()] * 4
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+            arrays = [pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "pos", "size", "key", "ask"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, pos int, key long")
+    return rows.mapInArrow(run, "doc_id long, pos int, size int, key long, ask boolean")
 
 
 def dedup(docs: DataFrame, rare: int | None = None, min_lines: int = 2, min_chars: int = 40) -> DataFrame:
     """docs with text without the deleted blocks (null stays null), and n_lines, n_removed, n_blocks (long)."""
-    lines = line_keys(docs)
+    lines = line_keys(docs, max(1, min_chars))
     first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1")
     first = first.select("key", F.col("f.doc_id").alias("a"), F.col("f.pos").alias("q"), "n")
-    shared = lines.join(first, "key").where("a < doc_id").groupBy(F.col("doc_id").alias("shared_by")).agg(F.collect_list(F.struct("pos", "a", "q", "n")).alias("shared"))
+    shared = lines.where("ask").join(first, "key").where("a < doc_id").groupBy(F.col("doc_id").alias("shared_by")).agg(F.collect_list(F.struct("pos", "size", "a", "q", "n")).alias("shared"))
     ids = F.col("doc_id").cast("long")
     old = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_blocks")]
     rows = docs.select(*old).join(shared, ids == F.col("shared_by"), "left").select(*old, F.col("text").alias("whole_text"), "shared")
@@ -130,7 +154,7 @@ def dedup(docs: DataFrame, rare: int | None = None, min_lines: int = 2, min_char
             for i, (t, shared) in enumerate(zip(texts, found, strict=True)):
                 whole = (t or "").split("\n")
                 real = [k for k, x in enumerate(whole) if x.strip()]
-                gone = removable([whole[k].strip() for k in real], ((s["pos"], s["a"], s["q"], s["n"]) for s in shared), rare, min_lines, min_chars) if shared else []
+                gone = removable([whole[k].strip() for k in real], ((s["pos"] + k, s["a"], s["q"] + k, s["n"]) for s in shared for k in range(s["size"])), rare, min_lines, min_chars) if shared else []
                 drop = {real[p] for x in gone for p in x}
                 if len(drop) == len(real) and drop:
                     texts[i] = ""

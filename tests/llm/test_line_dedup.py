@@ -1,5 +1,7 @@
 """Line dedup: what an earlier document holds goes, at any frequency and wherever it stands there."""
 
+import random
+
 from kerbline.llm import line_dedup
 
 
@@ -8,3 +10,30 @@ def test_a_frequent_passage_goes(spark):
     rows = [(i, f"first {i} own line\n{passage}\nlast {i} own line") for i in range(90)]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: t if i == 0 else f"first {i} own line\nlast {i} own line" for i, t in rows}
+
+
+def plain(rows, least=40):
+    """Texts without every stretch of lines, long enough or a whole document, that some earlier document holds."""
+    out = {}
+    lines = {d: t.split("\n") for d, t in rows}
+    for d, own in lines.items():
+        gone = set()
+        for i in range(len(own)):
+            for j in range(i + 1, len(own) + 1):
+                if sum(map(len, own[i:j])) >= least or j - i == len(own):
+                    if any(e < d and other[k : k + j - i] == own[i:j] for e, other in lines.items() for k in range(len(other))):
+                        gone.update(range(i, j))
+        out[d] = "\n".join(x for k, x in enumerate(own) if k not in gone)
+    return out
+
+
+def test_blocks_of_any_earlier_document(spark):
+    x, y, z = "a line of twenty three", "a second line of thirty", "and a third line there"
+    rows = [(1, f"{x}\none"), (2, f"two\n{y}"), (3, f"{x}\n{y}\nthree"), (4, f"four\n{x}\n{y}\nfour")]  # both lines stand in others before 3
+    rows += [(5, f"{x}\n{z}\n{x}\n{y}\n5"), (6, f"{z}\n{x}\n6\n{x}\n{y}\n66\n{x}\n{z}"), (7, "5"), (8, "4\n5"), (9, "3\n4\n5\n6"), (10, "4\n5")]
+    rng = random.Random(22)
+    pool = ["".join(rng.choice("abc") for _ in range(rng.choice((3, 9, 17, 26, 45)))) for _ in range(14)]
+    rows += [(20 + i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))) for i in range(80)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[4] == "four\nfour"
+    assert got == plain(rows)
