@@ -28,7 +28,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are thinned by rates of at most 1 that bring the domains of the labels table to the target weights."""
+    """Documents of unwanted domains are thinned down to the target weights; mainly clean ones stay, however scarce the others are."""
     return mixing.keep_mixed(docs, mixing.label_domains(table(spark, sf_dir, "labels")))
 
 

@@ -21,7 +21,7 @@ rate each; an empty table gives no rows. Targets name the domains: labels of oth
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,15 +132,53 @@ def fit(soft: DataFrame, targets: Mapping[str, float], max_rate: float | None =
     return rows
 
 
+def thin(soft: DataFrame, targets: Mapping[str, float], wanted: Collection[str], rounds: int = 40, hold: int = 12, tolerance: float = 1e-6) -> DataFrame:
+    """Adds rate (at most 1) to soft, which must be cheap to read again: the targets of domains that aren't wanted are upper bounds.
+
+    Documents that belong mainly to wanted domains have rate 1. The others lose, by their memberships, what the domains beyond
+    their bounds have too much of the words that stay; a scarce domain costs nothing.
+    """
+    limited = [d for d in targets if d not in wanted]
+    rows = soft.withColumn("rate", F.lit(1.0))
+    if not limited:
+        return rows
+    n, p = F.col("n"), [F.coalesce(f"p_{d}", F.lit(0.0)) for d in limited]
+    clean = sum((F.coalesce(f"p_{d}", F.lit(0.0)) for d in targets if d in wanted), F.lit(0.0))
+    free = F.greatest(F.lit(0.0), *p) > clean
+    bound = [targets[d] / sum(targets.values()) for d in limited]
+    live = F.when(free & (F.col("rate") > 0), n).otherwise(0) * sum(p, F.lit(0.0))
+    written = None
+    for k in range(rounds):
+        now = rows.agg(F.sum(F.col("rate") * n).alias("all"), *(F.sum(F.col("rate") * n * x).alias(f"t{i}") for i, x in enumerate(p)), *(F.sum(live * x).alias(f"g{i}") for i, x in enumerate(p))).first()
+        total = now["all"] or 0.0
+        over = [max(0.0, (now[f"t{i}"] or 0.0) - b * total) for i, b in enumerate(bound)]
+        step = [x / now[f"g{i}"] if now[f"g{i}"] else 0.0 for i, x in enumerate(over)]
+        if max(over) <= tolerance * total or not any(step):
+            break
+        less = F.greatest(F.lit(0.0), F.col("rate") - sum((x * F.lit(s) for x, s in zip(p, step, strict=True)), F.lit(0.0)))
+        rows = rows.withColumn("rate", F.when(free, less).otherwise(1.0))
+        if k % hold == hold - 1:
+            old, written = written, cut(rows, "rates")
+            rows = written
+            if old is not None:
+                release(old)
+    return rows
+
+
+def copied(rows: DataFrame) -> DataFrame:
+    """Adds copies: rate, rounded up or down by the hashed id."""
+    chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+
+
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, max_rate: float | None = None, budget: float | None = None, **bounds) -> DataFrame:
     """doc_id, n, p_<domain>, rate, copies: how often to take the document (rate, rounded up or down by its hashed id)."""
     soft = cut(posteriors(docs, labelled, list(targets), **bounds), "posteriors")
-    rows = fit(soft, targets, max_rate, budget)
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    return copied(fit(soft, targets, max_rate, budget))
 
 
-def keep_mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, **options) -> DataFrame:
-    """docs thinned so that the expected words of the domains stand in the targets' proportions; no document is repeated."""
-    gone = mix(docs, labelled, targets, max_rate=1.0, **options).where("copies = 0 and doc_id is not null").select("doc_id").distinct()
+def keep_mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, wanted: Collection[str] = ("high",), **bounds) -> DataFrame:
+    """docs thinned so that no domain but the wanted ones has more than its target of the expected words; no document is repeated."""
+    soft = cut(posteriors(docs, labelled, list(targets), **bounds), "posteriors")
+    gone = copied(thin(soft, targets, wanted)).where("copies = 0 and doc_id is not null").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
