@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, text_or_empty
+from .common import cut, release, ship, text_or_empty
 from .components import components
 from .simhash import SEED, fingerprint, link_classes
 
@@ -56,44 +56,66 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, c (of the words), fp, keys, grams: one row for each row of docs that has a doc_id."""
+def _class(text: bytes) -> int:
+    return xxhash.xxh64_intdigest(b" ".join(text.lower().split()))
+
+
+def _signed(x: list[int]) -> pa.Array:
+    return pa.array(np.array(x, np.uint64).view(np.int64))
+
+
+def marked(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, c (of the words), fp, keys: one row for each row of docs that has a doc_id."""
     ship(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
-            c, fp, keys, grams = [], [], [], []
-            for t in b.column("text").cast(pa.binary()).to_pylist():
-                h = shingles(t, shingle)
-                c.append(xxhash.xxh64_intdigest(b" ".join(t.lower().split())))
-                fp.append(fingerprint(t, shingle))
-                keys.append(bands(h))
-                grams.append(h.tobytes())
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (c, fp)]
-            listed = pa.array([k.tolist() for k in keys], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *longs, listed, pa.array(grams, pa.binary())], ["doc_id", "c", "fp", "keys", "grams"])
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            listed = pa.array([bands(shingles(t, shingle)).tolist() for t in texts], pa.list_(pa.int64()))
+            cols = [b.column("doc_id"), _signed([_class(t) for t in texts]), _signed([fingerprint(t, shingle) for t in texts]), listed]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "c", "fp", "keys"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, c long, fp long, keys array<long>, grams binary")
+    return rows.mapInArrow(run, "doc_id long, c long, fp long, keys array<long>")
+
+
+def grams(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """c, grams: the sets of the classes that the pairs name."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([_signed([_class(t) for t in texts]), pa.array([shingles(t, shingle).tobytes() for t in texts], pa.binary())], ["c", "grams"])
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    ids = classes.join(named, "c").select("doc_id").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(ids, "doc_id", "left_semi")
+    return rows.select("text").mapInArrow(run, "c long, grams binary")
 
 
-def verified(pairs: DataFrame, grams: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have at least this Jaccard similarity."""
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets have at least this Jaccard similarity, written out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for t in batches:
             x, y = (t.column(k).to_pylist() for k in ("x", "y"))
-            yield t.select(["a", "b"]).filter(pa.array([jaccard(np.frombuffer(i, np.uint64), np.frombuffer(j, np.uint64)) >= least for i, j in zip(x, y, strict=True)], pa.bool_()))
+            near = [jaccard(np.frombuffer(i, np.uint64), np.frombuffer(j, np.uint64)) >= least for i, j in zip(x, y, strict=True)]
+            yield t.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    one = grams.select(F.col("c").alias("a"), F.col("grams").alias("x"))
-    two = grams.select(F.col("c").alias("b"), F.col("grams").alias("y"))
+    pairs = cut(pairs, "pairs")
+    found = cut(grams(docs, pairs, classes, shingle), "grams")
+    one = found.select(F.col("c").alias("a"), F.col("grams").alias("x"))
+    two = found.select(F.col("c").alias("b"), F.col("grams").alias("y"))
     small = F.octet_length("x") >= F.octet_length("y") * least  # else the sizes alone forbid it
     large = F.octet_length("y") >= F.octet_length("x") * least
-    return pairs.join(one, "a").join(two, "b").where(small & large).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    both = pairs.join(one, "a").join(two, "b").where(small & large).select("a", "b", "x", "y")
+    out = cut(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    release(pairs, found)
+    return out
 
 
-def links(classes: DataFrame, least: float, radius: int) -> DataFrame:
-    """classes: c, fp, keys, grams. Links (a, b) whose components are those of all candidates that are similar enough."""
+def links(docs: DataFrame, classes: DataFrame, shingle: int, least: float, radius: int) -> DataFrame:
+    """classes: c, doc_id, fp, keys. Links (a, b) whose components are those of all candidates that are similar enough."""
     rows = classes.select("c", F.explode("keys").alias("key"))
     full = rows.groupBy("key").agg(F.min("c").alias("lead"), F.count("*").alias("n")).where("n > 1")
     rows = cut(rows.join(full, "key").select("c", "key", "lead"), "buckets")
@@ -104,26 +126,25 @@ def links(classes: DataFrame, least: float, radius: int) -> DataFrame:
     close = close.join(mark("a"), "a").join(mark("b"), "b").select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"))
     stars = rows.select(F.col("lead").alias("a"), F.col("c").alias("b")).unionByName(alike).unionByName(close)
     stars = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = cut(verified(stars, classes, least), "links")
+    first = verified(docs, stars, classes, shingle, least)
     roots = components(first)
-    rows = rows.join(roots, rows.c == roots.node, "left").select("c", "key", F.coalesce("root", "c").alias("root"))
-    rows = cut(rows, "buckets")
-    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    named = cut(rows.join(roots, rows.c == roots.node, "left").select("c", "key", F.coalesce("root", "c").alias("root")), "buckets")
+    release(rows)
+    sizes = named.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = rows.join(main.select("key", F.col("m.root").alias("main")), "key")
+    mixed = named.join(main.select("key", F.col("m.root").alias("main")), "key")
     apart = mixed.where("root <> main").select("key", F.col("c").alias("c1"), F.col("root").alias("r1"))
     pairs = apart.join(mixed, "key").where((F.col("root") != F.col("r1")) & ((F.col("root") == F.col("main")) | (F.col("c1") < F.col("c"))))
     pairs = pairs.select(F.least("c1", "c").alias("a"), F.greatest("c1", "c").alias("b")).distinct()
-    return first.unionByName(verified(pairs, classes, least))
+    return first.unionByName(verified(docs, pairs, classes, shingle, least))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
     """doc_id, component_id: the smallest doc_id of the near-duplicate class, one row for each row of docs that has a doc_id."""
-    marks = cut(sets(docs, shingle), "sets")
-    lowest = marks.groupBy("c").agg(F.min("doc_id").alias("doc_id"))
-    classes = marks.join(lowest, ["c", "doc_id"], "left_semi").dropDuplicates(["c"]).select("c", "fp", "keys", "grams")
-    classes = cut(classes, "classes")
-    roots = components(links(classes, least, radius))
+    marks = cut(marked(docs, shingle), "marks")
+    classes = cut(marks.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "classes")
+    lowest = classes.select("c", "doc_id")
+    roots = components(links(docs, classes, shingle, least, radius))
     named = lowest.join(roots, lowest.c == roots.node, "left").select("c", "doc_id", F.coalesce("root", "c").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return marks.select("doc_id", "c").join(named.select("c", "root").join(names, "root").select("c", "component_id"), "c").select("doc_id", "component_id")
