@@ -8,13 +8,17 @@ with LPF[i] >= L. LPF comes from suffix order: the nearest entries before and af
 No suffix array of the whole corpus is needed, because only positions that agree for L bytes matter:
 
 1. Every window of L bytes is assigned to the k-gram in it with the smallest hash, the leftmost if equal. The choice
-   depends on the window's bytes alone, so equal windows meet at equal k-grams (anchors), at the same offset. Consecutive
-   windows mostly share their anchor: about one row for 35 bytes is shuffled, never the windows themselves.
-2. Anchors that occur once are dropped. Those that repeat within a batch are known to repeat before the shuffle and are
-   dealt by position, one representative aside, so an anchor in a third of all documents sends one row a batch to its key.
-3. Documents that equal an earlier one go whole, without further work.
-4. For what remains each anchor's bytes are sent to the anchor's partition, where equal ones collapse to the first, the
-   windows' suffixes are sorted, and LPF marks all but the first of every run that agrees for L bytes.
+   depends on the window's bytes alone, so equal windows meet at equal k-grams (anchors), at the same offset. A run of
+   windows with one anchor is a context; about one row for 35 bytes is shuffled, never the windows themselves.
+2. A row holds its anchor's hash and a digest of its context. All but the first of the contexts that agree in both are
+   marked at once: within a batch before the shuffle, so what a third of all documents holds sends one row a batch to its
+   key, and across batches where an anchor's rows meet. Exact copies end here.
+3. Anchors with several different contexts get their bytes, one representative each. There the suffixes at all window
+   starts are sorted, and LPF by previous and next smaller positions marks what repeats.
+4. Beyond ``split`` different contexts (a large group of near copies) an anchor's windows are dealt by digests of their own
+   instead, equal ones of a batch as one, so neither a task's rows nor its memory grow with the group.
+
+A mark carries a digest of the bytes it removes, which is checked before they go.
 
 Defined cases: null text is empty and shorter texts than L keep all; a document without a doc_id takes no part and keeps
 all; rows that repeat a doc_id with the same text have no earlier start and do not remove one another.
@@ -34,60 +38,56 @@ from pyspark.sql import functions as F
 from .common import parts, ship, text_or_empty, whole_groups
 
 GRAM = 32
-#: Bytes that are hashed at once, and windows that are sorted at once.
-SEGMENT, SORTED = 1 << 20, 400_000
+#: Bytes that are hashed at once, windows that are sorted at once, and different contexts an anchor's task takes.
+SEGMENT, SORTED, SPLIT = 1 << 20, 200_000, 2000
 _PLACE = np.uint64((1 << 22) - 1)
 _BASE = 0x9E3779B97F4A7C15
-_ROW = (1 << 14, 1 << 7)
+_MIX = np.int64(-0x61C8864680B583EB)
 
 
-# -- suffix order and LPF of one text --
+# -- suffix order and LPF --
 
 
-def previous_smaller(a: list[int]) -> list[int]:
-    """For each entry the index of the nearest one before it that is smaller, or -1."""
-    out, stack = [], []
-    for i, x in enumerate(a):
-        while stack and a[stack[-1]] >= x:
-            stack.pop()
-        out.append(stack[-1] if stack else -1)
-        stack.append(i)
-    return out
-
-
-def lpf(text: bytes) -> list[int]:
-    """Longest-previous-factor array: the length of the longest match of each position with an earlier start."""
-    n = len(text)
-    order = sorted(range(n), key=lambda i: text[i:])
-    before = previous_smaller(order)
-    after = [n - 1 - k if k >= 0 else -1 for k in previous_smaller(order[::-1])][::-1]
-
-    def common(i: int, j: int) -> int:
-        k = 0
-        while max(i, j) + k < n and text[i + k] == text[j + k]:
-            k += 1
-        return k
-
-    out = [0] * n
-    for r, i in enumerate(order):
-        out[i] = max((common(i, order[k]) for k in (before[r], after[r]) if k >= 0), default=0)
-    return out
-
+def previous_smaller(values: np.ndarray, lcp: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the nearest one before it with a smaller value (-1: none) and the least lcp on the way there.
 
-def repeats(windows: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Which windows (byte strings of equal length) have an equal one of smaller rank; equal ranks are the same place.
-
-    In suffix order, with ties by rank, an entry's previous smaller position that agrees for the whole length is the entry
-    just before it, if any: LPF >= L exactly for those that agree with their predecessor.
+    lcp[i] belongs to entries i - 1 and i. All entries jump at once, each over what its last stop has jumped over, so a
+    few rounds do; ways on which less than ``least`` is common are given up, with 0.
+    """
+    at = np.arange(-1, len(values) - 1)
+    common = lcp.astype(np.int64)
+    if len(values):
+        common[0] = 0
+    while True:
+        on = np.flatnonzero((at >= 0) & (common >= least))
+        on = on[values[at[on]] >= values[on]]
+        if not len(on):
+            break
+        stop = at[on]
+        at[on], common[on] = at[stop], np.minimum(common[on], common[stop])
+    common[(at < 0) | (common < least)] = 0
+    return at, common
+
+
+def longest_previous(suffixes: np.ndarray, place: np.ndarray, least: int = 1) -> np.ndarray:
+    """LPF of each suffix (byte strings of equal width): its longest prefix that a suffix of a smaller place begins with.
+
+    Lengths below ``least`` may come out as 0. Equal places are one and the same, so they don't count as earlier.
     """
-    by_rank = np.argsort(rank, kind="stable")
-    order = by_rank[np.argsort(windows[by_rank], kind="stable")]
-    s, r = windows[order], rank[order]
-    out = np.zeros(len(rank), bool)
-    same = np.zeros(len(rank), bool)
-    same[1:] = s[1:] == s[:-1]
-    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(rank))))
-    out[order] = same & (r > r[start])
+    n = len(place)
+    if not n:
+        return np.zeros(0, np.int64)
+    width = suffixes.dtype.itemsize
+    order = np.argsort(suffixes, kind="stable")
+    letters = np.frombuffer(suffixes[order].tobytes(), np.uint8).reshape(n, width)
+    lcp = np.zeros(n, np.int64)
+    differ = letters[1:] != letters[:-1]
+    lcp[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    ranked = place[order]
+    _, before = previous_smaller(ranked, lcp, least)
+    _, after = previous_smaller(ranked[::-1], np.append(0, lcp[:0:-1]), least)
+    out = np.zeros(n, np.int64)
+    out[order] = np.maximum(before, after[::-1])
     return out
 
 
@@ -182,147 +182,214 @@ def _binary(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def repeated_anchors(base: DataFrame, length: int) -> DataFrame:
-    """doc_id, place (packed first window, offset, number) of every anchor whose k-gram occurs more than once."""
-    many, few = _ROW
+def _digest(data: bytes) -> int:
+    h = xxhash.xxh64_intdigest(data)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _runs(doc: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges joined where they touch; those of a document stand together, by start."""
+    if not len(doc):
+        return doc, s, e
+    change = np.append(False, doc[1:] != doc[:-1])
+    lift = np.cumsum(change) * (int(e.max()) + 1)
+    reach = np.maximum.accumulate(e + lift) - lift
+    new = change.copy()
+    new[0] = True
+    new[1:] |= s[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    return doc[first], s[first], reach[np.append(first[1:], len(doc)) - 1]
+
+
+# A place is (start, offset of the anchor, windows, 0) of a context or (start, length, 1) of a mark, in one long.
+_ROW = (1 << 15, 1 << 8, 2)
 
-    def probe(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+
+def anchors(base: DataFrame, length: int) -> DataFrame:
+    """h, digest, doc_id, place: a row for each different context of a batch, and marks of what repeats within it."""
+    many, few, two = _ROW
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
-            doc, h, lo, off, n = anchors_of(_binary(b.column("text")), length)
+            texts = _binary(b.column("text"))
+            doc, h, lo, off, n = anchors_of(texts, length)
+            ends = lo + n - 1 + length
+            digest = np.fromiter((xxhash.xxh64_intdigest(texts[d][x:y]) for d, x, y in zip(doc.tolist(), lo.tolist(), ends.tolist(), strict=True)), np.uint64, len(doc)).view(np.int64)
             ids = b.column("doc_id").to_numpy()[doc] if len(doc) else doc
-            place = lo * many + off * few + n
-            order = np.argsort(h, kind="stable")
+            if ((ids[1:] < ids[:-1]) | (ids[1:] == ids[:-1]) & (lo[1:] < lo[:-1])).any():
+                by_id = np.lexsort((lo, ids))
+                doc, h, lo, off, n, ends, digest, ids = (x[by_id] for x in (doc, h, lo, off, n, ends, digest, ids))
+            with np.errstate(over="ignore"):
+                order = np.argsort(h + digest * _MIX, kind="stable")
             same = np.zeros(len(h), bool)
-            same[1:] = h[order][1:] == h[order][:-1]
-            again = np.append(same[1:], False)  # the first of several in this batch: stands for them under its key
-            state = np.zeros(len(h), np.int8)
-            state[order] = np.where(same, 2, np.where(again, 1, 0))
-            key = np.where(state == 2, place * 31 + ids, h)  # what is known to repeat needs no meeting place
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids, place * 4 + state)], ["h", "doc_id", "place"])
-
-    def known(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for t in whole_groups(batches, ["h"]):
-            h, ids, place = (t[c].to_numpy() for c in ("h", "doc_id", "place"))
-            asked = place % 4 < 2
-            values, inverse = np.unique(h, return_inverse=True)
-            count = np.bincount(inverse[asked], 1 + place[asked] % 4, len(values))
-            keep = ~asked | (count[inverse] > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(place[keep] // 4)], ["doc_id", "place"])
+            same[1:] = (h[order][1:] == h[order][:-1]) & (digest[order][1:] == digest[order][:-1])
+            start = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
+            lead = order[start]
+            again = order[same & ((ids[order] != ids[lead]) | (lo[order] != lo[lead]))]
+            first = np.sort(order[~same])
+            again.sort()
+            at, s, e = _runs(doc[again], lo[again], ends[again])
+            own = b.column("doc_id").to_numpy()[at] if len(at) else at
+            marks = np.array([_digest(texts[d][x:y]) for d, x, y in zip(at.tolist(), s.tolist(), e.tolist(), strict=True)], np.int64)
+            place = np.concatenate([lo[first] * many + off[first] * few + n[first] * two, (s << 32) + (e - s) * two + 1])
+            with np.errstate(over="ignore"):
+                cols = (np.concatenate([h[first], (own + s * _MIX) * _MIX]), np.concatenate([digest[first], marks]), np.concatenate([ids[first], own]), place)
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], ["h", "digest", "doc_id", "place"])
+
+    return base.select("doc_id", "text").mapInArrow(run, "h long, digest long, doc_id long, place long")
+
+
+def first_contexts(found: DataFrame, length: int, split: int) -> DataFrame:
+    """doc_id, and either s, size, digest of a mark or a place to look at: start, offset, windows and whether to split."""
+    many, few, two = _ROW
 
-    found = base.select("doc_id", "text").mapInArrow(probe, "h long, doc_id long, place long")
-    dealt = found.repartition(parts(base.sparkSession), "h").sortWithinPartitions("h")
-    return dealt.mapInArrow(known, "doc_id long, place long")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for t in whole_groups(batches, ["h"]):
+            h, digest, ids, place = (t[c].to_numpy() for c in ("h", "digest", "doc_id", "place"))
+            mark = place % 2 == 1
+            out = [(ids[mark], place[mark] >> 32, (place[mark] & 0xFFFFFFFF) >> 1, digest[mark], np.zeros(mark.sum(), np.int64))]
+            h, digest, ids, place = (x[~mark] for x in (h, digest, ids, place))
+            new_h, new = np.ones(len(h), bool), np.ones(len(h), bool)
+            new_h[1:] = h[1:] != h[:-1]
+            new[1:] = new_h[1:] | (digest[1:] != digest[:-1])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+            again = ~new & ((ids != ids[start]) | (place != place[start]))
+            size = place % many % few // two - 1 + length
+            out.append((ids[again], place[again] // many, size[again], digest[again], np.zeros(again.sum(), np.int64)))
+            group = np.cumsum(new_h) - 1
+            kinds = np.bincount(group, new, int(group[-1]) + 1 if len(group) else 0).astype(np.int64)
+            ask = new & (kinds[group] > 1) if len(group) else new
+            many_kinds = (kinds[group][ask] > split).astype(np.int64) if len(group) else np.zeros(0, np.int64)
+            out.append((ids[ask], place[ask], np.zeros(ask.sum(), np.int64), digest[ask], 1 + many_kinds))
+            cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(k)) for x, k in zip(cols, (np.int64, np.int64, np.int64, np.int64, np.int8), strict=True)], ["doc_id", "s", "size", "digest", "kind"])
+
+    dealt = found.repartition(parts(found.sparkSession), "h").sortWithinPartitions("h", "digest", "doc_id", "place")
+    return dealt.mapInArrow(run, "doc_id long, s long, size long, digest long, kind byte")
 
 
 # -- contexts, and LPF among those of one anchor --
 
+_ASKED = ["h", "doc_id", "lo", "off", "size", "digest", "bytes"]
+_ASKED_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+_WINDOW, _MARK = -1, -2
+
 
 def contexts(rows: DataFrame, length: int) -> DataFrame:
-    """rows: doc_id, text, content, places. One row for each repeated anchor, with the bytes its windows cover."""
-    many, few = _ROW
+    """rows: doc_id, text, places (place, kind). A row for each context asked for, or for each different window of a split one."""
+    many, few, two = _ROW
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                cols: tuple[list, ...] = ([], [], [], [], [], [])
-                for doc, t, content, places in zip(part.column("doc_id").to_pylist(), _binary(part.column("text")), part.column("content").to_pylist(), part.column("places").to_pylist(), strict=True):
-                    for p in places:
-                        lo, off, n = p // many, p % many // few, p % few
+                out: list[tuple] = []
+                windows: dict[tuple[int, int], tuple[int, int]] = {}
+                gone: list[tuple[int, int, bytes]] = []
+                order = np.argsort(part.column("doc_id").to_numpy(), kind="stable")
+                part = part.take(pa.array(order))
+                for doc, t, places in zip(part.column("doc_id").to_pylist(), _binary(part.column("text")), part.column("places").to_pylist(), strict=True):
+                    for p in sorted(places, key=lambda p: p["s"]):
+                        lo, off, n = p["s"] // many, p["s"] % many // few, p["s"] % few // two
                         bytes_ = t[lo : lo + n - 1 + length]
-                        if len(bytes_) == n - 1 + length:
-                            h = xxhash.xxh64_intdigest(bytes_[off : off + GRAM])
-                            for c, v in zip(cols, (h - (1 << 64) if h >> 63 else h, doc, content, lo, off, bytes_), strict=True):
-                                c.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["h", "doc_id", "content", "lo", "off", "bytes"])
-
-    return rows.mapInArrow(run, "h long, doc_id long, content long, lo long, off int, bytes binary")
+                        if len(bytes_) != n - 1 + length:  # a row of the same doc_id
+                            continue
+                        if p["kind"] == 1:
+                            out.append((_digest(bytes_[off : off + GRAM]), doc, lo, off, len(bytes_), 0, bytes_))
+                            continue
+                        for k in range(n):
+                            w = bytes_[k : k + length]
+                            key = (xxhash.xxh3_64_intdigest(w), _digest(w))
+                            if windows.setdefault(key, (doc, lo + k)) != (doc, lo + k):
+                                gone.append((doc, lo + k, w))
+                for (h, digest), (doc, lo) in windows.items():
+                    out.append((h - (1 << 64) if h >> 63 else h, doc, lo, _WINDOW, length, digest, None))
+                for doc, s, w in gone:
+                    out.append((int(np.int64((doc * 1_000_003 + s) & 0x7FFFFFFFFFFFFFFF)), doc, s, _MARK, length, _digest(w), None))
+                cols = list(zip(*out, strict=True)) or [()] * len(_ASKED)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _ASKED_TYPES, strict=True)], _ASKED)
+
+    return rows.mapInArrow(run, "h long, doc_id long, lo long, off int, size long, digest long, bytes binary")
 
 
 def marked(t: pa.Table, length: int) -> list[tuple[int, int, int, int]]:
-    """(doc_id, content, start, end) of what is to go; t: whole anchor groups of contexts, by doc_id and lo within each."""
-    h, doc, content, lo = (t[c].to_pylist() for c in ("h", "doc_id", "content", "lo"))
-    off, data = t["off"].to_pylist(), t["bytes"].to_pylist()
-    out, first, groups = [], {}, {}
-    for i, (k, o, x) in enumerate(zip(h, off, data, strict=True)):
-        j = first.setdefault((k, o, x), i)
-        if j == i:
-            groups.setdefault(k, []).append(i)
-        elif (doc[i], lo[i]) > (doc[j], lo[j]):
-            out.append((doc[i], content[i], lo[i], lo[i] + len(x)))
-    own = [g for g in groups.values() if len(g) > 1]
-
-    def sort(jobs: list[tuple[int, int, int]]) -> None:
-        """jobs: (context, first window, windows)."""
-        ctx = np.array([c for c, _, _ in jobs], np.int64)
-        n = np.array([k for _, _, k in jobs], np.int64)
-        buf = np.frombuffer(b"".join([data[c][s : s + k - 1 + length] for c, s, k in jobs]), np.uint8)
-        size = n - 1 + length
-        row = np.repeat(np.arange(len(jobs)), n)
-        step = np.arange(len(row)) - np.repeat(n.cumsum() - n, n)
-        starts = np.repeat(size.cumsum() - size, n) + step
-        view = np.lib.stride_tricks.sliding_window_view(buf, length)[starts]
-        windows = np.ascontiguousarray(view).view(f"S{length}").reshape(-1)
-        place = np.array([lo[c] + s for c, s, _ in jobs], np.int64)[row] + step
-        ids = np.array([doc[c] for c, _, _ in jobs], np.int64)[row]
-        order = np.lexsort((place, ids))
+    """(doc_id, start, size, digest) of what is to go; t: whole anchor groups of contexts, by h, doc_id and lo."""
+    h, doc, lo = (t[c].to_numpy() for c in ("h", "doc_id", "lo"))
+    data = t["bytes"].to_pylist()
+    n = t["size"].to_numpy() - length + 1
+    edges = np.flatnonzero(np.append(True, h[1:] != h[:-1])).tolist() + [len(h)] if len(h) else [0]
+    out: list[tuple[int, int, int, int]] = []
+
+    def sort(first: int, last: int) -> None:
+        """LPF among the windows of the contexts from first on; windows of different anchors differ, so many groups go at once."""
+        count = n[first:last]
+        row = np.repeat(np.arange(first, last), count)
+        step = np.arange(len(row)) - np.repeat(count.cumsum() - count, count)
+        size = count - 1 + length
+        buf = np.frombuffer(b"".join(data[first:last]), np.uint8)
+        starts = np.repeat(size.cumsum() - size, count) + step
+        suffixes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, length)[starts]).view(f"S{length}").reshape(-1)
+        at, ids = lo[row] + step, doc[row]
+        order = np.lexsort((at, ids))
         new = np.zeros(len(row), np.int64)
-        new[1:] = (ids[order][1:] != ids[order][:-1]) | (place[order][1:] != place[order][:-1])
-        rank = np.empty(len(row), np.int64)
-        rank[order] = new.cumsum()
-        gone = np.flatnonzero(repeats(windows, rank))
-        if not len(gone):
-            return
-        cut = np.ones(len(gone), bool)
-        cut[1:] = (gone[1:] != gone[:-1] + 1) | (row[gone][1:] != row[gone][:-1])
-        a = gone[cut]
-        b = gone[np.append(np.flatnonzero(cut)[1:] - 1, len(gone) - 1)]
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            c = int(ctx[row[x]])
-            out.append((doc[c], content[c], int(place[x]), int(place[y]) + length))
-
-    jobs: list[tuple[int, int, int]] = []
-    held = 0
-    for g in own:
-        sizes = [len(data[i]) - length + 1 for i in g]
-        if sum(sizes) > SORTED:  # equal windows have their anchor at equal offsets: one offset at a time
-            for rel in range(max(off[i] for i in g) + 1):
-                same = [(i, off[i] - rel, 1) for i, n in zip(g, sizes, strict=True) if 0 <= off[i] - rel < n]
-                if len(same) > 1:
-                    sort(same)
-            continue
-        jobs += [(i, 0, n) for i, n in zip(g, sizes, strict=True)]
-        held += sum(sizes)
-        if held > SORTED:
-            sort(jobs)
-            jobs, held = [], 0
-    if jobs:
-        sort(jobs)
+        new[1:] = (ids[order][1:] != ids[order][:-1]) | (at[order][1:] != at[order][:-1])
+        place = np.empty(len(row), np.int64)
+        place[order] = new.cumsum()
+        gone = np.flatnonzero(longest_previous(suffixes, place, length) >= length)
+        runs, s, e = _runs(row[gone], at[gone], at[gone] + length)
+        for r, x, y in zip(runs.tolist(), s.tolist(), e.tolist(), strict=True):
+            out.append((int(doc[r]), x, y - x, _digest(data[r][x - int(lo[r]) : y - int(lo[r])])))
+
+    first, held = 0, 0
+    for a, b in zip(edges, edges[1:], strict=False):
+        own = int(n[a:b].sum())
+        if held and held + own > SORTED:
+            sort(first, a)
+            first, held = a, 0
+        held += own
+    if held:
+        sort(first, len(h))
+    return out
+
+
+def same_windows(h: np.ndarray, digest: np.ndarray, doc: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Which windows, given by two digests, have an equal one of an earlier place."""
+    order = np.lexsort((lo, doc, digest, h))
+    same = np.zeros(len(h), bool)
+    same[1:] = (h[order][1:] == h[order][:-1]) & (digest[order][1:] == digest[order][:-1])
+    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))]
+    out = np.zeros(len(h), bool)
+    out[order] = same & ((doc[order] != doc[lead]) | (lo[order] != lo[lead]))
     return out
 
 
 def removals(found: DataFrame, length: int) -> DataFrame:
-    """doc_id, content, s, e: byte ranges to remove, which may overlap."""
+    """doc_id, s, size, digest: marks from contexts() as dealt by their keys."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         held: list[pa.Table] = []
+        names = ["doc_id", "s", "size", "digest"]
 
         def flush() -> pa.RecordBatch:
-            gone = marked(pa.concat_tables(held), length)
+            t = pa.concat_tables(held).combine_chunks()
             held.clear()
-            cols = [pa.array(c, pa.int64()) for c in (zip(*gone, strict=True) if gone else ([], [], [], []))]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "content", "s", "e"])
+            off = t["off"].to_numpy()
+            gone = marked(t.filter(pa.array(off >= 0)), length)
+            h, doc, lo, size, digest = (t[c].to_numpy()[off < 0] for c in ("h", "doc_id", "lo", "size", "digest"))
+            keep = off[off < 0] == _MARK
+            keep[~keep] = same_windows(h[~keep], digest[~keep], doc[~keep], lo[~keep])
+            cols = list(zip(*gone, strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(c, np.int64), x[keep]])) for c, x in zip(cols, (doc, lo, size, digest), strict=True)], names)
 
         for t in whole_groups(batches, ["h"]):
             held.append(t)
-            if sum(x.num_rows for x in held) >= 20_000:
+            if sum(x.num_rows for x in held) >= 10_000:
                 yield flush()
         if held:
             yield flush()
 
     dealt = found.repartition(parts(found.sparkSession), "h").sortWithinPartitions("h", "doc_id", "lo")
-    return dealt.mapInArrow(run, "doc_id long, content long, s long, e long")
+    return dealt.mapInArrow(run, "doc_id long, s long, size long, digest long")
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
@@ -335,31 +402,30 @@ def merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def dedup(docs: DataFrame, length: int = 100) -> DataFrame:
+def dedup(docs: DataFrame, length: int = 100, split: int = SPLIT) -> DataFrame:
     """doc_id, kept binary, n_bytes, n_removed, n_spans (long), kept_sha256; one row for each row of docs."""
     ship(docs.sparkSession)
-    if length <= GRAM or length > GRAM + 126:
-        raise ValueError(f"lengths from {GRAM + 1} to {GRAM + 126} bytes")
+    if length <= GRAM or length > GRAM + 94:
+        raise ValueError(f"lengths from {GRAM + 1} to {GRAM + 94} bytes")
     ids = "doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")  # a needless alias would keep Spark from reusing the exchange
     text = docs.select(ids, text_or_empty().alias("text"))
-    base = text.where(F.col("doc_id").isNotNull()).withColumn("content", F.xxhash64("text"))
-    prints = base.where(F.octet_length("text") >= length).select("doc_id", "content", F.md5("text").alias("md5"), F.octet_length("text").cast("long").alias("size"))
-    first = prints.groupBy("md5", "size").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = prints.join(first, ["md5", "size"]).where("doc_id > first").select("doc_id", "content", F.lit(0).cast("long").alias("s"), F.col("size").alias("e")).distinct()
-    # the text moves once: both joins need it dealt by doc_id, and Spark reuses the exchange; contents tell rows of one id apart
-    copied = copies.groupBy("doc_id").agg(F.collect_set("content").alias("copied"))
-    anchored = repeated_anchors(base, length).groupBy("doc_id").agg(F.collect_list("place").alias("places")).join(copied, "doc_id", "left")
-    rows = base.join(anchored, "doc_id").where(~F.coalesce(F.array_contains("copied", F.col("content")), F.lit(False)))
-    gone = removals(contexts(rows.select("doc_id", "text", "content", "places"), length), length).unionByName(copies)
-    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("content", "s", "e")).alias("all"))
-    every = base.join(gone, "doc_id", "left").select("doc_id", "text", F.transform(F.filter("all", lambda g: g["content"] == F.col("content")), lambda g: F.struct(g["s"], g["e"])).alias("gone"))
-    every = every.unionByName(text.where(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<struct<s:bigint,e:bigint>>").alias("gone")))
+    base = text.where(F.col("doc_id").isNotNull())
+    # the text moves once: both joins need it dealt by doc_id, and Spark reuses the exchange
+    mark = F.struct("s", "size", "digest")
+    place = F.struct("s", "kind")
+    told = first_contexts(anchors(base, length), length, split).groupBy("doc_id").agg(F.collect_list(F.when(F.col("kind") == 0, mark)).alias("marks"), F.collect_list(F.when(F.col("kind") > 0, place)).alias("places"))
+    rows = base.join(told.select("doc_id", "places"), "doc_id").where(F.size("places") > 0)
+    late = removals(contexts(rows.select("doc_id", "text", "places"), length), length).groupBy("doc_id").agg(F.collect_list(mark).alias("late"))
+    every = base.join(told.select("doc_id", "marks"), "doc_id", "left").join(late, "doc_id", "left")
+    none = F.array().cast("array<struct<s:bigint,size:bigint,digest:bigint>>")
+    every = every.select("doc_id", "text", F.concat(F.coalesce("marks", none), F.coalesce("late", none)).alias("gone"))
+    every = every.unionByName(text.where(F.col("doc_id").isNull()).select("doc_id", "text", none.alias("gone")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
             kept, counts = [], ([], [], [])
             for t, ranges in zip(_binary(b.column("text")), b.column("gone").to_pylist(), strict=True):
-                spans = merged([(r["s"], r["e"]) for r in ranges]) if ranges else []
+                spans = merged([(r["s"], r["s"] + r["size"]) for r in ranges if _digest(t[r["s"] : r["s"] + r["size"]]) == r["digest"]])
                 at, left = 0, []
                 for s, e in spans:
                     left.append(t[at:s])

@@ -53,14 +53,28 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text.encode()) == plain_fingerprint(text.encode(), 3)
 
 
-def test_lpf_and_repeats():
+def test_longest_previous_factors():
     rng = random.Random(1)
-    for _ in range(20):
-        t = bytes(rng.choice(b"ab") for _ in range(30))
-        want = [max([0] + [next(k for k in range(31) if i + k >= 30 or t[i + k] != t[j + k]) for j in range(i)]) for i in range(30)]
-        assert substring_dedup.lpf(t) == want
-        windows = np.array([t[i : i + 4] for i in range(27)], "S4")
-        assert substring_dedup.repeats(windows, np.arange(27)).tolist() == [x >= 4 for x in want[:27]]
+    for n, letters in ((30, "ab"), (30, "abc"), (200, "ab"), (40, "a"), (1, "a")):
+        t = "".join(rng.choice(letters) for _ in range(n)).encode()
+        want = [max([0] + [next(k for k in range(n + 1) if i + k >= n or t[i + k] != t[j + k]) for j in range(i)]) for i in range(n)]
+        suffixes = np.array([t[i:].ljust(n, b"~") for i in range(n)], f"S{n}")
+        got = substring_dedup.longest_previous(suffixes, np.arange(n))
+        assert np.minimum(got, n - np.arange(n)).tolist() == want  # the filler may add to it
+        windows = np.array([t[i : i + 4] for i in range(n - 3)], "S4")
+        got = substring_dedup.longest_previous(windows, np.arange(len(windows)), 4)
+        assert (got >= 4).tolist() == [x >= 4 for x in want[: len(windows)]]
+    assert substring_dedup.longest_previous(np.array([b"xy"] * 3), np.array([5, 5, 5])).tolist() == [0, 0, 0]  # one place
+
+
+def test_previous_smaller_positions():
+    rng = random.Random(2)
+    for n in (1, 2, 7, 300):
+        v, lcp = [rng.randrange(40) for _ in range(n)], [rng.randrange(1, 9) for _ in range(n)]
+        at, common = substring_dedup.previous_smaller(np.array(v), np.array(lcp))
+        want = [max((j for j in range(i) if v[j] < v[i]), default=-1) for i in range(n)]
+        assert at.tolist() == want
+        assert common.tolist() == [min(lcp[j + 1 : i + 1]) if j >= 0 else 0 for i, j in enumerate(want)]
 
 
 def test_equal_windows_get_equal_anchors():

@@ -185,6 +185,7 @@ def test_substring_dedup(spark, rows, empty):
     rng = random.Random(13)
     shared = sentence(rng, 60)
     docs = [r[:2] for r in rows if r[0] is not None][:50] + [(60, f"{sentence(rng, 5)} {shared} end"), (61, f"start {shared}"), (62, "é" * 300), (63, "ab" * 700), (64, "\x00" * 250)]
+    docs += [(70 + i, f"{shared[:300]} {sentence(rng, rng.randint(0, 2))} {shared[300:]}") for i in range(30)]  # near copies
     seen, want = set(), {}
     for d, t in sorted(docs, key=lambda x: x[0]):
         b = (t or "").encode()
@@ -196,7 +197,8 @@ def test_substring_dedup(spark, rows, empty):
         edge = np.diff(np.concatenate([[0], gone.astype(int)]))
         want[d] = (len(b), int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, content string").repartition(3)
-    assert {r[0]: tuple(r)[1:] for r in substring_dedup.dedup(df).drop("kept").collect()} == want
+    for split in (substring_dedup.SPLIT, 1):
+        assert {r[0]: tuple(r)[1:] for r in substring_dedup.dedup(df, split=split).drop("kept").collect()} == want
     assert substring_dedup.dedup(empty).count() == 0
 
 
