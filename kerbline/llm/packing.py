@@ -6,8 +6,9 @@ population of packings whose genes are whole bins. Crossover injects well-filled
 out the bins that then hold duplicates, and best-fits the documents so displaced. Between epochs every island sends its
 elite packing to the next island of its block through a shuffle. An island stops early when it reaches the lower bound.
 
-One block leaves a few bins that are not full. These go, with those of other blocks, into blocks of the next level, until
-one block is left: what is not full there is all that is not full at all. Every level has about 1/64 of the blocks before.
+The search ends early only where no packing can be better: with one bin at most that is not full. A block's least filled
+bins, up to an eighth of its pieces, go with those of other blocks into blocks of the next level, until one block is left:
+so what a block wastes is packed again among eight times as many pieces, and the last level sees what is left of all.
 
 Defined cases: null text is empty and is the single end id; ties between bins go to the one opened first; repeated rows are
 packed as often as they occur, told apart by an occurrence number that only this operator sees; an empty table gives no rows.
@@ -21,8 +22,9 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, release, ship, text_or_empty
@@ -45,7 +47,8 @@ class Encoder:
 
         self.tk, self.room = Tokenizer.from_file(path), room
         vocab = self.tk.get_vocab()
-        self.ends = {i for t, i in vocab.items() if t.endswith("</w>")}
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
@@ -57,10 +60,11 @@ class Encoder:
         out = {}
         for a in range(0, len(plain), 4096):
             some = plain[a : a + 4096]
-            ids = self.tk.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids
-            cuts = [k + 1 for k, i in enumerate(ids) if i in self.ends]
+            ids = np.array(self.tk.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(cuts) == len(some):
-                out |= {w: self._pack(ids[s:e]) for w, s, e in zip(some, [0, *cuts], cuts, strict=False)}
+                data = ids.tobytes()
+                out |= {w: data[s:e] for w, s, e in zip(some, [0, *cuts], cuts, strict=False)}
             else:  # a word that is more or less than one pre-token
                 out |= self._single(some)
         rest = [w for w in words if w not in out]
@@ -118,8 +122,8 @@ def _latin(text: str) -> bool:
 
 #: Marks that form one pre-token after a letter; none of them takes part in a contraction or a special token.
 _TAIL = '.,!?;:%*#$&()"'
-#: A full stop or comma before white space whose own pre-token may have begun before it.
-_MARKS = re.compile(r"[^\sa-z0-9\xdf-\xf6\xf8-\xff][.,]\s")
+#: A full stop or comma before white space whose own pre-token may have begun before it. White space is Unicode's here; Python's \s has U+001C to U+001F too.
+_MARKS = re.compile(r"[^\t-\r \x85\xa0a-z0-9\xdf-\xf6\xf8-\xff][.,][\t-\r \x85\xa0]")
 
 
 def _splits(stem: str, tail: str) -> bool:
@@ -180,16 +184,26 @@ def best_fit(order: Iterable[int], size: list[int], capacity: int, bins: list[li
     return bins
 
 
-def fitness(bins: list[list[int]], size: list[int], capacity: int) -> float:
-    """Mean of the squared fill: fewer bins first, then few very full and few very empty ones."""
-    return sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
+def fills(bins: list[list[int]], size: list[int]) -> list[int]:
+    get = size.__getitem__
+    return [sum(map(get, b)) for b in bins]
+
+
+def score(bins: list[list[int]], size: list[int], capacity: int) -> float:
+    """Fewer bins first; then the mean of the squared fill, which prefers full bins and few very empty ones."""
+    return -len(bins) + sum((x / capacity) ** 2 for x in fills(bins, size)) / max(1, len(bins))
+
+
+def perfect(bins: list[list[int]], size: list[int], capacity: int) -> bool:
+    """No packing is better: at most one bin isn't full."""
+    return sum(x < capacity for x in fills(bins, size)) <= 1
 
 
 def crossover(a: list[list[int]], b: list[list[int]], size: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """Injects well-filled bins of b into a; bins of a that share an item with them go, and their other items are best-fitted."""
-    ranked = sorted(b, key=lambda x: -sum(size[i] for i in x))
-    good = ranked[: max(1, len(ranked) // 2)]
-    gift = rng.sample(good, rng.randint(1, len(good)))
+    full = fills(b, size)
+    good = sorted(range(len(b)), key=full.__getitem__, reverse=True)[: max(1, len(b) // 2)]
+    gift = [b[k] for k in rng.sample(good, rng.randint(1, len(good)))]
     taken = {i for x in gift for i in x}
     stay, loose = [], []
     for x in a:
@@ -197,42 +211,41 @@ def crossover(a: list[list[int]], b: list[list[int]], size: list[int], capacity:
             stay.append(x)
         else:
             loose += [i for i in x if i not in taken]
-    return best_fit(sorted(loose, key=lambda i: -size[i]), size, capacity, gift + stay)
+    return best_fit(sorted(loose, key=size.__getitem__, reverse=True), size, capacity, gift + stay)
 
 
 def mutate(a: list[list[int]], size: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """Empties the least filled bins and a few others, and best-fits their items."""
-    ranked = sorted(a, key=lambda x: sum(size[i] for i in x))
+    full = fills(a, size)
+    ranked = sorted(range(len(a)), key=full.__getitem__)
     n = max(1, len(a) // 50)
-    gone = ranked[:n] + rng.sample(ranked[n:], min(n, len(ranked) - n))
-    marks = {id(x) for x in gone}
-    loose = sorted((i for x in gone for i in x), key=lambda i: -size[i])
-    return best_fit(loose, size, capacity, [x for x in a if id(x) not in marks])
+    gone = {*ranked[:n], *rng.sample(ranked[n:], min(n, len(ranked) - n))}
+    loose = sorted((i for k in gone for i in a[k]), key=size.__getitem__, reverse=True)
+    return best_fit(loose, size, capacity, [x for k, x in enumerate(a) if k not in gone])
 
 
-def evolve(size: list[int], capacity: int, seed: int, guests: list[list[list[int]]] = (), generations: int = 8, members: int = 4) -> list[list[int]]:
-    """The best packing that an island finds; guests are elite packings of other islands."""
+def evolve(size: list[int], capacity: int, seed: int, guests: list[list[list[int]]] = (), generations: int = 6, members: int = 4) -> list[list[int]]:
+    """The best packing that an island finds, never worse than best fit by decreasing size; guests are elite packings of other islands."""
     rng = random.Random(seed)
-    least = -(-sum(size) // capacity)
-    order = sorted(range(len(size)), key=lambda i: -size[i])
-    people = [*guests, best_fit(order, size, capacity)]
-    best = max(people, key=lambda p: (-len(p), fitness(p, size, capacity)))
-    if len(best) <= least:
+    order = sorted(range(len(size)), key=size.__getitem__, reverse=True)
+    people = [(score(p, size, capacity), p) for p in guests or [best_fit(order, size, capacity)]]
+    best = max(people, key=lambda x: x[0])[1]
+    if perfect(best, size, capacity):
         return best
     while len(people) < members:  # nearly sorted orders: best fit from the large ones on, each with its own noise
-        noisy = sorted(range(len(size)), key=lambda i: -size[i] * rng.uniform(0.8, 1.2))
-        people.append(best_fit(noisy, size, capacity))
-    rank = lambda p: (-len(p), fitness(p, size, capacity))
+        noise = [-x * rng.uniform(0.8, 1.2) for x in size]
+        child = best_fit(sorted(order, key=noise.__getitem__), size, capacity)
+        people.append((score(child, size, capacity), child))
     for _ in range(generations):
-        people.sort(key=rank, reverse=True)
-        if len(people[0]) <= least:
+        people.sort(key=lambda x: -x[0])
+        if perfect(people[0][1], size, capacity):
             break
         x, y = rng.sample(range(len(people)), 2)
-        child = crossover(people[min(x, y)], people[max(x, y)], size, capacity, rng)
+        child = crossover(people[min(x, y)][1], people[max(x, y)][1], size, capacity, rng)
         if rng.random() < 0.5:
             child = mutate(child, size, capacity, rng)
-        people = [*people[: members - 1], child]
-    return max(people, key=rank)
+        people = [*people[: members - 1], (score(child, size, capacity), child)]
+    return max(people, key=lambda x: x[0])[1]
 
 
 def _number(packing: list[list[int]], n: int) -> list[int]:
@@ -261,12 +274,12 @@ def solve(items: DataFrame, capacity: int, islands: int, epochs: int) -> DataFra
         def go(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             for b in batches:
                 sizes = b.column("sizes").to_pylist()
-                found, score = [], []
+                found, scores = [], []
                 for s, block, island, guests in zip(sizes, b.column("block").to_pylist(), b.column("island").to_pylist(), b.column("guests").to_pylist(), strict=True):
                     p = evolve(s, capacity, hash((block, island, epoch)), [_bins(g) for g in guests or []])
                     found.append(_number(p, len(s)))
-                    score.append(-len(p) + fitness(p, s, capacity))
-                yield pa.RecordBatch.from_arrays([b.column("block"), b.column("island"), pa.array(found, pa.list_(pa.int32())), pa.array(score, pa.float64())], ["block", "island", "bins", "score"])
+                    scores.append(score(p, s, capacity))
+                yield pa.RecordBatch.from_arrays([b.column("block"), b.column("island"), pa.array(found, pa.list_(pa.int32())), pa.array(scores, pa.float64())], ["block", "island", "bins", "score"])
 
         return go
 
@@ -287,7 +300,7 @@ def solve(items: DataFrame, capacity: int, islands: int, epochs: int) -> DataFra
     return packed.select("block", "bin", "fill", F.explode(at).alias("z")).select("block", F.col("z.item").cast(kind).alias("item"), "z.length", "bin", "z.offset", "fill")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 0, block_size: int = 4000, islands: int = 2, epochs: int = 2, fan_in: int = 64) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 0, block_size: int = 4000, islands: int = 3, epochs: int = 3, fan_in: int = 8) -> DataFrame:
     """Adds sequence_id long and offset long to pieces(docs)."""
     all_pieces = cut(pieces(docs, vocabulary, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
     whole = all_pieces.where(F.col("length") == capacity).select(F.col("row").alias("item"), F.lit(0).alias("level"), F.col("row").alias("block"), F.lit(0).alias("bin"), F.lit(0).cast("long").alias("offset"))
@@ -300,11 +313,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
         if blocks == 1:
             done.append(place(solved))
             break
-        worst = solved.groupBy("block").agg(F.min(F.struct("fill", "bin"))["bin"].alias("worst"))
-        marked = solved.join(worst, "block")
-        loose = (F.col("bin") == F.col("worst")) & (F.col("fill") < capacity)
-        done.append(place(marked.where(~loose)))
-        rest, level, blocks = marked.where(loose).select("item", "length"), level + 1, -(-blocks // fan_in)
+        # a block's least filled bins go on, as far as they hold its share of the next level; a block has a bounded number of bins
+        bins = solved.where(F.col("fill") < capacity).groupBy("block", "bin").agg(F.min("fill").alias("fill"), F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("block").orderBy("fill", "bin").rowsBetween(Window.unboundedPreceding, -1))
+        chosen = bins.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") + F.col("n") <= F.greatest("n", F.lit(block_size // fan_in)))
+        marked = solved.join(chosen.select("block", "bin", F.lit(True).alias("loose")), ["block", "bin"], "left")
+        done.append(place(marked.where(F.col("loose").isNull())))
+        rest, level, blocks = marked.where("loose").select("item", "length"), level + 1, -(-blocks // fan_in)
     placed = done[0]
     for d in done[1:]:
         placed = placed.unionByName(d)

@@ -109,7 +109,26 @@ def test_genetic_packing_is_a_partition_within_capacity():
     b = packing.evolve(size, 2048, 2, guests=[a])
     for p in (a, b, packing.crossover(a, b, size, 2048, rng), packing.mutate(a, size, 2048, rng)):
         assert sorted(i for x in p for i in x) == list(range(600)) and max(sum(size[i] for i in x) for x in p) <= 2048
-    assert len(b) <= len(a) <= len(packing.best_fit(range(600), size, 2048))
+    plain = packing.best_fit(sorted(range(600), key=lambda i: -size[i]), size, 2048)
+    assert len(b) <= len(a) <= len(plain) and packing.score(b, size, 2048) >= packing.score(a, size, 2048) >= packing.score(plain, size, 2048)
+
+
+def test_genetic_search_beats_best_fit_decreasing():
+    better = 0
+    for seed in range(12):
+        rng = random.Random(seed)
+        size = []
+        for _ in range(25):  # bins of three pieces that fill them exactly
+            x, y = sorted(rng.sample(range(1, 100), 2))
+            size += [x, y - x, 100 - y]
+        rng.shuffle(size)
+        plain = packing.best_fit(sorted(range(len(size)), key=lambda i: -size[i]), size, 100)
+        found = [packing.evolve(size, 100, seed, generations=60)]
+        for island in range(3):
+            found = [packing.evolve(size, 100, 100 * seed + island, found, generations=60)]
+        assert len(found[0]) <= len(plain)
+        better += packing.score(found[0], size, 100) > packing.score(plain, size, 100)
+    assert better >= 6
 
 
 def test_encoder_equals_the_tokenizer():
@@ -125,6 +144,20 @@ def test_encoder_equals_the_tokenizer():
             assert ids == b"".join(i.to_bytes(4, "little") for i in tk.encode(t, add_special_tokens=False).ids), t
 
 
+def test_encoder_on_all_spaces_and_controls():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tk, en, rng = Tokenizer.from_file(path), packing.Encoder(path), random.Random(16)
+    odd = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (chr(c).isspace() or c < 32 or 127 <= c < 160 or c in (0xAD, 0x200B, 0x200D, 0x2060, 0xFEFF))]
+    parts = [*odd, *".,.,?!'", *"aZ9 é×_~", ". ", ", ", ".\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(20_000)] + [f"×{c}. a{c}, b.{c}" for c in odd]
+    found = en.batch(texts)
+    want = tk.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, x, y in zip(texts, found, want, strict=True) if x != np.array(y.ids, "<u4").tobytes()] == []
+
+
 def test_forward_sums_all_segmentations():
     p = langid.Pieces(["▁", "▁a", "a", "b", "ab", "▁ab", "ba"])
     w = np.random.default_rng(0).random((p.size, 2))
