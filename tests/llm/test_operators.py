@@ -155,6 +155,29 @@ def test_pii_base_spans(spark):
         assert r["n_ip"] == want.count("ip:")
 
 
+def plain_terms(rows, window=96, disclosure=0.9):
+    """doc_id -> spans of kind term, by counting documents."""
+    word = re.compile(r"\w{2,}")
+    words = {d: {w.lower() for w in word.findall(t or "")} for d, t in rows}
+    base, near, entities = {}, {}, {}
+    for d, t in rows:
+        spans = [x.split(":") for x in plain_spans(t).split(",") if x]
+        base[d] = [(int(s), int(e)) for _, s, e in spans]
+        for k, s, e in ((k, int(s), int(e)) for k, s, e in spans):
+            entities.setdefault((k, t[s:e].lower()), set()).add(d)
+            for m in word.finditer(t):
+                if m.end() <= s and (m.start() > s - window or s <= window) or m.start() >= e and m.end() < e + window:
+                    near.setdefault((m.group().lower(), (k, t[s:e].lower())), set()).add(d)
+    n, out = len(rows), {d: set() for d, _ in rows}
+    for (w, e), ds in near.items():
+        ic = np.log2(n / len(entities[e]))
+        n_t = sum(w in x for x in words.values())
+        if ic > 0 and np.log2(len(ds) * n / ((n_t + 1) * len(entities[e]))) >= disclosure * ic:
+            for d in ds:
+                out[d].add(w)
+    return {d: [f"term:{m.start()}:{m.end()}" for m in word.finditer(t or "") if m.group().lower() in out[d] and not any(m.start() < e and s < m.end() for s, e in base[d])] for d, t in rows}
+
+
 def test_pii_terms(spark):
     rng = random.Random(11)
     texts = [f"{sentence(rng)} Zebulon wrote from z@x.org {sentence(rng)}" for _ in range(4)] + [f"{sentence(rng)} wrote from home" for _ in range(60)]
@@ -165,6 +188,25 @@ def test_pii_terms(spark):
     assert all(found[0]["spans"].count(f":{m.start()}:") == 0 for m in re.finditer("wrote", texts[0]))
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
     assert "[NAME] wrote from [EMAIL]" in clean[0] and clean[10] == texts[10] and clean[64] == ""
+    assert found[0]["sanitised_sha256"] == hashlib.sha256(clean[0].encode()).hexdigest()
+    assert pii.digest(pii.find(df.where("doc_id < 0"))).count() == 0
+
+
+def test_pii_terms_against_plain_counts(spark):
+    rng = random.Random(15)
+    names = ["a@b.org", "z.y@mail.net", "10.20.30.40", "+1 (555) 123-4567", "4111111111111111"]
+    rare = ["".join(rng.choice("klmnop") for _ in range(5)) for _ in range(500)]
+
+    def text():
+        words = [rng.choice(rare) if rng.random() < 0.05 else sentence(rng, 1)[:3] for _ in range(rng.randint(5, 60))]
+        for _ in range(rng.choice((0, 0, 0, 1, 2))):
+            words.insert(rng.randrange(len(words)), rng.choice(names) if rng.random() < 0.5 else f"u{rng.randrange(99)}@x.org")
+        return "".join(w + rng.choice((" ", ", ", "\n")) for w in words)
+
+    rows = [(i, text()) for i in range(400)]
+    want = plain_terms(rows, disclosure=0.75)
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("term:")] for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"), disclosure=0.75)).collect()}
+    assert got == want and sum(map(len, want.values())) > 50
 
 
 def test_language(spark, empty):
