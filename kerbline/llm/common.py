@@ -61,6 +61,37 @@ def release(*frames: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def join_spread(many: DataFrame, few: DataFrame, keys: list[str], by: list[str], least: int = 1000) -> DataFrame:
+    """many joined with few on keys, where no key's rows meet in one task.
+
+    few has one row for each key and n, how many rows of many have that key; it is read three times, so it should be written
+    out. Keys of more than a bound of rows are dealt to several places by the columns ``by``, and few's row goes to each. The
+    bound is a two-thousandth of all rows or ``least``, so two thousand keys at most are beyond it: what is broadcast is bounded.
+    """
+    total = few.agg(F.sum("n")).first()[0] or 0
+    most = max(least, -(-total // 2000))
+    places = F.ceil(F.col("n") / most).cast("int")
+    hot = F.broadcast(few.where(F.col("n") > most).select(*keys, places.alias("_places")))
+    spot = F.when(F.col("_places").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("_places"))).cast("int")
+    dealt = many.join(hot, keys, "left").withColumn("_spot", spot).drop("_places")
+    copied = few.withColumn("_spot", F.explode(F.sequence(F.lit(0), places - 1)))
+    return dealt.join(copied, [*keys, "_spot"]).drop("_spot", "n")
+
+
+def aside(docs: DataFrame, *names: str):
+    """docs with the columns of these names (in any case) renamed out of the way, and a function that gives a result docs' columns back."""
+    taken = {c.lower() for c in docs.columns} | set(names)
+    new = {}
+    for c in docs.columns:
+        if c.lower() in names:
+            other = c
+            while other.lower() in taken:
+                other = f"_{other}"
+            taken.add(other.lower())
+            new[c] = other
+    return docs.withColumnsRenamed(new), lambda df: df.select(*(F.col(f"`{new.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -8,7 +8,8 @@ blocks are deleted from the later document (larger doc_id). Three choices keep t
 * A window shared by many documents is attributed to the first place that holds it, so a group of n copies makes n - 1 pairs
   and not n squared. Nothing is lost by that: whatever earlier document a block is common with, each of its windows stands
   whole in its first place, in an earlier document too. No window is left out for being frequent.
-* What two documents share is already in the rows that meet on the key (both positions), so no other text moves.
+* What two documents share is already in the rows that meet on the key (both positions), so no other text moves. The rows of
+  a frequent window are dealt to several tasks, with its first place sent to each.
 
 Windows of fewer characters are keys only for documents that are no longer than that as a whole.
 
@@ -19,7 +20,8 @@ stand in another order, or twice) are blocks after these. A block is deleted if
 ``rare`` (none by default) additionally asks a block of fewer than ``min_lines`` lines for a line that at most so many hold.
 
 Defined cases: null text is empty; blank lines never match and stay where lines around them stay; a document without a
-doc_id is never changed; rows that repeat a doc_id are treated alike and never matched with one another.
+doc_id is never changed; rows that repeat a doc_id are treated alike and never matched with one another. dedup() replaces
+columns of the names it adds; keep_rest() leaves all columns but text and n_chars as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_or_empty
+from .common import aside, cut, join_spread, ship, text_or_empty
 
 
 def windows(lines: list[str], least: int) -> list[tuple[int, int, int, bool]]:
@@ -137,15 +139,17 @@ def line_keys(docs: DataFrame, least: int) -> DataFrame:
 
 def dedup(docs: DataFrame, rare: int | None = None, min_lines: int = 2, min_chars: int = 40) -> DataFrame:
     """docs with text without the deleted blocks (null stays null), and n_lines, n_removed, n_blocks (long)."""
+    old = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_blocks")]
     lines = line_keys(docs, max(1, min_chars))
     first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("key", F.col("f.doc_id").alias("a"), F.col("f.pos").alias("q"), "n")
-    shared = lines.where("ask").join(first, "key").where("a < doc_id").groupBy(F.col("doc_id").alias("shared_by")).agg(F.collect_list(F.struct("pos", "size", "a", "q", "n")).alias("shared"))
-    ids = F.col("doc_id").cast("long")
-    old = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_blocks")]
-    rows = docs.select(*old).join(shared, ids == F.col("shared_by"), "left").select(*old, F.col("text").alias("whole_text"), "shared")
+    first = cut(first.select("key", F.col("f.doc_id").alias("a"), F.col("f.pos").alias("q"), F.col("n").alias("held"), "n"), "windows")
+    shared = join_spread(lines.where("ask").drop("ask"), first, ["key"], ["doc_id", "pos"]).where("a < doc_id")
+    shared = shared.groupBy(F.col("doc_id").alias("shared_by")).agg(F.collect_list(F.struct("pos", "size", "a", "q", F.col("held").alias("n"))).alias("shared"))
+    docs, _ = aside(docs.select(*old), "shared", "shared_by", "whole_text", "n_lines", "n_removed", "n_blocks")
+    own, old = old, docs.columns
+    rows = docs.join(shared, docs["doc_id"].cast("long") == shared["shared_by"], "left").select(*old, F.col("text").alias("whole_text"), "shared")
     added = "n_lines long, n_removed long, n_blocks long"
-    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*old).schema]) + ", " + added
+    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]) + ", " + added
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
@@ -166,11 +170,13 @@ def dedup(docs: DataFrame, rare: int | None = None, min_lines: int = 2, min_char
             cols |= {k: pa.array(v, pa.int64()) for k, v in zip(("n_lines", "n_removed", "n_blocks"), counts, strict=True)}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    return rows.mapInArrow(run, shape)
+    out = rows.mapInArrow(run, shape)
+    return out.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(old, own, strict=True)), "n_lines", "n_removed", "n_blocks")
 
 
 def keep_rest(docs: DataFrame, **options) -> DataFrame:
     """The columns of docs, texts deduplicated and n_chars set anew; documents of which nothing is left go."""
-    out = dedup(docs, **options).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    moved, back = aside(docs, "n_lines", "n_removed", "n_blocks")
+    out = dedup(moved, **options).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     changed = {"n_chars": F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return out.withColumns(changed).select(*docs.columns)
+    return back(out.withColumns(changed))

@@ -37,3 +37,20 @@ def test_blocks_of_any_earlier_document(spark):
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got[4] == "four\nfour"
     assert got == plain(rows)
+
+
+def test_clashing_columns_keep_their_values(spark):
+    rows = [(i, f"one line that both of the documents hold, and a long one\n{i}", "s", i, 10 * i, 5, "w", 7) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shared string, n_removed long, n_blocks int, n_chars long, whole_text string, shared_by int")
+    out = {r["doc_id"]: r for r in line_dedup.dedup(df).collect()}
+    assert [out[i]["n_removed"] for i in range(3)] == [0, 1, 1] and [out[i]["shared"] for i in range(3)] == ["s"] * 3
+    kept = line_dedup.keep_rest(df)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [tuple(rows[0]), (1, "1", "s", 1, 10, 1, "w", 7), (2, "2", "s", 2, 20, 1, "w", 7)]
+
+
+def test_a_frequent_window_is_dealt_out(spark):
+    passage = "a passage of more than forty characters on one line"
+    rows = [(i, f"{passage}\nown line {i}") for i in range(2500)]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert got.where("n_removed = 1").count() == 2499 and got.where("doc_id = 0").first()["text"] == rows[0][1]
