@@ -1,7 +1,8 @@
 """Mixing by soft membership: domain posteriors, then nonnegative document rates that meet target token totals. Native only.
 
-1. A labelled table (id, domain) trains a multinomial naive Bayes on hashed words. It learns from at most ``sample_docs``
-   documents a domain (those whose hashed ids are smallest); what it learns are buckets x domains counts, whatever the input.
+1. A labelled table (id, domain) trains a multinomial naive Bayes on hashed words. It learns from about ``sample_docs``
+   documents a domain: of more labelled ones it takes those in the share of the hashed ids that so many are. What it learns
+   are buckets x domains counts, whatever the input.
 2. Every document gets its number of words n and a posterior p over the domains. Evidence is tempered: it counts as that of
    at most ``evidence`` average words, so that long documents keep soft memberships.
 3. Rates r >= 0 (and <= ``max_rate`` if given) are fitted so that the expected totals sum(r * n * p) meet the targets t, by
@@ -23,13 +24,13 @@ from __future__ import annotations
 import math
 from collections.abc import Collection, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, release, text_or_empty
 
 #: Target weights of the corpus queries, by domain of the labels table.
-TARGETS = {"high": 0.92, "low": 0.04, "toxic": 0.04}
+TARGETS = {"high": 0.85, "low": 0.10, "toxic": 0.05}
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -50,9 +51,9 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], size: int, s
     """Log-priors and, for each domain, a log-weight for each bucket; domains without labelled documents are left out."""
     own = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     share = {r["domain"]: r["n"] for r in own.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # one row a domain
-    w = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = own.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample_docs).select("doc_id", "domain")
-    few = F.broadcast(few) if sample_docs * len(domains) <= 100_000 else few  # at most so many rows of two columns
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    most = F.coalesce(*(F.when(F.col("domain") == d, F.lit(sample_docs / n)) for d, n in share.items()), F.lit(0.0))
+    few = own.where(part < most)
     seen = docs.select("doc_id", text_or_empty().alias("text")).join(few, "doc_id").select("domain", F.explode(buckets(F.col("text"), size)).alias("b"))
     counts = {d: [0.5] * size for d in share}
     for r in seen.groupBy("domain", "b").agg(F.count("*").alias("n")).collect():  # at most domains x buckets rows
@@ -63,23 +64,23 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], size: int, s
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], size: int = 8192, sample_docs: int = 3000, evidence: float = 100.0) -> DataFrame:
-    """doc_id, n (words), p_<domain> for each domain; one row for each row of docs."""
+    """doc_id, content (hashed text), n (words), p_<domain> for each domain; one row for each row of docs."""
     prior, weight = train(docs, labelled, domains, size, sample_docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), buckets(text_or_empty(), size).alias("b"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("content"), buckets(text_or_empty(), size).alias("b"))
     if not prior:
-        return rows.select("doc_id", F.size("b").cast("long").alias("n"), *(F.lit(None).cast("double").alias(f"p_{d}") for d in domains))
+        return rows.select("doc_id", "content", F.size("b").cast("long").alias("n"), *(F.lit(None).cast("double").alias(f"p_{d}") for d in domains))
 
     def total(d: str) -> Column:
         table = F.split(F.lit(",".join(f"{x:.6g}" for x in weight[d])), ",").cast("array<double>")  # folded into a literal
         return F.aggregate("b", F.lit(0.0), lambda a, i: a + F.get(table, i))
 
-    rows = rows.select("doc_id", F.size("b").cast("long").alias("n"), *(total(d).alias(f"s_{d}") for d in prior))
+    rows = rows.select("doc_id", "content", F.size("b").cast("long").alias("n"), *(total(d).alias(f"s_{d}") for d in prior))
     damp = F.lit(evidence) / (F.col("n") + F.lit(evidence))
     logs = {d: F.lit(prior[d]) + F.col(f"s_{d}") * damp for d in prior}
     top = F.greatest(*logs.values()) if len(logs) > 1 else next(iter(logs.values()))
-    rows = rows.select("doc_id", "n", *(F.exp(v - top).alias(f"e_{d}") for d, v in logs.items()))
+    rows = rows.select("doc_id", "content", "n", *(F.exp(v - top).alias(f"e_{d}") for d, v in logs.items()))
     norm = sum((F.col(f"e_{d}") for d in logs), F.lit(0.0))
-    return rows.select("doc_id", "n", *((F.col(f"e_{d}") / norm if d in logs else F.lit(0.0)).alias(f"p_{d}") for d in domains))
+    return rows.select("doc_id", "content", "n", *((F.col(f"e_{d}") / norm if d in logs else F.lit(0.0)).alias(f"p_{d}") for d in domains))
 
 
 def inverse(g: list[list[float]]) -> list[list[float]]:
@@ -174,11 +175,15 @@ def copied(rows: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, max_rate: float | None = None, budget: float | None = None, **bounds) -> DataFrame:
     """doc_id, n, p_<domain>, rate, copies: how often to take the document (rate, rounded up or down by its hashed id)."""
     soft = cut(posteriors(docs, labelled, list(targets), **bounds), "posteriors")
-    return copied(fit(soft, targets, max_rate, budget))
+    return copied(fit(soft, targets, max_rate, budget)).drop("content")
 
 
 def keep_mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS, wanted: Collection[str] = ("high",), **bounds) -> DataFrame:
-    """docs thinned so that no domain but the wanted ones has more than its target of the expected words; no document is repeated."""
+    """docs thinned so that no domain but the wanted ones has more than its target of the expected words; no document is repeated.
+
+    Rows without a doc_id stay. Of rows that share a doc_id those of one text go together, those of others by their own rates.
+    """
     soft = cut(posteriors(docs, labelled, list(targets), **bounds), "posteriors")
-    gone = copied(thin(soft, targets, wanted)).where("copies = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = copied(thin(soft, targets, wanted)).where("copies = 0 and doc_id is not null").select(F.col("doc_id").alias("gone_id"), "content").distinct()
+    same = (docs["doc_id"].cast("long") == gone["gone_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["content"])
+    return docs.join(gone, same, "left_anti")
