@@ -6,32 +6,33 @@ pass over the word's positions gives it without listing the ways. Words are inde
 its words. The piece probabilities are learnt by expectation-maximisation, whose expected counts come from the same
 forward pass and a backward one.
 
-Learning uses a bounded sample: for each language at most ``sample_docs`` documents of at most ``sample_chars`` characters,
-those whose hashed ids are smallest. Prediction covers every word of every text. A word is a run of letters in lower case;
+Learning uses a bounded sample: for each of the ``languages`` with most documents at most ``sample_docs`` documents of at
+most ``sample_chars`` characters, those whose hashed ids are smallest. Prediction covers every word of every text. A word is a run of letters in lower case;
 runs beyond 32 letters are scored as consecutive parts of 32.
 
 Defined cases: text that is null or has no letter is ``und`` with score 0; so is every text if nothing can be learnt. A null
-doc_id counts as held out. Languages that tie go to the smaller name. Rows that repeat give rows that repeat.
+doc_id counts as held out. Languages that tie go to the smaller name. Rows that repeat give rows that repeat; of a repeated
+doc_id the smallest text is learnt from. predict() replaces columns of the names it adds, keep_known() changes none.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import aside, ship
 
 MARK = "▁"
 PART = 32
 #: Words whose lattices are held at once.
 SLICE = 16_384
-_RUNS = re.compile(r"[^\W\d_]+")
+_RUNS = regex.compile(r"\p{L}+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIXES = tuple(np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 _BITS = 18
@@ -205,20 +206,23 @@ class Scorer:
         return out, (out != 0).any(axis=1)
 
 
-def sample(docs: DataFrame, sample_docs: int, sample_chars: int) -> DataFrame:
-    """lang, text of the bounded sample to learn from: never a held-out document."""
+def sample(docs: DataFrame, sample_docs: int, sample_chars: int, languages: int) -> DataFrame:
+    """lang, text of the bounded sample to learn from, one row a document: never a held-out document."""
     ids = docs.where((F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & F.col("lang").isNotNull() & (F.char_length("text") <= sample_chars) & F.col("text").rlike(r"\p{L}"))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.select("doc_id", "lang").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= sample_docs)
-    return docs.join(ids.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi").where(F.char_length("text") <= sample_chars).select("lang", "text")
+    ids = ids.select("doc_id", "lang").withColumn("rn", F.dense_rank().over(w)).where(F.col("rn") <= sample_docs).select("doc_id", "lang").distinct()
+    known = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    ids = ids.join(F.broadcast(known), "lang", "left_semi")
+    few = docs.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")  # at most sample_docs x languages rows of two columns
+    return few.where(F.char_length("text") <= sample_chars).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
 
-def learn(docs: DataFrame, sample_docs: int = 200, sample_chars: int = 20_000, vocabulary: str | None = None) -> Model | None:
+def learn(docs: DataFrame, sample_docs: int = 200, sample_chars: int = 20_000, languages: int = 200, vocabulary: str | None = None) -> Model | None:
     """None if no document can be learnt from."""
     import public_tokenizers
     import sentencepiece
 
-    rows = sample(docs.select("doc_id", "lang", "text"), sample_docs, sample_chars).collect()  # bounded by the two parameters and the number of languages
+    rows = sample(docs.select("doc_id", "lang", "text"), sample_docs, sample_chars, languages).collect()  # bounded by the three parameters
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None
@@ -272,6 +276,14 @@ def identify(docs: DataFrame, **bounds) -> DataFrame:
     return predict(docs.select(F.col("doc_id").cast("long"), "text"), learn(docs, **bounds)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, least: float = 0.5, **bounds) -> DataFrame:
-    """docs without the documents that have no letter or no language of at least that probability."""
-    return predict(docs, learn(docs, **bounds)).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+def keep_known(docs: DataFrame, least: float = 0.5, letters: float = 0.75, spare: int = 16, **bounds) -> DataFrame:
+    """docs without the documents that have no language of at least that probability, or are hardly in any.
+
+    A document is in a language by its letters: they must be at least a share of all characters but white space, where so
+    many ``spare`` characters count as letters that short texts aren't judged by a date or a full stop. Running text of any
+    language is well above three quarters; noise, figures and symbol-laden text are below.
+    """
+    moved, back = aside(docs, "lang_pred", "score")
+    shown = F.char_length(F.regexp_replace("text", r"[\s\p{Z}]+", ""))
+    enough = F.regexp_count("text", F.lit(r"\p{L}")) + spare >= F.lit(letters) * shown
+    return back(predict(moved, learn(docs, **bounds)).where((F.col("lang_pred") != "und") & (F.col("score") >= least) & enough))

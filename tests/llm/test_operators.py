@@ -93,6 +93,42 @@ def test_mixing(spark, docs, empty):
     assert mixing.keep_mixed(docs, mixing.label_domains(labels)).columns == docs.columns
 
 
+def test_posteriors_against_plain_naive_bayes(spark):
+    rng = random.Random(17)
+    rows = [(i, " ".join(rng.choice(("red", "blue", "Green,", "sky", "mud.")) for _ in range(rng.randint(0, 30))) if i % 11 else None) for i in range(150)]
+    labelled = [(i, "a" if i % 3 else "b") for i in range(100)] + [(3, "a"), (None, "a"), (4, None)]
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labelled, "doc_id long, domain string")
+    got = {r["doc_id"]: r for r in mixing.posteriors(df, lab, ["a", "b", "c"], size=64, sample_docs=1000).collect()}
+    clean = lambda t: (t or "").lower().replace(",", " ").replace(".", " ").split()
+    bucket = {w: spark.range(1).select(F.pmod(F.hash(F.lit(w)), F.lit(64))).first()[0] for w in ("red", "blue", "green", "sky", "mud")}
+    domain = {}
+    for i, d in labelled:
+        if i is not None and d is not None:
+            domain[i] = min(d, domain.get(i, d))
+    count = {d: [0.5] * 64 for d in "ab"}
+    for i, t in rows:
+        for w in clean(t) if i in domain else []:
+            count[domain[i]][bucket[w]] += 1
+    for i, t in rows:
+        words = clean(t)
+        damp = 100 / (len(words) + 100)
+        log = {d: np.log(list(domain.values()).count(d) / len(domain)) + damp * sum(np.log(count[d][bucket[w]] / sum(count[d])) for w in words) for d in "ab"}
+        want = 1 / (1 + np.exp(log["b"] - log["a"]))
+        assert got[i]["n"] == len(words) and got[i]["p_a"] == pytest.approx(want, abs=1e-4) and got[i]["p_c"] == 0
+    few = mixing.posteriors(df, lab, ["a", "b"], size=64, sample_docs=10)  # learns from a tenth or so
+    assert few.count() == len(rows)
+
+
+def test_rates_of_rows_that_share_an_id(spark):
+    good, bad = "river stone meadow " * 20, "vile hate scum " * 20
+    rows = [(i, good) for i in range(60)] + [(i, bad) for i in range(100, 160)] + [(200, good), (200, bad), (None, bad)]
+    labels = spark.createDataFrame([(i, "high") for i in range(60)] + [(i, "toxic") for i in range(100, 160)], "doc_id long, domain string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("content", F.lit("c"))
+    kept = mixing.keep_mixed(df, labels, {"high": 1.0, "toxic": 0.0}, ("high",))
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] is not None) == sorted([(i, good) for i in range(60)] + [(200, good)])
+
+
 def test_projected_gradient_against_plain_least_squares(spark):
     rng = np.random.default_rng(9)
     p = rng.dirichlet([0.4, 0.4, 0.4], 200)
@@ -221,6 +257,20 @@ def test_language(spark, empty):
     assert {r["doc_id"] for r in langid.keep_known(df).collect()} >= set(range(120)) and langid.keep_known(df).columns == df.columns
     assert langid.identify(df.drop("lang").withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
     assert langid.identify(empty).count() == 0
+    odd = [(600, "½ ② ²³ ٣", None), (601, "aª", None), (602, text("aa").replace(" ", "%%% "), "aa"), (603, "the.", "aa"), (1, text("bb"), "bb")]
+    more = spark.createDataFrame([*rows, *odd], "doc_id long, text string, lang string").withColumn("score", F.lit("mine")).withColumn("lang_pred", F.lit(7))
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(more).collect()}[600] == "und"
+    kept = langid.keep_known(more)
+    assert kept.columns == more.columns and kept.where("score <> 'mine' or lang_pred <> 7").count() == 0
+    ids = {r["doc_id"] for r in kept.collect()}
+    assert 600 not in ids and 602 not in ids and 603 in ids and ids >= set(range(120))
+
+
+def test_language_learns_from_bounded_rows(spark):
+    rows = [(7, f"the and {i}", "aa") for i in range(50)] + [(i, "der und", "bb") for i in range(100, 130)] + [(i, "und", f"l{i}") for i in range(200, 220)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(df, sample_docs=5, sample_chars=100, languages=2).collect()
+    assert len(got) <= 10 and {r["lang"] for r in got} <= {"bb", "aa", "l200"}
 
 
 def test_substring_dedup(spark, rows, empty):
