@@ -3,13 +3,15 @@
 import hashlib
 import random
 import re
+import textwrap
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kerbline.llm import ann, langid, license_scan, line_dedup, mixing, packing, pii, simhash, substring_dedup, topk
-from kerbline.llm.license_texts import ISC, MIT
+from kerbline.llm.license_texts import BSD_3, DIGESTS, ISC, MIT
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rank int, score double"
 
@@ -44,6 +46,43 @@ def test_license(spark):
     assert (got[3]["n_notices"], got[3]["notices"]) == (2, "MIT") and got[4]["n_notices"] == 0
 
 
+def wrapped(text, width):
+    return "\n".join("\n".join(textwrap.wrap(x, width)) for x in text.split("\n"))
+
+
+def test_license_forms(spark, docs, rows, empty):
+    isc = wrapped(ISC, 70)
+    assert "\ncopyright notice" in (odd := ISC.replace("above copyright", "above\ncopyright"))
+    texts = [isc, odd, f"/* Copyright 2020 A. All rights reserved.\n * Copyright the B authors\n */\n{wrapped(BSD_3, 60)}", f"© A\n(c) 2021 B\n{wrapped(MIT, 33)}", "licence licence licence", "the sub\nlicence is", wrapped(BSD_3.upper(), 50), "x " * 400_000]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, digest string, of int")
+    got = {r["doc_id"]: r for r in license_scan.scan(df).collect()}
+    assert [got[i]["license_id"] for i in range(8)] == ["ISC", "ISC", "BSD-3-Clause", "MIT", None, None, "BSD-3-Clause", None]
+    shown = [r[0] for r in df.select(license_scan.canonical(F.col("text"))).collect()]
+    assert shown[4] == "license license license" and shown[5] == "the sublicense is"
+    assert license_scan.scan(empty).count() == 0 and license_scan.scan(docs).count() == len(rows)
+
+
+def test_license_lines_equal_texts_of_one_line(spark):
+    rng = random.Random(18)
+    parts = ["a", "Licence", "licence", " ", "  ", "\n", ".", "copyright 2020 x", "Copyright notice", "All rights reserved", "\t", "sub", "é"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    whole = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", license_scan.canonical_lines(F.col("t")).alias("l"))
+    lines = [(i, k, x) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n"))]
+    alone = spark.createDataFrame(lines, "i int, k int, t string").select("i", "k", license_scan.canonical(F.col("t")).alias("c")).orderBy("i", "k").collect()
+    for r in whole.collect():
+        assert r["l"] == [x["c"] for x in alone if x["i"] == r["i"] and x["c"]]
+
+
+def test_license_digests_are_those_of_the_public_texts(spark):
+    folder = Path("/usr/share/common-licenses")
+    names = {"GPL-3": "GPL-3.0-only", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1-only"}
+    rows = [(i, (folder / f).read_text()) for f, i in names.items() if (folder / f).exists()]
+    if not rows:
+        pytest.skip("the texts are not on this system")
+    found = spark.createDataFrame(rows, "i string, t string").select("i", license_scan.digest(F.col("t"))).collect()
+    assert {tuple(r) for r in found} <= set(DIGESTS)
+
+
 def test_packing(docs, rows, empty):
     p = packing.pack(docs, capacity=64, block_size=20).toPandas()
     assert len(p[p.piece == 0]) == len(rows)
@@ -294,21 +333,43 @@ def test_substring_dedup(spark, rows, empty):
     assert substring_dedup.dedup(empty).count() == 0
 
 
-def test_nearest_neighbours(spark):
+def nearest_plain(ids, v, q, k=20):
+    s = v @ v[np.searchsorted(ids, q)]
+    s[ids == q] = -np.inf
+    return ids[np.lexsort((ids, -s))[:k]].tolist()
+
+
+def test_nearest_neighbours(spark, empty):
+    """With the query's own parameters; copies, clusters and very different lengths."""
     rng = np.random.default_rng(14)
-    v = rng.standard_normal((600, 16))
-    v[100:130] = v[100]
-    table = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [0.0] * 16), (902, [float("inf")] * 16), (None, [1.0] * 16)]
-    df = spark.createDataFrame([(a, b, 1) for a, b in table], "vec_id long, embedding array<double>, rank int")
-    got = ann.nearest(ann.vectors(df), F.col("id") % 20 == 0, k=20, trees=4, bucket=128).toPandas()
-    hit = 0
+    v = rng.standard_normal((1500, 16))
+    v[200:500] = v[rng.integers(0, 5, 300)] + 0.05 * rng.standard_normal((300, 16))  # clusters
+    v[600:900] = v[600]  # copies, more than any list holds
+    table = [(i, x.tolist()) for i, x in enumerate(v)] + [(9000, None), (9001, [0.0] * 16), (9002, [float("inf")] * 16), (None, [1.0] * 16), (7, v[7].tolist()), (9003, [1.0])]
+    df = spark.createDataFrame([(a, b, 1, 2) for a, b in table], "vec_id long, embedding array<double>, rank int, node int")
+    got = ann.nearest(ann.vectors(df), F.col("id") % 20 == 0, k=20).toPandas()
+    hit = total = 0
     for q, g in got.groupby("query_id"):
-        s = v @ v[q]
-        s[q] = -np.inf
-        top = set(np.lexsort((np.arange(600), -s))[:20].tolist())
-        hit += len(top & set(g.vec_id))
-        assert g.sort_values("rank").score.is_monotonic_decreasing and len(g) == 20
-        assert np.allclose(g.score, [v[i] @ v[q] for i in g.vec_id])
-    assert hit >= 0.9 * 20 * got.query_id.nunique()
+        g = g.sort_values("rank")
+        top = nearest_plain(np.arange(1500), v, q)
+        hit, total = hit + len(set(top) & set(g.vec_id)), total + 20
+        assert len(g) == 20 and np.allclose(g.score, [v[i] @ v[q] for i in g.vec_id], rtol=1e-12)
+        order = list(zip(-g.score, g.vec_id, strict=True))
+        assert order == sorted(order)
+        if 600 <= q < 900:
+            assert g.vec_id.tolist() == top
+    assert hit >= 0.95 * total and got.query_id.nunique() == 75
     few = ann.nearest(ann.vectors(df.where("vec_id < 3")), F.col("id") == 0).toPandas()
     assert sorted(few.vec_id) == [1, 2]
+    none = df.where("vec_id < 0")
+    assert ann.nearest(ann.vectors(none), F.col("id") == 0).count() == 0
+
+
+def test_a_huge_vector_leaves_the_others_their_precision(spark):
+    rng = np.random.default_rng(15)
+    v = rng.standard_normal((300, 8))
+    v[7] *= 1e12
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.nearest(ann.vectors(df), F.col("id") % 20 == 0, k=20).toPandas()
+    hit = sum(len(set(nearest_plain(np.arange(300), v, q)) & set(g.vec_id)) for q, g in got.groupby("query_id"))
+    assert hit >= 0.95 * 20 * 15
