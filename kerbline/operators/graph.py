@@ -2,7 +2,8 @@
 
 nodes: group columns, node, input. edges: city_id, src, dst, weight. Every strategy returns the group columns, node, uplift.
 Hops and distances are joins and aggregates; lineage is cut through the shared folder. PageRank, with up to 100 rounds, runs
-as one Arrow kernel a city as long as a city's edges stay within a bound, which is checked, and as joins beyond it.
+as an Arrow kernel for each city and few hours as long as a city's edges stay within a bound, which is checked, and as joins
+beyond it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import cut, release
+
 KEYS = ["city_id", "hour"]
 
 
@@ -20,23 +23,12 @@ def validate(nodes: DataFrame, edges: DataFrame) -> None:
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     bad = edges.agg(F.count_if(~finite(F.col("weight")) | (F.col("weight") < 0))).first()[0]
     n, worse = nodes.agg(F.count("*"), F.count_if(~finite(F.col("input")))).first()
-    known = nodes.select("city_id", F.col("node").alias("dst")).distinct()
+    known = nodes.select("city_id", F.col("node").alias("dst"))
     lost = edges.join(known, ["city_id", "dst"], "left_anti").limit(1).count()
     if not n or bad or worse or lost:
         raise ValueError(f"invalid graph: {n} nodes, {bad} bad weights, {worse} bad inputs, unknown targets: {bool(lost)}")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kerbline-graph-"))
-    return df.checkpoint()
-
-
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, normalise: bool = True, rounds: int = 100, tolerance: float = 1e-12, kernel_edges: int = 5_000_000) -> DataFrame:
     """Personalised PageRank: pagerank_kernel() if no city has more than kernel_edges edges, else pagerank_joins()."""
     most = edges.groupBy("city_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
@@ -69,8 +61,8 @@ def power_iteration(src, dst, weight, teleport, damping: float, rounds: int, tol
     return pi
 
 
-def pagerank_kernel(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, normalise: bool = True, rounds: int = 100, tolerance: float = 1e-12) -> DataFrame:
-    """All hours of a city in one task."""
+def pagerank_kernel(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, normalise: bool = True, rounds: int = 100, tolerance: float = 1e-12, hours: int = 6) -> DataFrame:
+    """One task for each city and ``hours`` hours of the day."""
 
     def city(n, e):
         import numpy as np
@@ -79,8 +71,8 @@ def pagerank_kernel(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, n
         if not len(n):
             return pd.DataFrame({"city_id": [], "hour": [], "node": [], "uplift": []})
         ids, node = np.unique(n["node"].to_numpy(), return_inverse=True)
-        hours, hour = np.unique(n["hour"].to_numpy(), return_inverse=True)
-        x = np.zeros((len(ids), len(hours)))
+        own, hour = np.unique(n["hour"].to_numpy(), return_inverse=True)
+        x = np.zeros((len(ids), len(own)))
         np.add.at(x, (node, hour), n["input"].to_numpy())
         total = x.sum(axis=0)
         t = np.divide(x, total, out=np.zeros_like(x), where=total != 0)
@@ -91,9 +83,10 @@ def pagerank_kernel(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, n
             pi = np.divide(pi, top, out=pi, where=top > 0)
         return pd.DataFrame({"city_id": n["city_id"].to_numpy(), "hour": n["hour"].to_numpy(), "node": n["node"].to_numpy(), "uplift": pi[node, hour]})
 
-    left = nodes.select("city_id", F.col("hour").cast("int"), F.col("node").cast("long"), F.col("input").cast("double"))
-    right = edges.select("city_id", F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double"))
-    return left.groupBy("city_id").cogroup(right.groupBy("city_id")).applyInPandas(city, "city_id long, hour int, node long, uplift double")
+    left = nodes.select("city_id", F.col("hour").cast("int"), F.col("node").cast("long"), F.col("input").cast("double"), F.floor(F.col("hour") / hours).cast("int").alias("part"))
+    parts = left.select("city_id", F.col("part").alias("p")).distinct()  # a few for each city
+    right = edges.select("city_id", F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double")).join(parts, "city_id").select("city_id", "src", "dst", "weight", (F.col("p") + 0).alias("part"))
+    return left.groupBy("city_id", "part").cogroup(right.groupBy("city_id", "part")).applyInPandas(city, "city_id long, hour int, node long, uplift double")
 
 
 def pagerank_joins(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, normalise: bool = True, rounds: int = 100, tolerance: float = 1e-12, every: int = 5) -> DataFrame:
@@ -101,18 +94,20 @@ def pagerank_joins(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, no
     input is 0. A group stops changing once the L1 step is below the tolerance."""
     out = edges.groupBy("city_id", F.col("src").alias("u")).agg(F.sum("weight").alias("out"))
     share = edges.groupBy("city_id", F.col("src").alias("u"), F.col("dst").alias("v")).agg(F.sum("weight").alias("w")).join(out, ["city_id", "u"]).where("out > 0")
-    share = _cut(share.select("city_id", "u", "v", (F.col("w") / F.col("out")).alias("p")))
+    share = cut(share.select("city_id", "u", "v", (F.col("w") / F.col("out")).alias("p")), "share")
     total = nodes.groupBy(*KEYS).agg(F.sum("input").alias("total"))
     base = nodes.join(total, KEYS).join(out.withColumnRenamed("u", "node"), ["city_id", "node"], "left")
     state = base.select(*KEYS, "node", F.when(F.col("total") != 0, F.col("input") / F.col("total")).otherwise(0.0).alias("t"), (F.coalesce("out", F.lit(0.0)) == 0).alias("dangling"))
-    state = _cut(state.withColumn("pi", F.col("t")))
+    state = last = cut(state.withColumn("pi", F.col("t")), "rank")
     for k in range(rounds):
         lost = state.groupBy(*KEYS).agg(F.sum(F.when(F.col("dangling"), F.col("pi")).otherwise(0.0)).alias("lost"))
         got = state.join(share, (state.city_id == share.city_id) & (state.node == share.u)).groupBy(state.city_id, "hour", F.col("v").alias("node")).agg(F.sum(F.col("pi") * F.col("p")).alias("got"))
         new = (1 - damping) * F.col("t") + damping * F.col("lost") * F.col("t") + damping * F.coalesce("got", F.lit(0.0))
         state = state.join(lost, KEYS).join(got, [*KEYS, "node"], "left").select(*KEYS, "node", "t", "dangling", new.alias("pi"), F.abs(new - F.col("pi")).alias("step"))
         if k % every == every - 1 or k + 1 == rounds:
-            state = _cut(state)
+            state = cut(state, "rank")
+            release(last)
+            last = state
             worst = state.groupBy(*KEYS).agg(F.sum("step").alias("d")).agg(F.max("d")).first()[0]
             state = state.drop("step")
             if worst is None or worst < tolerance:
@@ -129,18 +124,39 @@ def _normalised(scores: DataFrame, normalise: bool) -> DataFrame:
     return scores.join(top, KEYS).select(*KEYS, "node", F.when(F.col("top") > 0, F.col("uplift") / F.col("top")).otherwise(F.col("uplift")).alias("uplift"))
 
 
+def _steps(edges: DataFrame, weight) -> DataFrame:
+    return edges.select("city_id", F.col("src").alias("mid"), F.col("dst").alias("to"), weight.alias("w")).groupBy("city_id", "mid", "to").agg(F.min("w").alias("w"))
+
+
+def _reach(front: DataFrame, step: DataFrame) -> DataFrame:
+    reach = front.join(step, (front.city_id == step.city_id) & (front.dst == step.mid))
+    return reach.select(front.city_id, "src", F.col("to").alias("dst"), (F.col("dist") + F.col("w")).alias("dist"))
+
+
+def _hops(edges: DataFrame, start: DataFrame, k: int) -> DataFrame:
+    """Fewest hops (city_id, src, dst, dist) up to k: so many joins, in one plan but for a cut every other hop."""
+    step = _steps(edges, F.lit(1.0))
+    front, whole = start, start
+    for hop in range(1, k + 1):
+        front = _reach(front, step).distinct()
+        front = cut(front, "hops") if hop % 2 == 0 and hop < k else front
+        whole = whole.unionByName(front)
+    return whole.groupBy("city_id", "src", "dst").agg(F.min("dist").alias("dist"))
+
+
 def _relaxed(edges: DataFrame, start: DataFrame, weight, rounds: int, cutoff: float) -> DataFrame:
     """Least distances (city_id, src, dst, dist) up to a cutoff; start holds distance 0."""
-    best, front = start, start
-    step = edges.select("city_id", F.col("src").alias("mid"), F.col("dst").alias("to"), weight.alias("w")).groupBy("city_id", "mid", "to").agg(F.min("w").alias("w"))
+    step = cut(_steps(edges, weight).where(F.col("w") <= cutoff), "steps")
+    best = front = cut(start, "reached")
     for _ in range(rounds):
-        reach = front.join(step, (front.city_id == step.city_id) & (front.dst == step.mid)).select(front.city_id, "src", F.col("to").alias("dst"), (F.col("dist") + F.col("w")).alias("dist"))
-        reach = reach.where(F.col("dist") <= cutoff).groupBy("city_id", "src", "dst").agg(F.min("dist").alias("dist"))
-        old = best.select("city_id", "src", "dst", F.col("dist").alias("was"))
-        front = _cut(reach.join(old, ["city_id", "src", "dst"], "left").where("was IS NULL OR dist < was").drop("was"))
-        if not front.limit(1).count():
+        reach = _reach(front, step).where(F.col("dist") <= cutoff).groupBy("city_id", "src", "dst").agg(F.min("dist").alias("dist"))
+        both = reach.join(best.withColumnRenamed("dist", "was"), ["city_id", "src", "dst"], "left")
+        new = cut(both.where("was IS NULL OR dist < was").drop("was"), "front")
+        if not new.limit(1).count():
             break
-        best = _cut(best.unionByName(front).groupBy("city_id", "src", "dst").agg(F.min("dist").alias("dist")))
+        whole = cut(best.unionByName(new).groupBy("city_id", "src", "dst").agg(F.min("dist").alias("dist")), "reached")
+        release(best, front)
+        best, front = whole, new
     return best
 
 
@@ -151,13 +167,13 @@ def _spread(nodes: DataFrame, dist: DataFrame, factor) -> DataFrame:
 
 
 def _origins(nodes: DataFrame) -> DataFrame:
-    return _cut(nodes.where(F.col("input") != 0).select("city_id", F.col("node").alias("src")).distinct().select("city_id", "src", F.col("src").alias("dst"), F.lit(0.0).alias("dist")))
+    return nodes.where(F.col("input") != 0).select("city_id", F.col("node").alias("src")).distinct().select("city_id", "src", F.col("src").alias("dst"), F.lit(0.0).alias("dist"))
 
 
 def influence(nodes: DataFrame, edges: DataFrame, k: int = 2, decay: float = 0.5, normalise: bool = False) -> DataFrame:
     """Sum of decay^hops * input over the sources at most max(1, k) hops away, itself excluded; weights play no part."""
     k = max(1, k)
-    dist = _relaxed(edges, _origins(nodes), F.lit(1.0), k, float(k))
+    dist = _hops(edges, _origins(nodes), k)
     return _normalised(_spread(nodes, dist, F.pow(F.lit(decay), F.col("dist"))), normalise)
 
 
@@ -187,5 +203,6 @@ for _name, _strategy in (("pagerank-diffusion", pagerank), ("influence-diffusion
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, strategy: str = "pagerank-diffusion", **params) -> DataFrame:
+    nodes, edges = cut(nodes, "nodes"), cut(edges, "edges")  # both are read several times
     validate(nodes, edges)
     return STRATEGIES[strategy](nodes, edges, **params)
