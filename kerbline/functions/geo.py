@@ -126,3 +126,33 @@ def tile_box(z: int, x: int, y: int) -> tuple[float, float, float, float]:
     n = 2.0**z
     lat = lambda v: math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * v / n))))
     return x / n * 360 - 180, lat(y + 1), (x + 1) / n * 360 - 180, lat(y)
+
+
+def tile_units(lon: Column, lat: Column, z: Column, x: Column, y: Column, extent: int = 4096) -> tuple[Column, Column]:
+    """Place within a slippy tile, in units of its extent from its north-western corner; not rounded."""
+    n, r = F.pow(F.lit(2.0), z), F.radians(lat)
+    px = ((lon + 180.0) / 360.0 * n - x) * extent
+    return px, ((1.0 - F.log(F.tan(r) + 1.0 / F.cos(r)) / math.pi) / 2.0 * n - y) * extent
+
+
+def clipped(coords: Column, z: Column, x: Column, y: Column, extent: int = 4096, buffer: int = 256) -> Column:
+    """Pieces of a line inside a tile and its buffer, as array<struct<part,x1,y1,x2,y2>> of whole units; empty if there is none.
+
+    Each leg is cut to the interval of its parameter in which it lies between both pairs of borders.
+    """
+    low, high = float(-buffer), float(extent + buffer)
+
+    def inside(p: Column, d: Column) -> tuple[Column, Column]:
+        a, b = (low - p) / d, (high - p) / d
+        still = F.when(p.between(low, high), 0.0).otherwise(2.0)  # enters after the end: nowhere
+        return F.when(d == 0, still).otherwise(F.least(a, b)), F.when(d == 0, 1.0).otherwise(F.greatest(a, b))
+
+    def piece(leg: Column, i: Column) -> Column:
+        (ax, ay), (bx, by) = (tile_units(leg[k]["lon"], leg[k]["lat"], z, x, y, extent) for k in ("a", "b"))
+        (x0, x1), (y0, y1) = inside(ax, bx - ax), inside(ay, by - ay)
+        s, e = F.greatest(F.lit(0.0), x0, y0), F.least(F.lit(1.0), x1, y1)
+        whole = lambda v, n: F.round(v).cast("int").alias(n)
+        cut = F.struct(i.alias("part"), whole(ax + s * (bx - ax), "x1"), whole(ay + s * (by - ay), "y1"), whole(ax + e * (bx - ax), "x2"), whole(ay + e * (by - ay), "y2"))
+        return F.when(s < e, cut)
+
+    return F.filter(F.transform(_legs(coords), piece), lambda p: p.isNotNull())

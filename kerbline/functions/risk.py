@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -146,3 +148,13 @@ def stub_hash(text: Column, salt: str) -> Column:
 
 def stub_bucket(u: Column) -> Column:
     return F.least(F.floor(u * 5), F.lit(4)).cast("int")
+
+
+def short_id(text: Column) -> Column:
+    return F.substring(text, 1, 8)
+
+
+def arcs(values: list[tuple[str, Column]], inner: float = 40.0, outer: float = 96.0) -> Column:
+    """Equal sectors of a full turn, in the order given: array<struct<name, start_angle, end_angle, inner_radius, outer_radius, value>>."""
+    turn = 2 * math.pi / len(values)
+    return F.array(*(F.struct(F.lit(n).alias("name"), F.lit(i * turn).alias("start_angle"), F.lit((i + 1) * turn).alias("end_angle"), F.lit(inner).alias("inner_radius"), F.lit(outer).alias("outer_radius"), v.alias("value")) for i, (n, v) in enumerate(values)))

@@ -1,43 +1,110 @@
-"""The hourly scoring run: sub-scores, propagation, composite. Time-invariant parts are computed once and joined to hours after."""
+"""The hourly scoring run: registered sub-scorers, propagation, composite. Parts that don't change by the hour are computed once and joined to the hours after."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, risk, solar
+from ..shared import cut
 from . import graph, historical, perception, topology
 
-#: Sub-scorers that a run can be extended with: name to a function (segments, hours) -> city_id, segment_id, hour, value.
-SCORERS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
 
+@dataclass(frozen=True)
+class Inputs:
+    """What a sub-scorer may read."""
 
-def glare_scores(segments: DataFrame, date: str, hours: Sequence[int]) -> DataFrame:
-    """city_id, segment_id, hour, glare."""
+    segments: DataFrame
+    imagery: DataFrame
+    incidents: DataFrame
+    topo: DataFrame
+    date: str
+    hours: tuple[int, ...]
+
+
+#: Name to a function of Inputs that returns city_id, segment_id, hour (only if values change by the hour), value, confidence, is_stub.
+SCORERS: dict[str, Callable[[Inputs], DataFrame]] = {}
+
+
+def register(name: str, scorer: Callable[[Inputs], DataFrame]) -> bool:
+    """False if the name is taken. A run has columns <name>, <name>_confidence and is_stub_<name> of it."""
+    if name in SCORERS:
+        return False
+    SCORERS[name] = scorer
+    return True
+
+
+def _sure(df: DataFrame) -> DataFrame:
+    return df.withColumns({"confidence": F.lit(1.0), "is_stub": F.lit(False)})
+
+
+def glare_scores(x: Inputs) -> DataFrame:
     axis = geo.bearing(F.col("start_lon"), F.col("start_lat"), F.col("end_lon"), F.col("end_lat"))
-    s = segments.select("city_id", "segment_id", "mid_lat", "mid_lon", axis.alias("axis"), F.explode(F.array(*(F.lit(h) for h in hours))).alias("hour"))
-    at = F.unix_timestamp(F.lit(f"{date} 00:00:00").cast("timestamp")) + F.col("hour") * 3600
+    s = x.segments.select("city_id", "segment_id", "mid_lat", "mid_lon", axis.alias("axis"), F.explode(F.array(*(F.lit(h) for h in x.hours))).alias("hour"))
+    at = F.unix_timestamp(F.lit(f"{x.date} 00:00:00").cast("timestamp")) + F.col("hour") * 3600
     azimuth, elevation = solar.position(F.col("mid_lat"), F.col("mid_lon"), at.cast("double"))
-    return s.select("city_id", "segment_id", "hour", solar.glare(geo.axis_angle(F.col("axis"), azimuth), elevation).alias("glare"))
-
-
-def scoring_run(segments: DataFrame, imagery: DataFrame, incidents: DataFrame, date: str, hours: Sequence[int] = tuple(range(24)), strategy: str = "pagerank-diffusion", **params) -> DataFrame:
-    """One row for each segment and hour, as the score history holds them."""
-    topo = topology.topology(segments)
-    fixed = topology.junction_scores(topo).select("city_id", "segment_id", F.col("score").alias("junction_complexity"))
-    hist = historical.scores(segments, incidents, F.lit(f"{date} 12:00:00").cast("timestamp")).select("segment_id", F.col("score").alias("historical"))
-    lane = perception.per_segment(segments, imagery).select("segment_id", F.col("value").alias("lane_marking"), F.col("confidence").alias("lane_confidence"), F.col("is_stub").alias("is_stub_lane_marking"))
-    fixed = fixed.join(hist, "segment_id").join(lane, "segment_id")
-    rows = glare_scores(segments, date, hours).join(fixed, ["city_id", "segment_id"])
-    local = risk.local_aggregate(F.col("glare"), F.col("lane_marking"), F.col("junction_complexity"), F.col("historical"))
-    rows = graph._cut(rows.withColumn("local", local))
+    return _sure(s.select("city_id", "segment_id", "hour", solar.glare(geo.axis_angle(F.col("axis"), azimuth), elevation).alias("value")))
+
+
+def lane_scores(x: Inputs) -> DataFrame:
+    return perception.per_segment(x.segments, x.imagery).select("city_id", "segment_id", "value", "confidence", "is_stub")
+
+
+def junction_scores(x: Inputs) -> DataFrame:
+    return _sure(topology.junction_scores(x.topo).select("city_id", "segment_id", F.col("score").alias("value")))
+
+
+def history_scores(x: Inputs) -> DataFrame:
+    at = F.lit(f"{x.date} 12:00:00").cast("timestamp")
+    return _sure(historical.scores(x.segments, x.incidents, at).select("city_id", "segment_id", F.col("score").alias("value")))
+
+
+for _name, _scorer in (("glare", glare_scores), ("lane_marking", lane_scores), ("junction_complexity", junction_scores), ("historical", history_scores)):
+    register(_name, _scorer)
+
+
+def sub_scores(x: Inputs, names: Sequence[str]) -> DataFrame:
+    """One row for each segment and hour with the columns of all named sub-scorers."""
+    hourly, fixed = [], []
+    for name in names:
+        df = SCORERS[name](x)
+        keys = ["city_id", "segment_id", *(["hour"] if "hour" in df.columns else [])]
+        named = df.select(*keys, F.col("value").alias(name), F.col("confidence").alias(f"{name}_confidence"), F.col("is_stub").alias(f"is_stub_{name}"))
+        (hourly if "hour" in keys else fixed).append(named)
+    still = x.segments.select("city_id", "segment_id")
+    for df in fixed:
+        still = still.join(df, ["city_id", "segment_id"], "left")
+    rows = still.withColumn("hour", F.explode(F.array(*(F.lit(h) for h in x.hours))))
+    for df in hourly:
+        rows = rows.join(df, ["city_id", "segment_id", "hour"], "left")
+    return rows
+
+
+def inputs(segments: DataFrame, imagery: DataFrame, incidents: DataFrame, date: str, hours: Sequence[int]) -> Inputs:
+    return Inputs(segments, imagery, incidents, topology.topology(segments), date, tuple(hours))
+
+
+def scoring_run(segments: DataFrame, imagery: DataFrame, incidents: DataFrame, date: str, hours: Sequence[int] = tuple(range(24)), strategy: str = "pagerank-diffusion", weights: Mapping[str, float] = risk.WEIGHTS, **params) -> DataFrame:
+    """One row for each segment and hour, as the score history holds them. weights: of the sub-scorers that take part."""
+    x = inputs(segments, imagery, incidents, date, hours)
+    local = sum((F.lit(w) * F.coalesce(name, F.lit(0.0)) for name, w in weights.items()), F.lit(0.0))
+    real = [F.when(~F.col(f"is_stub_{name}"), F.col(f"{name}_confidence")) for name in weights]
+    rows = cut(sub_scores(x, list(weights)).withColumns({"local": local, "confidence": F.coalesce(F.least(*real, F.lit(1.0)), F.lit(0.0))}), "sub-scores")
     nodes = rows.select("city_id", "hour", F.col("segment_id").alias("node"), F.col("local").alias("input"))
-    lift = graph.propagate(nodes, topology.adjacency(topo), strategy, **params).select("city_id", "hour", F.col("node").alias("segment_id"), F.col("uplift").alias("propagation_uplift"))
-    out = rows.join(lift, ["city_id", "hour", "segment_id"])
-    least = F.when(F.col("is_stub_lane_marking"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("lane_confidence")))
-    return out.withColumn("composite_risk", F.col("local") + F.col("propagation_uplift")).withColumn("confidence", least)
+    lift = graph.propagate(nodes, topology.adjacency(x.topo), strategy, **params).select("city_id", "hour", F.col("node").alias("segment_id"), F.col("uplift").alias("propagation_uplift"))
+    return rows.join(lift, ["city_id", "hour", "segment_id"]).withColumn("composite_risk", F.col("local") + F.col("propagation_uplift"))
+
+
+def provisional_run(segments: DataFrame, imagery: DataFrame, incidents: DataFrame, date: str, hours: Sequence[int] = tuple(range(24)), names: Sequence[str] = ("lane_marking", "glare", "junction_complexity")) -> DataFrame:
+    """The run without propagation: the mean of the sub-scores that are no stubs, and their smallest confidence."""
+    rows = sub_scores(inputs(segments, imagery, incidents, date, hours), names)
+    one = lambda n: F.struct(F.col(n).alias("value"), F.col(f"{n}_confidence").alias("confidence"), F.coalesce(f"is_stub_{n}", F.lit(True)).alias("stub"))
+    real = F.filter(F.array(*(one(n) for n in names)), lambda s: ~s["stub"])
+    mean = F.aggregate(real, F.lit(0.0), lambda a, s: a + s["value"]) / F.size(real)
+    return rows.withColumns({"composite_risk": F.when(F.size(real) > 0, mean).otherwise(0.0), "confidence": F.coalesce(F.array_min(F.transform(real, lambda s: s["confidence"])), F.lit(0.0))})
 
 
 PROVENANCE = ("scoring_run_id", "scoring_run_timestamp", "perception_model_version", "osm_snapshot_date", "imagery_window_start", "propagation_algorithm_version")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, risk, solar
-from ..operators import graph, historical, lookups, perception, topology
+from ..operators import detail, graph, historical, lookups, perception, scoring, topology
 from . import fixtures as X
 from .core import LATEST, r6
 from .registry import query
@@ -237,12 +237,12 @@ SUN = """
       23e0 + (26e0 + (21.448e0 - t * (46.815e0 + t * (0.00059e0 - t * 0.001813e0))) / 60e0) / 60e0 + 0.00256e0 * cos(radians(node)) AS tilt
   FROM (SELECT *, (280.46646e0 + t * (36000.76983e0 + t * 0.0003032e0)) % 360e0 AS l0, 357.52911e0 + t * (35999.05029e0 - 0.0001537e0 * t) AS m, 0.016708634e0 - t * (0.000042037e0 + 0.0000001267e0 * t) AS e, 125.04e0 - 1934.136e0 * t AS node
   FROM (SELECT segment_id, h, mid_lat AS lat, mid_lon AS lon, axis, ((1750464000e0 + h * 3600e0) / 86400e0 + 2440587.5e0 - 2451545e0) / 36525e0 AS t FROM (
-    SELECT segment_id, mid_lat, mid_lon, unnest(range(24)) AS h, """ + BEARING + """ AS axis FROM (SELECT *, start_lon AS x1, start_lat AS y1, end_lon AS x2, end_lat AS y2 FROM v_road_segments WHERE city_id = 1) s0) s) a) b) c) d) e1) f) g"""
+    SELECT segment_id, mid_lat, mid_lon, unnest(range(24)) AS h, """ + BEARING + """ AS axis FROM (SELECT *, start_lon AS x1, start_lat AS y1, end_lon AS x2, end_lat AS y2 FROM v_road_segments) s0) s) a) b) c) d) e1) f) g"""
 
 
 def sunlit(spark, d):
-    """Segments of one city at the 24 hours of a day, with axis, sun azimuth and elevation."""
-    s = X.road_segments(spark, d).where("city_id = 1")
+    """All segments at the 24 hours of a day, with axis, sun azimuth and elevation."""
+    s = X.road_segments(spark, d)
     hours = F.explode(F.sequence(F.lit(0), F.lit(23)))
     axis = geo.bearing(F.col("start_lon"), F.col("start_lat"), F.col("end_lon"), F.col("end_lat"))
     s = s.select("segment_id", "mid_lat", "mid_lon", axis.alias("axis"), hours.alias("h"))
@@ -264,15 +264,29 @@ def s1(spark, d):
 
 
 def scored_nodes(spark, d):
-    """Nodes of the graph at four hours: the local part of run A as input."""
+    """Nodes of the graph at 24 hours. Input is the local part of run A at the sampled hour before, which fades until the next sample."""
     s = X.segment_scores(spark, d).where(F.col("scoring_run_id").endswith("-A"))
-    local = s.select("segment_id", F.col("hour_utc").alias("hour"), F.greatest(F.lit(0.0), F.col("composite_risk") - F.col("propagation_uplift")).alias("x"))
-    base = X.road_segments(spark, d).select("city_id", F.col("segment_id"), F.explode(F.array(*(F.lit(h) for h in (0, 6, 12, 18)))).alias("hour"))
-    return base.join(local, ["segment_id", "hour"], "left").select("city_id", "hour", F.col("segment_id").alias("node"), F.coalesce("x", F.lit(0.0)).alias("input"))
-
-
-NODES = """SELECT s.city_id, h.hour, s.segment_id AS node, coalesce(greatest(0e0, c.composite_risk - c.propagation_uplift), 0e0) AS input FROM v_road_segments s CROSS JOIN (VALUES (0), (6), (12), (18)) AS h(hour)
-    LEFT JOIN v_segment_scores c ON c.segment_id = s.segment_id AND c.hour_utc = h.hour AND c.scoring_run_id LIKE '%-A'"""
+    local = s.select("segment_id", F.col("hour_utc").alias("at"), F.greatest(F.lit(0.0), F.col("composite_risk") - F.col("propagation_uplift")).alias("x"))
+    base = X.road_segments(spark, d).select("city_id", F.col("segment_id"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    base = base.withColumn("at", F.col("hour") - F.col("hour") % 6)
+    fade = 1.0 - 0.1 * (F.col("hour") % 6)
+    return base.join(local, ["segment_id", "at"], "left").select("city_id", "hour", F.col("segment_id").alias("node"), (F.coalesce("x", F.lit(0.0)) * fade).alias("input"))
+
+
+NODES = """SELECT s.city_id, CAST(h.hour AS INT) AS hour, s.segment_id AS node, coalesce(greatest(0e0, c.composite_risk - c.propagation_uplift), 0e0) * (1e0 - 0.1e0 * (h.hour % 6)) AS input FROM v_road_segments s CROSS JOIN range(24) AS h(hour)
+    LEFT JOIN v_segment_scores c ON c.segment_id = s.segment_id AND c.hour_utc = h.hour - h.hour % 6 AND c.scoring_run_id LIKE '%-A'"""
+#: Personalised PageRank of common table expressions adj (city_id, src, dst) and nodes (city_id, hour, node, input): 100 rounds, then divided by the largest of each city and hour.
+PAGERANK = """
+  share AS (SELECT city_id, src, dst, 1e0 / count(*) OVER (PARTITION BY city_id, src) AS p FROM adj),
+  tele AS (SELECT n.city_id, n.hour, n.node, coalesce(n.input / nullif(sum(n.input) OVER (PARTITION BY n.city_id, n.hour), 0), 0e0) AS t, o.src IS NULL AS dangling FROM nodes n LEFT JOIN (SELECT DISTINCT city_id, src FROM adj) o ON o.city_id = n.city_id AND o.src = n.node),
+  pr AS (SELECT 0 AS k, city_id, hour, node, t AS pi FROM tele
+    UNION ALL
+    SELECT s.k + 1, t.city_id, t.hour, t.node, 0.15e0 * t.t + 0.85e0 * (coalesce(l.lost, 0e0) * t.t + coalesce(g.got, 0e0))
+    FROM tele t CROSS JOIN (SELECT max(k) AS k FROM pr) s
+    LEFT JOIN (SELECT p.city_id, p.hour, sum(p.pi) AS lost FROM pr p JOIN tele d ON d.city_id = p.city_id AND d.hour = p.hour AND d.node = p.node AND d.dangling GROUP BY 1, 2) l ON l.city_id = t.city_id AND l.hour = t.hour
+    LEFT JOIN (SELECT p.city_id, p.hour, e.dst AS node, sum(p.pi * e.p) AS got FROM pr p JOIN share e ON e.city_id = p.city_id AND e.src = p.node GROUP BY 1, 2, 3) g ON g.city_id = t.city_id AND g.hour = t.hour AND g.node = t.node
+    WHERE s.k < 100),
+  lift AS (SELECT city_id, hour, node, coalesce(pi / nullif(max(pi) OVER (PARTITION BY city_id, hour), 0), 0e0) AS uplift FROM pr WHERE k = 100)"""
 
 
 @query("g3_influence_k2", f"""
@@ -284,19 +298,19 @@ def g3(spark, d):
     return graph.propagate(scored_nodes(spark, d), edges, "influence-diffusion", k=2).select("city_id", "hour", "node", r6("uplift"))
 
 
-@query("g2_pagerank")
+@query("g2_pagerank", f"WITH RECURSIVE adj AS ({ADJ}), nodes AS ({NODES}), {PAGERANK} SELECT city_id, hour, node, round(uplift, 6) AS uplift FROM lift")
 def g2(spark, d):
     edges = topology.adjacency(topology.topology(X.road_segments(spark, d)))
     return graph.propagate(scored_nodes(spark, d), edges, "pagerank-diffusion").select("city_id", "hour", "node", r6("uplift"))
 
 
 @query("g4_shortest_path", f"""
-  WITH adj AS ({ADJ}), nodes AS ({NODES}),
-  hops AS (SELECT src, dst, min(k) AS k FROM (SELECT src, dst, 1 AS k FROM adj UNION ALL SELECT a.src, b.dst, 2 FROM adj a JOIN adj b ON a.dst = b.src WHERE a.src <> b.dst) q GROUP BY 1, 2)
-  SELECT n.city_id, n.hour, n.node, round(coalesce(sum(exp(-0.5e0 * h.k) * m.input), 0e0), 6) AS uplift FROM nodes n LEFT JOIN hops h ON h.dst = n.node LEFT JOIN nodes m ON m.node = h.src AND m.hour = n.hour GROUP BY 1, 2, 3""")
+  WITH RECURSIVE adj AS (SELECT city_id, src, dst, 0.5e0 + 0.5e0 * ((src + dst) % 4) AS w FROM ({ADJ}) q), nodes AS ({NODES}),
+  walk AS (SELECT src, dst, w AS dist FROM adj WHERE w <= 2e0 UNION SELECT k.src, a.dst, k.dist + a.w FROM walk k JOIN adj a ON a.src = k.dst WHERE k.dist + a.w <= 2e0),
+  near AS (SELECT src, dst, min(dist) AS dist FROM walk WHERE src <> dst GROUP BY 1, 2)
+  SELECT n.city_id, n.hour, n.node, round(coalesce(sum(exp(-0.5e0 * h.dist) * m.input), 0e0), 6) AS uplift FROM nodes n LEFT JOIN near h ON h.dst = n.node LEFT JOIN nodes m ON m.node = h.src AND m.hour = n.hour GROUP BY 1, 2, 3""")
 def g4(spark, d):
-    """Unit weights here, so the SQL counterpart counts hops."""
-    edges = topology.adjacency(topology.topology(X.road_segments(spark, d)))
+    edges = topology.adjacency(topology.topology(X.road_segments(spark, d))).withColumn("weight", 0.5 + 0.5 * ((F.col("src") + F.col("dst")) % 4))
     return graph.propagate(scored_nodes(spark, d), edges, "weighted-shortest-path", radius=2.0, alpha=0.5).select("city_id", "hour", "node", r6("uplift"))
 
 
@@ -338,17 +352,133 @@ def f26(spark, d):
     return X.cities(spark, d).select("city_id", F.pmod(F.floor(minutes / 60.0 + 0.5).cast("int"), F.lit(24)).alias("noon_utc"))
 
 
-@query("j13_segment_hours", "SELECT segment_id, TIMESTAMP '2025-06-21 00:00:00' + to_hours(CAST(h AS INT)) AS at FROM (SELECT segment_id, unnest(range(24)) AS h FROM v_road_segments WHERE city_id = 3) q")
+@query("j13_segment_hours", "SELECT segment_id, TIMESTAMP '2025-06-21 00:00:00' + to_hours(CAST(h AS INT)) AS at FROM (SELECT segment_id, unnest(range(24)) AS h FROM v_road_segments) q")
 def j13(spark, d):
     hours = F.explode(F.expr("sequence(TIMESTAMP_NTZ '2025-06-21 00:00:00', TIMESTAMP_NTZ '2025-06-21 23:00:00', INTERVAL 1 HOUR)"))
-    return X.road_segments(spark, d).where("city_id = 3").select("segment_id", hours.alias("at"))
+    return X.road_segments(spark, d).select("segment_id", hours.alias("at"))
 
 
-@query("s6_composite_run")
-def s6(spark, d):
-    """The scoring run of one day and city: four sub-scores, propagation of the local part at every hour, composite, confidence."""
-    from ..operators.scoring import scoring_run
+GLARE = f"SELECT segment_id, CAST(h AS INT) AS h, CASE WHEN apparent < 0 THEN 0e0 ELSE greatest(0e0, least(1e0, power(cos(radians(least({AX}, 180e0 - {AX}))), 2) * (1e0 - sin(radians(apparent))))) END AS glare FROM ({SUN}) q"
+LANE = f"SELECT s.segment_id, coalesce(avg(q.value), 0e0) AS value, CASE WHEN count(q.value) = 0 THEN 0e0 ELSE 1e0 - max(q.uncertainty) END AS confidence, count(q.value) = 0 AS is_stub FROM v_road_segments s LEFT JOIN ({IMG}) q ON s.segment_id = q.segment_id GROUP BY 1"
 
-    seg = X.road_segments(spark, d).where("city_id = 1")
-    run = scoring_run(seg, X.segment_imagery(spark, d).where("city_id = 1"), X.incidents(spark, d).where("city_id = 1"), "2025-06-21", hours=(0, 6, 12, 18))
+
+@query("s6_composite_run", f"""
+  WITH RECURSIVE adj AS ({ADJ}),
+  subs AS (SELECT j.city_id, j.segment_id, g.h AS hour, g.glare, l.value AS lane, j.score AS junction, least(1e0, r.raw) AS historical, l.is_stub, CASE WHEN l.is_stub THEN 1e0 ELSE least(1e0, l.confidence) END AS confidence
+    FROM ({S3}) j JOIN ({GLARE}) g ON g.segment_id = j.segment_id JOIN ({LANE}) l ON l.segment_id = j.segment_id JOIN ({RAW}) r ON r.segment_id = j.segment_id),
+  local AS (SELECT *, 0.35e0 * glare + 0.30e0 * lane + 0.20e0 * junction + 0.15e0 * historical AS local FROM subs),
+  nodes AS (SELECT city_id, hour, segment_id AS node, local AS input FROM local), {PAGERANK}
+  SELECT c.city_id, c.segment_id, c.hour, round(glare, 6) AS glare, round(lane, 6) AS lane_marking, round(junction, 6) AS junction_complexity, round(historical, 6) AS historical, round(local, 6) AS local,
+    round(p.uplift, 6) AS propagation_uplift, round(local + p.uplift, 6) AS composite_risk, round(confidence, 6) AS confidence, is_stub AS is_stub_lane_marking
+  FROM local c JOIN lift p ON p.city_id = c.city_id AND p.hour = c.hour AND p.node = c.segment_id""")
+def s6(spark, d):
+    """The scoring run of one day, all cities and hours: four sub-scores, propagation of the local part at every hour, composite, confidence."""
+    run = scoring.scoring_run(X.road_segments(spark, d), X.segment_imagery(spark, d), X.incidents(spark, d), "2025-06-21")
     return run.select("city_id", "segment_id", "hour", *(r6(c) for c in ("glare", "lane_marking", "junction_complexity", "historical", "local", "propagation_uplift", "composite_risk", "confidence")), "is_stub_lane_marking")
+
+
+@query("s7_provisional_run", f"""
+  SELECT j.city_id, j.segment_id, g.h AS hour, round(CASE WHEN l.is_stub THEN (g.glare + j.score) / 2 ELSE (l.value + g.glare + j.score) / 3 END, 6) AS composite_risk, round(CASE WHEN l.is_stub THEN 1e0 ELSE least(1e0, l.confidence) END, 6) AS confidence
+  FROM ({S3}) j JOIN ({GLARE}) g ON g.segment_id = j.segment_id JOIN ({LANE}) l ON l.segment_id = j.segment_id""")
+def s7(spark, d):
+    run = scoring.provisional_run(X.road_segments(spark, d), X.segment_imagery(spark, d), X.incidents(spark, d), "2025-06-21")
+    return run.select("city_id", "segment_id", "hour", r6("composite_risk"), r6("confidence"))
+
+
+SUN_AT = SUN.replace("SELECT segment_id, h, mid_lat AS lat", "SELECT segment_id, h, stamp, mid_lat AS lat").replace("(1750464000e0 + h * 3600e0)", "epoch(stamp)")
+SUN_AT = SUN_AT.replace("SELECT segment_id, mid_lat, mid_lon, unnest(range(24)) AS h,", "SELECT segment_id, mid_lat, mid_lon, stamp, CAST(extract(hour FROM stamp) AS INT) AS h,").replace("FROM v_road_segments) s0)", "FROM scored) s0)")
+
+
+@query("q3_segment_detail", f"""
+  WITH picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY abs(epoch(scoring_run_timestamp) - epoch(TIMESTAMP '2025-06-21 08:20:00')), inserted_at DESC, scoring_run_timestamp DESC, score_id DESC) AS rn FROM v_segment_scores) q WHERE rn = 1),
+  scored AS (SELECT s.*, p.scoring_run_timestamp AS stamp FROM v_road_segments s JOIN picked p ON p.segment_id = s.segment_id),
+  sun AS (SELECT segment_id, azimuth, apparent FROM ({SUN_AT}) q),
+  img AS (SELECT segment_id, count(*) AS n, max(capture_date) AS newest FROM v_segment_imagery GROUP BY 1),
+  parts AS (SELECT s.segment_id, s.city_id, s.osm_way_id, p.*  EXCLUDE (segment_id, city_id), p.segment_id IS NULL AS none, r.propagation_algorithm_version AS v, coalesce(i.n, 0) AS n, i.newest, u.azimuth, u.apparent,
+      CASE WHEN i.newest IS NULL THEN 0e0 WHEN DATE '2024-06-01' - i.newest <= 180 THEN 1e0 WHEN DATE '2024-06-01' - i.newest >= 1080 THEN 0e0 ELSE (1080e0 - (DATE '2024-06-01' - i.newest)) / 900e0 END AS fresh,
+      least(1e0, coalesce(i.n, 0) / 5e0) AS cover, 1e0 - CASE WHEN p.confidence IS NULL THEN 1e0 ELSE greatest(0e0, 1e0 - p.confidence) END AS model
+    FROM v_road_segments s LEFT JOIN picked p ON p.segment_id = s.segment_id LEFT JOIN v_scoring_runs r ON r.scoring_run_id = p.scoring_run_id AND r.city_id = s.city_id LEFT JOIN img i ON i.segment_id = s.segment_id LEFT JOIN sun u ON u.segment_id = s.segment_id)
+  SELECT segment_id, city_id, osm_way_id, none AS is_stub, round(composite_risk, 6) AS composite_risk, CASE WHEN NOT none THEN round(greatest(0e0, composite_risk - propagation_uplift), 6) END AS local_contribution, round(coalesce(propagation_uplift, 0e0), 6) AS propagation_uplift,
+    regexp_extract(v, '^(.*)-([^-]*)$', 1) AS algorithm, regexp_extract(v, '^(.*)-([^-]*)$', 2) AS algorithm_version, round(sub_score_lane_marking, 6) AS lane_marking, round(sub_score_glare, 6) AS glare, round(sub_score_junction_complexity, 6) AS junction_complexity, round(sub_score_historical, 6) AS historical,
+    coalesce(is_stub_lane_marking, true) AS is_stub_lane_marking, n AS image_count, newest AS newest_image, round(least(fresh, cover, model), 6) AS confidence, CASE WHEN fresh = least(fresh, cover, model) THEN 'freshness' WHEN cover = least(fresh, cover, model) THEN 'coverage' ELSE 'model' END AS limiter,
+    round(azimuth, 4) AS sun_azimuth, round(apparent, 4) AS sun_elevation
+  FROM parts""")
+def q3(spark, d):
+    """Detail of every segment near a time; the stub's hashed values are left out here (f28_stub_hash has them)."""
+    day = lambda x: F.lit(x).cast("date")
+    out = detail.segment_detail(X.road_segments(spark, d), X.segment_scores(spark, d), X.scoring_runs(spark, d), X.segment_imagery(spark, d), F.lit("2025-06-21 08:20:00").cast("timestamp"), day("2024-06-01"))
+    real = lambda c: F.when(~F.col("is_stub"), r6(F.col(c))).alias(c)
+    return out.select(
+        "segment_id", "city_id", "osm_way_id", "is_stub", real("composite_risk"), real("local_contribution"), r6("propagation_uplift"), "algorithm", "algorithm_version", *(real(c) for c in detail.SUBS),
+        "is_stub_lane_marking", "image_count", "newest_image", r6("confidence"), "limiter", F.round("sun_azimuth", 4).alias("sun_azimuth"), F.round("sun_elevation", 4).alias("sun_elevation"),
+    )
+
+
+def clip_sql(legs: str, keep: str = "segment_id") -> str:
+    """legs: keep, part, tx, ty (a zoom-14 tile) and its place in the tile as px, py, qx, qy."""
+    side = lambda p, d, f: f"CASE WHEN {d} = 0 THEN CASE WHEN {p} BETWEEN -256e0 AND 4352e0 THEN {0 if f == 'least' else 1}e0 ELSE {2 if f == 'least' else 1}e0 END ELSE {f}((-256e0 - {p}) / {d}, (4352e0 - {p}) / {d}) END"
+    at = lambda a, b, t, n: f"CAST(round({a} + {t} * ({b} - {a})) AS INT) AS {n}"
+    cut = f"SELECT *, greatest(0e0, {side('px', '(qx - px)', 'least')}, {side('py', '(qy - py)', 'least')}) AS s, least(1e0, {side('px', '(qx - px)', 'greatest')}, {side('py', '(qy - py)', 'greatest')}) AS e FROM ({legs}) l"
+    return f"SELECT {keep}, tx, ty, part, {at('px', 'qx', 's', 'x1')}, {at('py', 'qy', 's', 'y1')}, {at('px', 'qx', 'e', 'x2')}, {at('py', 'qy', 'e', 'y2')} FROM ({cut}) c WHERE s < e"
+
+
+def _unit(lon: str, lat: str, a: str) -> str:
+    return f"(({lon} + 180e0) / 360e0 * 16384e0 - tx) * 4096e0 AS {a}x, ((1e0 - ln(tan(radians({lat})) + 1e0 / cos(radians({lat}))) / pi()) / 2e0 * 16384e0 - ty) * 4096e0 AS {a}y"
+
+
+_TX, _TY = "CAST(floor(({0} + 180e0) / 360e0 * 16384e0) AS BIGINT)", "CAST(floor((1e0 - ln(tan(radians({0})) + 1e0 / cos(radians({0}))) / pi()) / 2e0 * 16384e0) AS BIGINT)"
+TILED = f"""SELECT *, unnest(range({_TY.format('n')}, {_TY.format('s')} + 1)) AS ty FROM (SELECT *, unnest(range({_TX.format('w')}, {_TX.format('e')} + 1)) AS tx FROM (
+  SELECT *, least(start_lon, mid_lon, end_lon) AS w, greatest(start_lon, mid_lon, end_lon) AS e, least(start_lat, mid_lat, end_lat) AS s, greatest(start_lat, mid_lat, end_lat) AS n FROM v_road_segments) b) a"""
+LEGS = f"SELECT segment_id, city_id, tx, ty, 0 AS part, {_unit('start_lon', 'start_lat', 'p')}, {_unit('mid_lon', 'mid_lat', 'q')} FROM ({TILED}) t0 UNION ALL SELECT segment_id, city_id, tx, ty, 1, {_unit('mid_lon', 'mid_lat', 'p')}, {_unit('end_lon', 'end_lat', 'q')} FROM ({TILED}) t1"
+
+
+def tiled(spark, d, zoom: int = 14):
+    """Segments by the tiles their boxes meet, with what is left of their lines there; rows without geometry are dropped."""
+    s = X.road_segments(spark, d)
+    lons, lats = [F.col(f"{p}_lon") for p in ("start", "mid", "end")], [F.col(f"{p}_lat") for p in ("start", "mid", "end")]
+    s = s.withColumn("tx", F.explode(F.sequence(geo.tile_x(F.least(*lons), zoom), geo.tile_x(F.greatest(*lons), zoom))))
+    s = s.withColumn("ty", F.explode(F.sequence(geo.tile_y(F.greatest(*lats), zoom), geo.tile_y(F.least(*lats), zoom))))
+    return s.withColumn("geometry", geo.clipped(X.coords(), F.lit(zoom), F.col("tx"), F.col("ty"))).where(F.size("geometry") > 0)
+
+
+@query("snk7_tile_geometry", clip_sql(LEGS))
+def snk7(spark, d):
+    """Clipped and quantised geometry of every zoom-14 tile, rows keyed by tile."""
+    return tiled(spark, d).select("segment_id", F.col("tx").cast("long").alias("tx"), F.col("ty").cast("long").alias("ty"), F.inline("geometry"))
+
+
+@query("q10_tile_delta", f"""
+  SELECT g.tx, g.ty, g.segment_id, round(b.composite_risk - a.composite_risk, 6) + 0e0 AS composite_delta, round(b.sub_score_historical - a.sub_score_historical, 6) + 0e0 AS historical_delta
+  FROM (SELECT DISTINCT segment_id, city_id, tx, ty FROM ({clip_sql(LEGS, 'segment_id, city_id')}) c) g
+  JOIN v_segment_scores a ON a.segment_id = g.segment_id AND a.scoring_run_id = concat(CAST(g.city_id AS VARCHAR), '-A') AND a.hour_utc = 12
+  JOIN v_segment_scores b ON b.segment_id = g.segment_id AND b.scoring_run_id = concat(CAST(g.city_id AS VARCHAR), '-B') AND b.hour_utc = 12""")
+def q10(spark, d):
+    """Run B against run A of each city at noon, by tile, for segments with geometry in the tile."""
+    s = X.segment_scores(spark, d).where("hour_utc = 12").drop("city_id")
+    side = lambda t, n: s.where(F.col("scoring_run_id").endswith(f"-{t}")).select("segment_id", F.col("composite_risk").alias(f"c{n}"), F.col("sub_score_historical").alias(f"h{n}"))
+    g = tiled(spark, d).select(F.col("tx").cast("long").alias("tx"), F.col("ty").cast("long").alias("ty"), "segment_id")
+    return g.join(side("A", 0).join(side("B", 1), "segment_id"), "segment_id").select("tx", "ty", "segment_id", r6(F.col("c1") - F.col("c0"), "composite_delta"), r6(F.col("h1") - F.col("h0"), "historical_delta"))
+
+
+@query("a3_incident_window", "SELECT city_id, min(incident_at) AS first_at, max(incident_at) AS last_at FROM v_incidents GROUP BY 1")
+def a3(spark, d):
+    return X.incidents(spark, d).groupBy("city_id").agg(F.min("incident_at").alias("first_at"), F.max("incident_at").alias("last_at"))
+
+
+@query("l6_max_segments", "SELECT segment_id, city_id FROM v_road_segments ORDER BY segment_id LIMIT 250")
+def l6(spark, d):
+    """The cap of an imagery job: its first segments."""
+    return X.road_segments(spark, d).select("segment_id", "city_id").orderBy("segment_id").limit(250)
+
+
+@query("f33_short_id", "SELECT segment_id, substring(sha256(CAST(segment_id AS VARCHAR)), 1, 8) AS short FROM v_road_segments")
+def f33(spark, d):
+    return X.road_segments(spark, d).select("segment_id", risk.short_id(F.sha2(F.col("segment_id").cast("string"), 256)).alias("short"))
+
+
+@query("f40_arcs", """
+  SELECT score_id, k.name, round(k.i * pi() / 2, 6) AS start_angle, round((k.i + 1) * pi() / 2, 6) AS end_angle, 40e0 AS inner_radius, 96e0 AS outer_radius, round(CASE k.i WHEN 0 THEN sub_score_lane_marking WHEN 1 THEN sub_score_glare WHEN 2 THEN sub_score_junction_complexity ELSE sub_score_historical END, 6) AS value
+  FROM v_segment_scores CROSS JOIN (VALUES (0, 'lane_marking'), (1, 'glare'), (2, 'junction_complexity'), (3, 'historical')) AS k(i, name)""")
+def f40(spark, d):
+    a = risk.arcs([(n, F.col(f"sub_score_{n}")) for n in detail.SUBS])
+    return X.segment_scores(spark, d).select("score_id", F.inline(a)).select("score_id", "name", r6("start_angle"), r6("end_angle"), "inner_radius", "outer_radius", r6("value"))
