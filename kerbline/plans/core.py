@@ -235,7 +235,7 @@ def a15(spark, d):
     round(avg(composite_risk), 6) AS mean, round(max(composite_risk), 6) AS most
   FROM (SELECT city_id, composite_risk, row_number() OVER (PARTITION BY city_id ORDER BY composite_risk) AS k, count(*) OVER (PARTITION BY city_id) AS n FROM v_segment_scores) q GROUP BY 1""")
 def a16(spark, d):
-    """Nearest-rank p95 and p99; p50 interpolates. percentile aggregates merge partial counts, so no city is sorted in one task."""
+    """Nearest-rank p95 and p99; p50 interpolates. Rows are combined to counts of distinct values before they are shuffled; a city's distinct values meet in one task."""
     c = "composite_risk"
     disc = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {c})")
     return X.segment_scores(spark, d).groupBy("city_id").agg(r6(F.median(c), "p50"), r6(disc(0.95), "p95"), r6(disc(0.99), "p99"), r6(F.avg(c), "mean"), r6(F.max(c), "most"))

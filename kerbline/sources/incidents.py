@@ -22,6 +22,14 @@ def read_pages(spark: SparkSession, path: str, first_year: int | None = None, la
     return pages.select(F.explode("features").alias("f")).select("f.attributes", "f.geometry")
 
 
+def in_years(rows: DataFrame, first: int, last: int, at: str = "incident_at") -> DataFrame:
+    """Rows of these years: by partition if there is a year column, and as a range of the time itself, which files and row groups are skipped by."""
+    kind = dict(rows.dtypes)[at]
+    edge = lambda y: F.lit(f"{y}-01-01 00:00:00").cast(kind)
+    out = rows.where((F.col(at) >= edge(first)) & (F.col(at) < edge(last + 1)))
+    return out.where(F.col("year").between(first, last)) if "year" in rows.columns else out
+
+
 def marshal(features: DataFrame, provider: str, city_id: int, start=None, end=None) -> DataFrame:
     """Incidents of features: no id or time, or no place: dropped; geometry before attributes; closed date window."""
     a = F.col("attributes")

@@ -43,6 +43,36 @@ def test_sun_and_glare(spark):
     assert score["g"] > 0.6 and score["o"] == 0 and score["n"] == 0
 
 
+def test_sun_against_published_places(spark):
+    """Of the nautical kind, to a few hundredths of a degree: solstice noon heights follow from latitude and tilt alone, and equinox suns rise due east."""
+    def at(text, lat, lon):
+        z, e = solar.position(F.lit(lat), F.lit(lon), F.unix_timestamp(F.lit(text).cast("timestamp")).cast("double"))
+        return one(spark, z=z, e=e)
+
+    top = max(at(f"2025-06-21 16:{m:02d}:00", 42.3736, -71.1097)["e"] for m in range(40, 55))
+    assert top == pytest.approx(90 - 42.3736 + 23.4357, abs=0.02)
+    low = max(at(f"2025-12-21 16:{m:02d}:00", 42.3736, -71.1097)["e"] for m in range(36, 50))
+    assert low == pytest.approx(90 - 42.3736 - 23.4357, abs=0.08)  # with refraction
+    rise = at("2025-03-20 06:07:00", 0.0, 0.0)
+    assert rise["z"] == pytest.approx(90, abs=0.2) and abs(rise["e"]) < 1.0
+    assert at("2025-03-20 12:07:30", 0.0, 0.0)["e"] == pytest.approx(90, abs=0.3)
+
+
+def test_clipping(spark):
+    n = 2.0**14
+    lon = lambda px: (px / 4096 + 8000) / n * 360 - 180
+    lat = lambda py: math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * (py / 4096 + 6000) / n))))
+
+    def clip(*points):
+        line = F.array(*(geo.point(F.lit(lon(x)), F.lit(lat(y))) for x, y in points))
+        return [tuple(r) for r in one(spark, g=geo.clipped(line, F.lit(14), F.lit(8000), F.lit(6000)))["g"]]
+
+    assert clip((100, 100), (200, 300)) == [(0, 100, 100, 200, 300)]
+    assert clip((-1000, 100), (1000, 100), (1000, 9000)) == [(0, -256, 100, 1000, 100), (1, 1000, 100, 1000, 4352)]
+    assert clip((-1000, -1000), (-300, 5000)) == [] and clip((5000, 100), (6000, 100)) == []
+    assert clip((-1000, -1000), (5000, 5000)) == [(0, -256, -256, 4352, 4352)]
+
+
 def test_confidence_ties(spark):
     v, n = risk.confidence(F.lit(0.0), F.lit(0.0), F.lit(0.0))
     v2, n2 = risk.confidence(F.lit(1.0), F.lit(0.0), F.lit(0.0))

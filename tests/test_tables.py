@@ -67,3 +67,45 @@ def test_compare_guards(spark):
         delta.compare(scores, runs, "a", "a")
     with pytest.raises(LookupError):
         delta.compare(scores, runs, "a", "b")
+
+
+def test_years_are_pruned(spark, tmp_path):
+    for y in (2022, 2023, 2024):
+        (tmp_path / f"year={y}").mkdir()
+        (tmp_path / f"year={y}" / "p.json").write_text(json.dumps({"features": [{"attributes": {"CRASH_NUMB": str(y)}, "geometry": None}], "exceededTransferLimit": False}))
+    some = incidents.read_pages(spark, str(tmp_path), 2023, 2024)
+    assert sorted(r["attributes"]["CRASH_NUMB"] for r in some.collect()) == ["2023", "2024"]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+    rows = incidents.in_years(spark.read.parquet("/root/testdata/sf0.001/events.parquet"), 2024, 2024, "ts")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-01" in plan and "LessThan(ts,2025-01-01" in plan
+
+
+def test_append_scores(spark, tmp_path):
+    df = spark.range(5).select(F.lit(1).alias("city_id"), F.col("id").alias("segment_id"), F.lit("r").alias("scoring_run_id"), *(F.lit("x").alias(c) for c in scoring.PROVENANCE if c != "scoring_run_id"))
+    for _ in range(2):
+        scoring.append_scores(df, str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).where("city_id = 1 AND scoring_run_id = 'r'").count() == 10
+    with pytest.raises(ValueError):
+        scoring.append_scores(df.withColumn("osm_snapshot_date", F.lit(None).cast("string")), str(tmp_path / "s"))
+
+
+def test_hourly_counts(spark):
+    rows = spark.createDataFrame([("2024-01-01 10:05:00", 1), ("2024-01-01 10:55:00", 1), ("2024-01-01 11:00:00", 1), ("2024-01-01 10:00:00", 2)], "t string, city_id long")
+    got = streaming.hourly_counts(rows.select(F.col("t").cast("timestamp").alias("incident_at"), "city_id")).collect()
+    assert sorted((r["window"]["start"].hour, r["city_id"], r["n"]) for r in got) == [(10, 1, 2), (10, 2, 1), (11, 1, 1)]
+
+
+def test_a_registered_sub_scorer_takes_part(spark):
+    seg = spark.createDataFrame([(1, 9, "primary", "2", *xs) for xs in [(0.0, 0.0, 0.001, 0.0, 0.002, 0.0)]], "segment_id long, city_id long, highway string, lanes string, start_lon double, start_lat double, mid_lon double, mid_lat double, end_lon double, end_lat double")
+    none = spark.createDataFrame([], "segment_id long, city_id long, sample_index int, capture_date date, logits array<float>")
+    crashes = spark.createDataFrame([], "city_id long, provider_incident_id string, lon double, lat double, incident_at timestamp, severity string")
+    flat = lambda x: x.segments.select("city_id", "segment_id", F.lit(0.5).alias("value"), F.lit(0.25).alias("confidence"), F.lit(False).alias("is_stub"))
+    assert scoring.register("surface", flat) and not scoring.register("surface", flat) and not scoring.register("glare", flat)
+    try:
+        row = scoring.scoring_run(seg, none, crashes, "2025-06-21", hours=(3,), weights={"surface": 0.8, "lane_marking": 0.2}).first()
+    finally:
+        scoring.SCORERS.pop("surface")
+    assert row["local"] == pytest.approx(0.4) and row["confidence"] == 0.25 and row["is_stub_lane_marking"] and row["composite_risk"] == pytest.approx(1.4)
+    assert scoring.provisional_run(seg, none, crashes, "2025-06-21", hours=(3, 12)).count() == 2
