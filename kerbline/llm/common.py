@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, release, shared_dir  # noqa: F401
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -28,39 +26,6 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one of our own in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="kerbline-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and lost executors cost nothing before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._kerbline_path = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Deletes what cut() wrote, once nothing reads it any more."""
-    for df in frames:
-        path = getattr(df, "_kerbline_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def join_spread(many: DataFrame, few: DataFrame, keys: list[str], by: list[str], least: int = 1000) -> DataFrame:
     """many joined with few on keys, where no key's rows meet in one task.
 
