@@ -54,6 +54,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], size: int, s
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     most = F.coalesce(*(F.when(F.col("domain") == d, F.lit(sample_docs / n)) for d, n in share.items()), F.lit(0.0))
     few = own.where(part < most)
+    few = F.broadcast(few) if sample_docs * len(domains) <= 100_000 else few  # about so many rows of two columns: hashed ids are even
     seen = docs.select("doc_id", text_or_empty().alias("text")).join(few, "doc_id").select("domain", F.explode(buckets(F.col("text"), size)).alias("b"))
     counts = {d: [0.5] * size for d in share}
     for r in seen.groupBy("domain", "b").agg(F.count("*").alias("n")).collect():  # at most domains x buckets rows
