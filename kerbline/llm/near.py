@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, ship, text_or_empty
+from .common import cut, join_spread, release, ship, text_or_empty
 from .components import components
 from .simhash import SEED, fingerprint, link_classes
 
@@ -117,8 +117,9 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int
 def links(docs: DataFrame, classes: DataFrame, shingle: int, least: float, radius: int) -> DataFrame:
     """classes: c, doc_id, fp, keys. Links (a, b) whose components are those of all candidates that are similar enough."""
     rows = classes.select("c", F.explode("keys").alias("key"))
-    full = rows.groupBy("key").agg(F.min("c").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    rows = cut(rows.join(full, "key").select("c", "key", "lead"), "buckets")
+    full = cut(rows.groupBy("key").agg(F.min("c").alias("lead"), F.count("*").alias("n")).where("n > 1"), "leads")
+    rows = cut(join_spread(rows, full, ["key"], ["c"]).select("c", "key", "lead"), "buckets")
+    release(full)
     marks = classes.groupBy("fp").agg(F.min("c").alias("lead"))
     alike = classes.join(marks, "fp").select(F.col("lead").alias("a"), F.col("c").alias("b"))
     close = link_classes(marks.select("fp"), radius)
@@ -131,8 +132,8 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, least: float, radiu
     named = cut(rows.join(roots, rows.c == roots.node, "left").select("c", "key", F.coalesce("root", "c").alias("root")), "buckets")
     release(rows)
     sizes = named.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = named.join(main.select("key", F.col("m.root").alias("main")), "key")
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"), F.sum("n").alias("n")).where("roots > 1")
+    mixed = join_spread(named, cut(main.select("key", F.col("m.root").alias("main"), "n"), "mains"), ["key"], ["c"])
     apart = mixed.where("root <> main").select("key", F.col("c").alias("c1"), F.col("root").alias("r1"))
     pairs = apart.join(mixed, "key").where((F.col("root") != F.col("r1")) & ((F.col("root") == F.col("main")) | (F.col("c1") < F.col("c"))))
     pairs = pairs.select(F.least("c1", "c").alias("a"), F.greatest("c1", "c").alias("b")).distinct()
