@@ -21,12 +21,13 @@ KEYS = ["city_id", "hour"]
 def validate(nodes: DataFrame, edges: DataFrame) -> None:
     """Raises for weights that are negative or not finite, inputs that are not finite, unknown targets, and empty graphs."""
     finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-    bad = edges.agg(F.count_if(~finite(F.col("weight")) | (F.col("weight") < 0))).first()[0]
     n, worse = nodes.agg(F.count("*"), F.count_if(~finite(F.col("input")))).first()
-    known = nodes.select("city_id", F.col("node").alias("dst"))
-    lost = edges.join(known, ["city_id", "dst"], "left_anti").limit(1).count()
+    # one row for each node that is a target: how many bad weights lead to it, and whether it is known
+    ends = edges.groupBy("city_id", F.col("dst").alias("node")).agg(F.count_if(~finite(F.col("weight")) | (F.col("weight") < 0)).alias("bad"))
+    known = nodes.select("city_id", "node").distinct().withColumn("known", F.lit(1))
+    bad, lost = ends.join(known, ["city_id", "node"], "left").agg(F.sum("bad"), F.count_if(F.col("known").isNull())).first()
     if not n or bad or worse or lost:
-        raise ValueError(f"invalid graph: {n} nodes, {bad} bad weights, {worse} bad inputs, unknown targets: {bool(lost)}")
+        raise ValueError(f"invalid graph: {n} nodes, {bad} bad weights, {worse} bad inputs, {lost} unknown targets")
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, normalise: bool = True, rounds: int = 100, tolerance: float = 1e-12, kernel_edges: int = 5_000_000) -> DataFrame:
