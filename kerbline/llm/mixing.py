@@ -22,6 +22,7 @@ rate each; an empty table gives no rows. Targets name the domains: labels of oth
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Collection, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -131,6 +132,8 @@ def fit(soft: DataFrame, targets: Mapping[str, float], max_rate: float | None =
             rows = written
             if old is not None:
                 release(old)
+    else:
+        warnings.warn(f"the targets are not met within {rounds} rounds; largest error of the last round {max(map(abs, error)) / budget:.2g} of the budget", stacklevel=2)
     return rows
 
 

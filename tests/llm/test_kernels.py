@@ -178,6 +178,39 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(np.exp(p.score(words, w)), [[plain("▁" + x, l) for l in range(2)] for x in words])
 
 
+def test_learning_against_enumerated_segmentations():
+    p = langid.Pieces(["▁", "▁a", "a", "b", "ab", "▁ab", "ba"])
+    words, counts = ["ab", "aba", "bb", "zab", "a"], np.array([[3, 1], [2, 0], [0, 4], [1, 1], [0, 2]], float)
+
+    def ways(s):
+        if not s:
+            return [[]]
+        own = [p.pieces.index(s[:k]) if s[:k] in p.pieces else p.none + 1 for k in range(1, len(s) + 1) if s[:k] in p.pieces or k == 1]
+        size = [k for k in range(1, len(s) + 1) if s[:k] in p.pieces or k == 1]
+        return [[i, *rest] for i, k in zip(own, size, strict=True) for rest in ways(s[k:])]
+
+    w = np.full((p.size, 2), 1 / p.none)
+    w[p.none], w[p.none + 1] = 0, 1e-7
+    for _ in range(3):
+        seen = np.zeros_like(w)
+        for word, n in zip(words, counts, strict=True):
+            every = ways("▁" + word)
+            each = np.array([np.prod(w[x], axis=0) for x in every])
+            for x, share in zip(every, each / each.sum(axis=0), strict=True):
+                for i in x:
+                    seen[i] += share * n
+        kept = seen[: p.none] + 0.05
+        w[: p.none] = kept / kept.sum(axis=0) * (1 - 1e-7)
+    assert np.allclose(p.learn(words, counts, rounds=3), w)
+    model = langid.Model(["x", "y"], p, w, np.log([0.5, 0.5]))
+    text = ["ab ABA, a.", "bb z", ""]
+    sums, letters = langid.Scorer(model).batch(text)
+    for t, row in zip(text, sums, strict=True):
+        want = sum((np.log(sum(np.prod(w[x], axis=0) for x in ways("▁" + v))) for v in langid.words_of(t)), np.zeros(2))
+        assert np.allclose(row, want)
+    assert letters.tolist() == [True, True, False]
+
+
 def test_patience_alignment():
     assert line_dedup.increasing([(0, 5), (1, 1), (2, 2), (3, 0), (4, 3)]) == [(1, 1), (2, 2), (4, 3)]
     assert line_dedup.blocks([(1, 1), (2, 2), (4, 3)]) == [[1, 2], [4]]
