@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut, release
+from ..shared import cut, release, ship
 
 KEYS = ["city_id", "hour"]
 
@@ -64,6 +64,7 @@ def power_iteration(src, dst, weight, teleport, damping: float, rounds: int, tol
 
 def pagerank_kernel(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, normalise: bool = True, rounds: int = 100, tolerance: float = 1e-12, hours: int = 6) -> DataFrame:
     """One task for each city and ``hours`` hours of the day."""
+    ship(nodes.sparkSession)
 
     def city(n, e):
         import numpy as np

@@ -1,14 +1,26 @@
-"""Lineage cuts in the folder that driver and executors share."""
+"""Lineage cuts in the folder that driver and executors share, and what Python workers need to import this package."""
 
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package where only the driver's sys.path holds it."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one of our own in local mode only."""
