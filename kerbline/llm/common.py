@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import cut, release, shared_dir  # noqa: F401
-
-ROOT = str(Path(__file__).resolve().parents[2])
-
+from ..shared import cut, release, shared_dir, ship  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; read by Spark only, so any store that Spark reaches will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package where only the driver's sys.path holds it."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-
-
 def join_spread(many: DataFrame, few: DataFrame, keys: list[str], by: list[str], least: int = 1000) -> DataFrame:
     """many joined with few on keys, where no key's rows meet in one task.
 
