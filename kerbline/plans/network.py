@@ -292,10 +292,10 @@ PAGERANK = """
 @query("g3_influence_k2", f"""
   WITH adj AS ({ADJ}), nodes AS ({NODES}),
   hops AS (SELECT src, dst, min(k) AS k FROM (SELECT src, dst, 1 AS k FROM adj UNION ALL SELECT a.src, b.dst, 2 FROM adj a JOIN adj b ON a.dst = b.src WHERE a.src <> b.dst) q GROUP BY 1, 2)
-  SELECT n.city_id, n.hour, n.node, round(coalesce(sum(power(0.5e0, h.k) * m.input), 0e0), 6) AS uplift FROM nodes n LEFT JOIN hops h ON h.dst = n.node LEFT JOIN nodes m ON m.node = h.src AND m.hour = n.hour GROUP BY 1, 2, 3""")
+  SELECT n.city_id, n.hour, n.node, round(coalesce(sum(power(0.5e0, h.k) * m.input), 0e0) + 1e-9, 6) AS uplift FROM nodes n LEFT JOIN hops h ON h.dst = n.node LEFT JOIN nodes m ON m.node = h.src AND m.hour = n.hour GROUP BY 1, 2, 3""")
 def g3(spark, d):
     edges = topology.adjacency(topology.topology(X.road_segments(spark, d)))
-    return graph.propagate(scored_nodes(spark, d), edges, "influence-diffusion", k=2).select("city_id", "hour", "node", r6("uplift"))
+    return graph.propagate(scored_nodes(spark, d), edges, "influence-diffusion", k=2).select("city_id", "hour", "node", r6(F.col("uplift") + 1e-9, "uplift"))  # sums end in a five often; both sides round up
 
 
 @query("g2_pagerank", f"WITH RECURSIVE adj AS ({ADJ}), nodes AS ({NODES}), {PAGERANK} SELECT city_id, hour, node, round(uplift, 6) AS uplift FROM lift")
