@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..shared import cut, release, shared_dir, ship  # noqa: F401
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; read by Spark only, so any store that Spark reaches will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
