@@ -2,7 +2,9 @@
 
 1. A labelled table (id, domain) trains a multinomial naive Bayes on hashed words. It learns from about ``sample_docs``
    documents a domain: of more labelled ones it takes those in the share of the hashed ids that so many are. What it learns
-   are buckets x domains counts, whatever the input.
+   are buckets x domains counts, whatever the input. Buckets whose share differs by more than a
+   ``ratio`` between two domains tell the domains apart; all others count as one and the same word, so the words of a language
+   that happens to be labelled a little more often say nothing, and a text without telling words is what such texts mostly are.
 2. Every document gets its number of words n and a posterior p over the domains. Evidence is tempered: it counts as that of
    at most ``evidence`` average words, so that long documents keep soft memberships.
 3. Rates r >= 0 (and <= ``max_rate`` if given) are fitted so that the expected totals sum(r * n * p) meet the targets t, by
@@ -48,7 +50,7 @@ def buckets(text: Column, size: int) -> Column:
     return F.transform(words(text), lambda w: F.pmod(F.hash(w), F.lit(size)))
 
 
-def train(docs: DataFrame, labelled: DataFrame, domains: list[str], size: int, sample_docs: int) -> tuple[dict[str, float], dict[str, list[float]]]:
+def train(docs: DataFrame, labelled: DataFrame, domains: list[str], size: int, sample_docs: int, ratio: float) -> tuple[dict[str, float], dict[str, list[float]]]:
     """Log-priors and, for each domain, a log-weight for each bucket; domains without labelled documents are left out."""
     own = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     share = {r["domain"]: r["n"] for r in own.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # one row a domain
@@ -61,13 +63,15 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], size: int, s
     for r in seen.groupBy("domain", "b").agg(F.count("*").alias("n")).collect():  # at most domains x buckets rows
         counts[r["domain"]][r["b"]] += r["n"]
     total = sum(share.values())
-    sums = {d: sum(v) for d, v in counts.items()}
-    return {d: math.log(share[d] / total) for d in share}, {d: [math.log(x / sums[d]) for x in v] for d, v in counts.items()}
+    part = {d: [x / sum(v) for x in v] for d, v in counts.items()}
+    telling = [max(x) > min(x) * ratio for x in zip(*part.values(), strict=True)]
+    rest = {d: sum(x for x, own in zip(v, telling, strict=True) if not own) for d, v in part.items()}
+    return {d: math.log(share[d] / total) for d in share}, {d: [math.log(x if own else rest[d]) for x, own in zip(v, telling, strict=True)] for d, v in part.items()}
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], size: int = 8192, sample_docs: int = 3000, evidence: float = 100.0) -> DataFrame:
+def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], size: int = 8192, sample_docs: int = 3000, evidence: float = 100.0, ratio: float = 3.0) -> DataFrame:
     """doc_id, content (hashed text), n (words), p_<domain> for each domain; one row for each row of docs."""
-    prior, weight = train(docs, labelled, domains, size, sample_docs)
+    prior, weight = train(docs, labelled, domains, size, sample_docs, ratio)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("content"), buckets(text_or_empty(), size).alias("b"))
     if not prior:
         return rows.select("doc_id", "content", F.size("b").cast("long").alias("n"), *(F.lit(None).cast("double").alias(f"p_{d}") for d in domains))
@@ -140,8 +144,8 @@ def fit(soft: DataFrame, targets: Mapping[str, float], max_rate: float | None =
 def thin(soft: DataFrame, targets: Mapping[str, float], wanted: Collection[str], rounds: int = 40, hold: int = 12, tolerance: float = 1e-6) -> DataFrame:
     """Adds rate (at most 1) to soft, which must be cheap to read again: the targets of domains that aren't wanted are upper bounds.
 
-    Documents that belong mainly to wanted domains have rate 1. The others lose, by their memberships, what the domains beyond
-    their bounds have too much of the words that stay; a scarce domain costs nothing.
+    Documents that belong mainly to wanted domains have rate 1. The others lose, by the membership in the domain they belong to
+    most, what the domains beyond their bounds have too much of the words that stay; a scarce domain costs nothing.
     """
     limited = [d for d in targets if d not in wanted]
     rows = soft.withColumn("rate", F.lit(1.0))
@@ -151,16 +155,17 @@ def thin(soft: DataFrame, targets: Mapping[str, float], wanted: Collection[str],
     clean = sum((F.coalesce(f"p_{d}", F.lit(0.0)) for d in targets if d in wanted), F.lit(0.0))
     free = F.greatest(F.lit(0.0), *p) > clean
     bound = [targets[d] / sum(targets.values()) for d in limited]
-    live = F.when(free & (F.col("rate") > 0), n).otherwise(0) * sum(p, F.lit(0.0))
+    main = [F.when(x == F.greatest(F.lit(0.0), *p), x).otherwise(0.0) for x in p]
+    live = F.when(free & (F.col("rate") > 0), n).otherwise(0)
     written = None
     for k in range(rounds):
-        now = rows.agg(F.sum(F.col("rate") * n).alias("all"), *(F.sum(F.col("rate") * n * x).alias(f"t{i}") for i, x in enumerate(p)), *(F.sum(live * x).alias(f"g{i}") for i, x in enumerate(p))).first()
+        now = rows.agg(F.sum(F.col("rate") * n).alias("all"), *(F.sum(F.col("rate") * n * x).alias(f"t{i}") for i, x in enumerate(p)), *(F.sum(live * x * y).alias(f"g{i}") for i, (x, y) in enumerate(zip(p, main, strict=True)))).first()
         total = now["all"] or 0.0
         over = [max(0.0, (now[f"t{i}"] or 0.0) - b * total) for i, b in enumerate(bound)]
         step = [x / now[f"g{i}"] if now[f"g{i}"] else 0.0 for i, x in enumerate(over)]
         if max(over) <= tolerance * total or not any(step):
             break
-        less = F.greatest(F.lit(0.0), F.col("rate") - sum((x * F.lit(s) for x, s in zip(p, step, strict=True)), F.lit(0.0)))
+        less = F.greatest(F.lit(0.0), F.col("rate") - sum((x * F.lit(s) for x, s in zip(main, step, strict=True)), F.lit(0.0)))
         rows = rows.withColumn("rate", F.when(free, less).otherwise(1.0))
         if k % hold == hold - 1:
             old, written = written, cut(rows, "rates")

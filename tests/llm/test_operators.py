@@ -137,7 +137,7 @@ def test_posteriors_against_plain_naive_bayes(spark):
     rows = [(i, " ".join(rng.choice(("red", "blue", "Green,", "sky", "mud.")) for _ in range(rng.randint(0, 30))) if i % 11 else None) for i in range(150)]
     labelled = [(i, "a" if i % 3 else "b") for i in range(100)] + [(3, "a"), (None, "a"), (4, None)]
     df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labelled, "doc_id long, domain string")
-    got = {r["doc_id"]: r for r in mixing.posteriors(df, lab, ["a", "b", "c"], size=64, sample_docs=1000).collect()}
+    got = {r["doc_id"]: r for r in mixing.posteriors(df, lab, ["a", "b", "c"], size=64, sample_docs=1000, ratio=1.3).collect()}
     clean = lambda t: (t or "").lower().replace(",", " ").replace(".", " ").split()
     bucket = {w: spark.range(1).select(F.pmod(F.hash(F.lit(w)), F.lit(64))).first()[0] for w in ("red", "blue", "green", "sky", "mud")}
     domain = {}
@@ -151,7 +151,10 @@ def test_posteriors_against_plain_naive_bayes(spark):
     for i, t in rows:
         words = clean(t)
         damp = 100 / (len(words) + 100)
-        log = {d: np.log(list(domain.values()).count(d) / len(domain)) + damp * sum(np.log(count[d][bucket[w]] / sum(count[d])) for w in words) for d in "ab"}
+        part = {d: np.array(count[d]) / sum(count[d]) for d in "ab"}
+        telling = np.maximum(part["a"], part["b"]) > 1.3 * np.minimum(part["a"], part["b"])
+        weight = {d: np.log(np.where(telling, part[d], part[d][~telling].sum())) for d in "ab"}
+        log = {d: np.log(list(domain.values()).count(d) / len(domain)) + damp * sum(weight[d][bucket[w]] for w in words) for d in "ab"}
         want = 1 / (1 + np.exp(log["b"] - log["a"]))
         assert got[i]["n"] == len(words) and got[i]["p_a"] == pytest.approx(want, abs=1e-4) and got[i]["p_c"] == 0
     few = mixing.posteriors(df, lab, ["a", "b"], size=64, sample_docs=10)  # learns from a tenth or so
