@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, license_scan, line_dedup, mixing, packing, pii, simhash, substring_dedup, topk
+from . import ann, langid, license_scan, line_dedup, merkle, mixing, packing, pii, sentence_pieces, simhash, spelling, substring_dedup, topk
 from .common import table
 
 
@@ -54,6 +54,23 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, F.pmod("id", F.lit(20)) == 0, k=20)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.pmod(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")), F.lit(7)) == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), tampered=odd)
+    verified = F.col("folded_root") == F.col("root")
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.digest(F.col("proof")).alias("proof_sha256"), "folded_root", verified.alias("verified"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_pieces.round_trip(table(spark, sf_dir, "documents"))
+    n = (F.octet_length("ids") / 4).cast("long")
+    return found.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 ORACLE: dict[str, str] = {
     "op1_license_scan": license_scan.oracle(),
     "op3_exact_topk": """
@@ -69,6 +86,8 @@ ORACLE: dict[str, str] = {
         SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         WHERE rank <= 5""",
+    "op11_spelling_variants": spelling.oracle(),
+    "op12_merkle_manifest": merkle.oracle(),
 }
 
 
