@@ -1,12 +1,18 @@
 """Geometry on longitude/latitude columns and on arrays of struct<lon,lat>. Everything stays in whole-stage code generation
-or in higher-order functions; nothing calls Python."""
+or in higher-order functions; only WKB, at the edges, goes through Arrow batches."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..shared import ship
 
 #: Metres of the mean Earth radius, metres a degree that waypoint sampling assumes.
 EARTH_M = 6_371_000.0
@@ -73,6 +79,29 @@ def centroid(coords: Column) -> Column:
     return F.coalesce(F.aggregate(_legs(coords), zero, step, end), F.struct(first["lon"].alias("lon"), first["lat"].alias("lat")))
 
 
+def vertex(coords: Column, n: int) -> Column:
+    """The n-th vertex from the start (1, 2, ...) or from the end (-1, -2, ...)."""
+    return F.element_at(coords, n)
+
+
+def end_azimuths(coords: Column) -> tuple[Column, Column]:
+    """Planar azimuths of the first leg, out of the start, and of the last leg, into the end."""
+    a, b, y, z = (vertex(coords, n) for n in (1, 2, -2, -1))
+    return azimuth(a["lon"], a["lat"], b["lon"], b["lat"]), azimuth(y["lon"], y["lat"], z["lon"], z["lat"])
+
+
+def bounds(coords: Column) -> dict[str, Column]:
+    """min_lon, min_lat, max_lon, max_lat of a line."""
+    lons, lats = F.transform(coords, lambda c: c["lon"]), F.transform(coords, lambda c: c["lat"])
+    return {"min_lon": F.array_min(lons), "min_lat": F.array_min(lats), "max_lon": F.array_max(lons), "max_lat": F.array_max(lats)}
+
+
+def places(coords: Column) -> dict[str, Column]:
+    """start_, mid_ and end_ lon and lat of a line; the middle is its centroid."""
+    at = {"start": vertex(coords, 1), "mid": centroid(coords), "end": vertex(coords, -1)}
+    return {f"{n}_{k}": c[k] for n, c in at.items() for k in ("lon", "lat")}
+
+
 def bbox_hit(coords: Column, min_lon, min_lat, max_lon, max_lat) -> Column:
     """Whether any vertex lies in the closed box."""
     return F.exists(coords, lambda c: c["lon"].between(min_lon, max_lon) & c["lat"].between(min_lat, max_lat))
@@ -156,3 +185,56 @@ def clipped(coords: Column, z: Column, x: Column, y: Column, extent: int = 4096,
         return F.when(s < e, cut)
 
     return F.filter(F.transform(_legs(coords), piece), lambda p: p.isNotNull())
+
+
+def to_wkb(coords: Column | str) -> Column:
+    """Lines as WKB LineStrings, big-endian; null for null lines, for null vertices and for fewer than two vertices."""
+    ship(SparkSession.active())
+    return F.arrow_udf(_write_wkb, T.BinaryType())(coords)
+
+
+def from_wkb(wkb: Column | str) -> Column:
+    """Vertices of WKB LineStrings of either byte order, with or without a spatial reference; null for anything else."""
+    ship(SparkSession.active())
+    vertex = T.StructType().add("lon", T.DoubleType()).add("lat", T.DoubleType())
+    return F.arrow_udf(_read_wkb, T.ArrayType(vertex))(wkb)
+
+
+def _write_wkb(lines: pa.Array) -> pa.Array:
+    lines = lines if isinstance(lines, pa.ListArray) else lines.combine_chunks()
+    starts, ends = (np.asarray(lines.offsets)[k : k + len(lines)] for k in (0, 1))
+    xy = np.stack([np.asarray(pc.struct_field(lines.values, f).to_numpy(zero_copy_only=False)) for f in ("lon", "lat")], axis=1)
+    body = xy.astype(">f8").tobytes()
+    whole = np.concatenate([[0], np.cumsum(np.isnan(xy).any(axis=1))])
+    bad = (ends - starts < 2) | (whole[ends] > whole[starts]) | np.asarray(lines.is_null())
+    return pa.array([None if b else _WKB_LINE + int(e - s).to_bytes(4, "big") + body[16 * s : 16 * e] for s, e, b in zip(starts.tolist(), ends.tolist(), bad.tolist(), strict=True)], pa.binary())
+
+
+#: Big-endian mark and the type number of a LineString; flags of the extended form for a spatial reference and for Z and M.
+_WKB_LINE = b"\x00\x00\x00\x00\x02"
+_WITH_SRID = 0x20000000
+
+
+def _read_wkb(lines: pa.Array) -> pa.Array:
+    offsets, parts, ok = [0], [], []
+    for line in lines.to_pylist():
+        xy = _vertices(line) if line is not None else None
+        ok.append(xy is not None)
+        parts.append(xy if xy is not None else np.empty((0, 2)))
+        offsets.append(offsets[-1] + len(parts[-1]))
+    flat = np.concatenate(parts) if parts else np.empty((0, 2))
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in (0, 1)], ["lon", "lat"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), points, mask=pa.array([not x for x in ok]))
+
+
+def _vertices(line: bytes) -> np.ndarray | None:
+    if len(line) < 9 or line[0] > 1:
+        return None
+    order = "little" if line[0] else "big"
+    kind, at = int.from_bytes(line[1:5], order), 5
+    if kind & _WITH_SRID:
+        kind, at = kind & ~_WITH_SRID, 9
+    n = int.from_bytes(line[at : at + 4], order)
+    if kind != 2 or n < 2 or len(line) != at + 4 + 16 * n:
+        return None
+    return np.frombuffer(line, ">f8" if order == "big" else "<f8", 2 * n, at + 4).astype("f8").reshape(n, 2)

@@ -13,14 +13,23 @@ def lane_count(lanes):
     return F.coalesce(F.expr("try_cast(nullif(%s, '') AS INT)" % lanes), F.lit(2))
 
 
+def scoring_view(segments: DataFrame) -> DataFrame:
+    """segments (coords) with the places that scorers read: start, end, centroid (mid) and the bearing from start to end."""
+    s = segments.withColumns(geo.places(F.col("coords")))
+    return s.withColumn("bearing", geo.bearing(F.col("start_lon"), F.col("start_lat"), F.col("end_lon"), F.col("end_lat")))
+
+
 def topology(segments: DataFrame) -> DataFrame:
-    """segment_id, city_id, lanes, road_class, keys and bearings of both ends. The end bearing points into the end."""
-    s, m, e = ("start_lon", "start_lat"), ("mid_lon", "mid_lat"), ("end_lon", "end_lat")
-    c = lambda *names: [F.col(n) for n in names]
+    """segment_id, city_id, lanes, road_class, keys and bearings of both ends of lines (coords) of any length.
+
+    The start's bearing is that of the first leg, the end's that of the last, into the end.
+    """
+    a, z = (geo.vertex(F.col("coords"), n) for n in (1, -1))
+    out_of, into = geo.end_azimuths(F.col("coords"))
     return segments.select(
         "segment_id", "city_id", lane_count("lanes").alias("lanes"), F.coalesce(F.nullif("highway", F.lit("")), F.lit("unclassified")).alias("road_class"),
-        geo.snap(F.col(s[0])).alias("sx"), geo.snap(F.col(s[1])).alias("sy"), geo.snap(F.col(e[0])).alias("ex"), geo.snap(F.col(e[1])).alias("ey"),
-        geo.azimuth(*c(*s, *m)).alias("start_bearing"), geo.azimuth(*c(*m, *e)).alias("end_bearing"),
+        geo.snap(a["lon"]).alias("sx"), geo.snap(a["lat"]).alias("sy"), geo.snap(z["lon"]).alias("ex"), geo.snap(z["lat"]).alias("ey"),
+        out_of.alias("start_bearing"), into.alias("end_bearing"),
     )
 
 

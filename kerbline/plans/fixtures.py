@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..functions.risk import lookup
 
 #: View name to SQL, in order of their dependence.
@@ -19,17 +20,23 @@ SELECT CAST(r_regionkey AS BIGINT) AS city_id,
             WHEN 2 THEN 'Asia/Kolkata' WHEN 3 THEN 'Europe/Berlin' ELSE 'Asia/Dubai' END AS timezone
 FROM region""",
     "v_road_segments": """
-SELECT segment_id, city_id, segment_id AS osm_way_id, n0, n1,
-       start_lon, start_lat,
-       (start_lon + end_lon) / 2e0 AS mid_lon,
-       (start_lat + end_lat) / 2e0 + 0.0002e0 * (segment_id % 5 - 2) AS mid_lat,
+SELECT segment_id, city_id, segment_id AS osm_way_id, n0, n1, start_lon, start_lat, coords,
+       list_sum(list_transform(legs, lambda g: (g.a.lon + g.b.lon) / 2e0 * g.l)) / list_sum(list_transform(legs, lambda g: g.l)) AS mid_lon,
+       list_sum(list_transform(legs, lambda g: (g.a.lat + g.b.lat) / 2e0 * g.l)) / list_sum(list_transform(legs, lambda g: g.l)) AS mid_lat,
        end_lon, end_lat,
        CASE segment_id % 8 WHEN 0 THEN 'residential' WHEN 1 THEN 'tertiary' WHEN 2 THEN 'secondary'
             WHEN 3 THEN 'primary' WHEN 4 THEN 'trunk' WHEN 5 THEN 'motorway' WHEN 6 THEN 'service' END AS highway,
        CASE WHEN segment_id % 17 = 0 THEN '2;3' WHEN segment_id % 13 = 0 THEN ''
             WHEN segment_id % 11 = 0 THEN NULL ELSE CAST(1 + segment_id % 4 AS STRING) END AS lanes
+FROM (SELECT *, list_transform(range(1, len(coords)), lambda i: {'a': coords[i], 'b': coords[i + 1],
+         'l': sqrt(power(coords[i + 1].lon - coords[i].lon, 2) + power(coords[i + 1].lat - coords[i].lat, 2))}) AS legs
+FROM (SELECT *, list_transform(range(n_points), lambda i: {
+         'lon': CASE WHEN i = n_points - 1 THEN end_lon ELSE start_lon + (end_lon - start_lon) * i / (n_points - 1) END,
+         'lat': CASE WHEN i = 0 THEN start_lat WHEN i = n_points - 1 THEN end_lat
+                ELSE start_lat + (end_lat - start_lat) * i / (n_points - 1) + 0.0001e0 * ((segment_id + 3 * i) % 5 - 2) END}) AS coords
 FROM (
   SELECT segment_id, city_id, n0, n1,
+         CASE WHEN segment_id % 97 = 0 THEN 200 ELSE 2 + segment_id % 8 END AS n_points,
          -71.16e0 + 0.5e0 * city_id + 0.001e0 * (n0 % 50) AS start_lon,
          42.35e0 + 0.001e0 * floor(n0 / 50) AS start_lat,
          -71.16e0 + 0.5e0 * city_id + 0.001e0 * (n1 % 50) AS end_lon,
@@ -38,7 +45,7 @@ FROM (
     SELECT c_custkey AS segment_id, CAST(n_regionkey AS BIGINT) AS city_id,
            CAST(floor(c_custkey / 10) AS BIGINT) AS n0,
            CAST(floor(c_custkey / 10) AS BIGINT) + 1 + c_custkey % 3 AS n1
-    FROM customer JOIN nation ON c_nationkey = n_nationkey) q0) q1""",
+    FROM customer JOIN nation ON c_nationkey = n_nationkey) q0) q1) q2) q3""",
     "v_incidents": """
 SELECT 'synthetic' AS provider, CAST(e.event_id AS STRING) AS provider_incident_id, s.city_id,
        s.mid_lat + 0.00001e0 * (e.user_id % 60) AS lat, s.mid_lon AS lon, e.ts AS incident_at,
@@ -137,21 +144,26 @@ def road_segments(spark: SparkSession, d: str) -> DataFrame:
     lat = lambda n: 42.35 + 0.001 * F.floor(F.col(n) / 50)
     s = s.select("*", lon("n0").alias("start_lon"), lat("n0").alias("start_lat"), lon("n1").alias("end_lon"), lat("n1").alias("end_lat"))
     k = F.col("segment_id")
+    many = F.when(k % 97 == 0, 200).otherwise((2 + k % 8).cast("int"))
+    s = s.withColumn("n_points", many)
+    n = F.col("n_points")
+    wave = lambda i: 0.0001 * ((k + 3 * i) % 5 - 2)
+    along = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * i / (n - 1)
+    line = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
+        F.when(i == n - 1, F.col("end_lon")).otherwise(along("start_lon", "end_lon", i)).alias("lon"),
+        F.when(i == 0, F.col("start_lat")).when(i == n - 1, F.col("end_lat")).otherwise(along("start_lat", "end_lat", i) + wave(i)).alias("lat"),
+    ))
+    s = s.withColumn("coords", line)
+    mid = geo.centroid(F.col("coords"))
     classes = {0: "residential", 1: "tertiary", 2: "secondary", 3: "primary", 4: "trunk", 5: "motorway", 6: "service"}
     lanes = F.when(k % 17 == 0, "2;3").when(k % 13 == 0, "").when(k % 11 == 0, F.lit(None)).otherwise((1 + k % 4).cast("string"))
     return s.select(
         k, "city_id", k.alias("osm_way_id"), "n0", "n1", "start_lon", "start_lat",
-        ((F.col("start_lon") + F.col("end_lon")) / 2).alias("mid_lon"),
-        ((F.col("start_lat") + F.col("end_lat")) / 2 + 0.0002 * (k % 5 - 2)).alias("mid_lat"),
+        "coords", mid["lon"].alias("mid_lon"), mid["lat"].alias("mid_lat"),
         "end_lon", "end_lat", lookup(classes, k % 8, None).alias("highway"), lanes.alias("lanes"),
     )
 
 
-def coords():
-    """A segment's line as array<struct<lon,lat>>."""
-    return F.array(*(F.struct(F.col(f"{p}_lon").alias("lon"), F.col(f"{p}_lat").alias("lat")) for p in ("start", "mid", "end")))
-
-
 def incidents(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "customer").count()
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type", (F.col("event_id") % n).alias("seg"))

@@ -28,19 +28,42 @@ def circular_sql(e: str, turn: float = 360.0) -> str:
 
 
 @query("src8_scoring_segments", f"""
-  SELECT segment_id, city_id, round(start_lon, 6) AS start_lon, round(end_lat, 6) AS end_lat, round(cx, 6) AS lon, round(cy, 6) AS lat, {circular_sql(BEARING)} AS bearing FROM (
-    SELECT *, start_lon AS x1, start_lat AS y1, end_lon AS x2, end_lat AS y2,
-      ((start_lon + mid_lon) / 2 * l1 + (mid_lon + end_lon) / 2 * l2) / (l1 + l2) AS cx, ((start_lat + mid_lat) / 2 * l1 + (mid_lat + end_lat) / 2 * l2) / (l1 + l2) AS cy
-    FROM (SELECT *, sqrt(power(mid_lon - start_lon, 2) + power(mid_lat - start_lat, 2)) AS l1, sqrt(power(end_lon - mid_lon, 2) + power(end_lat - mid_lat, 2)) AS l2 FROM v_road_segments) q) z""")
+  SELECT segment_id, city_id, round(start_lon, 6) AS start_lon, round(end_lat, 6) AS end_lat, round(mid_lon, 6) AS lon, round(mid_lat, 6) AS lat, {circular_sql(BEARING)} AS bearing FROM (
+    SELECT *, start_lon AS x1, start_lat AS y1, end_lon AS x2, end_lat AS y2 FROM v_road_segments) z""")
 def src8(spark, d):
-    s = X.road_segments(spark, d).withColumn("coords", X.coords()).withColumn("c", geo.centroid(F.col("coords")))
-    a, b = F.element_at("coords", 1), F.element_at("coords", -1)
-    return s.select("segment_id", "city_id", r6(a["lon"], "start_lon"), r6(b["lat"], "end_lat"), r6(F.col("c.lon"), "lon"), r6(F.col("c.lat"), "lat"), circular(geo.bearing(a["lon"], a["lat"], b["lon"], b["lat"]), "bearing"))
+    """Lines of 2 to 200 vertices: ends, centroid weighted by the length of legs, bearing from end to end."""
+    s = topology.scoring_view(X.road_segments(spark, d).select("segment_id", "city_id", "coords"))
+    return s.select("segment_id", "city_id", r6("start_lon"), r6("end_lat"), r6(F.col("mid_lon"), "lon"), r6(F.col("mid_lat"), "lat"), circular(F.col("bearing"), "bearing"))
+
+
+LON, LAT = "list_transform(coords, lambda c: c.lon)", "list_transform(coords, lambda c: c.lat)"
+WEST, EAST, SOUTH, NORTH = f"list_min({LON})", f"list_max({LON})", f"list_min({LAT})", f"list_max({LAT})"
+FIRST_LEG, LAST_LEG = ("coords[1].lon", "coords[1].lat", "coords[2].lon", "coords[2].lat"), ("coords[-2].lon", "coords[-2].lat", "coords[-1].lon", "coords[-1].lat")
+
+
+@query("geo_wkb", """
+  SELECT segment_id, lower(hex(CAST(CAST(CAST(0 AS UTINYINT) AS BIT) AS BLOB))) || lower(hex(CAST(CAST(CAST(2 AS INTEGER) AS BIT) AS BLOB))) || lower(hex(CAST(CAST(CAST(len(coords) AS INTEGER) AS BIT) AS BLOB)))
+      || list_aggregate(list_transform(coords, lambda c: lower(hex(CAST(CAST(c.lon AS BIT) AS BLOB))) || lower(hex(CAST(CAST(c.lat AS BIT) AS BLOB)))), 'string_agg', '') AS wkb,
+    len(coords) AS vertices, true AS same FROM v_road_segments""")
+def geo_wkb(spark, d):
+    """Lines to WKB and back."""
+    s = X.road_segments(spark, d).select("segment_id", "coords", geo.to_wkb("coords").alias("wkb"))
+    back = s.withColumn("back", geo.from_wkb("wkb"))
+    return back.select("segment_id", F.lower(F.hex("wkb")).alias("wkb"), F.size("back").cast("long").alias("vertices"), (F.col("back") == F.col("coords")).alias("same"))
+
+
+@query("geo_line_measures", f"""
+  SELECT segment_id, round(length, 9) AS length, round({WEST}, 6) AS min_lon, round({SOUTH}, 6) AS min_lat, round({EAST}, 6) AS max_lon, round({NORTH}, 6) AS max_lat FROM (
+    SELECT *, list_sum(list_transform(range(1, len(coords)), lambda i: sqrt(power(coords[i + 1].lon - coords[i].lon, 2) + power(coords[i + 1].lat - coords[i].lat, 2)))) AS length FROM v_road_segments) q""")
+def geo_line_measures(spark, d):
+    """Planar length and box of every line."""
+    box = geo.bounds(F.col("coords"))
+    return X.road_segments(spark, d).select("segment_id", F.round(geo.line_length(F.col("coords")), 9).alias("length"), *(r6(c, n) for n, c in box.items()))
 
 
 TOPO = f"""SELECT segment_id, city_id, coalesce(try_cast(nullif(lanes, '') AS INT), 2) AS lanes, coalesce(nullif(highway, ''), 'unclassified') AS road_class,
     CAST(round(start_lon / 1e-6) AS BIGINT) AS sx, CAST(round(start_lat / 1e-6) AS BIGINT) AS sy, CAST(round(end_lon / 1e-6) AS BIGINT) AS ex, CAST(round(end_lat / 1e-6) AS BIGINT) AS ey,
-    {azimuth_sql('start_lon', 'start_lat', 'mid_lon', 'mid_lat')} AS start_bearing, {azimuth_sql('mid_lon', 'mid_lat', 'end_lon', 'end_lat')} AS end_bearing FROM v_road_segments"""
+    {azimuth_sql(*FIRST_LEG)} AS start_bearing, {azimuth_sql(*LAST_LEG)} AS end_bearing FROM v_road_segments"""
 ENDS = f"""SELECT city_id, segment_id, lanes, road_class, 'start' AS side, sx AS x, sy AS y, start_bearing AS bearing FROM ({TOPO}) t0
     UNION ALL SELECT city_id, segment_id, lanes, road_class, 'end', ex, ey, end_bearing FROM ({TOPO}) t1"""
 
@@ -164,21 +187,19 @@ def pf8(spark, d):
     return X.incidents(spark, d).join(F.broadcast(first), F.to_date("incident_at").between(F.col("first"), F.date_add("first", 9))).select("provider_incident_id")  # one row
 
 
-@query("src2_bbox_clip", """
-  SELECT segment_id FROM v_road_segments WHERE (start_lon BETWEEN -70.66e0 AND -70.64e0 AND start_lat BETWEEN 42.35e0 AND 42.36e0) OR (mid_lon BETWEEN -70.66e0 AND -70.64e0 AND mid_lat BETWEEN 42.35e0 AND 42.36e0)
-    OR (end_lon BETWEEN -70.66e0 AND -70.64e0 AND end_lat BETWEEN 42.35e0 AND 42.36e0)""")
+@query("src2_bbox_clip", "SELECT segment_id FROM v_road_segments WHERE len(list_filter(coords, lambda c: c.lon BETWEEN -70.66e0 AND -70.64e0 AND c.lat BETWEEN 42.35e0 AND 42.36e0)) > 0")
 def src2(spark, d):
-    return X.road_segments(spark, d).where(geo.bbox_hit(X.coords(), -70.66, 42.35, -70.64, 42.36)).select("segment_id")
+    return X.road_segments(spark, d).where(geo.bbox_hit(F.col("coords"), -70.66, 42.35, -70.64, 42.36)).select("segment_id")
 
 
 _BOX = geo.tile_box(13, 2488, 3030)
 
 
-@query("pf4_tile_bbox", f"SELECT segment_id FROM v_road_segments WHERE greatest(start_lon, mid_lon, end_lon) >= {_BOX[0]!r} AND least(start_lon, mid_lon, end_lon) <= {_BOX[2]!r} AND greatest(start_lat, mid_lat, end_lat) >= {_BOX[1]!r} AND least(start_lat, mid_lat, end_lat) <= {_BOX[3]!r}")
+@query("pf4_tile_bbox", f"SELECT segment_id FROM v_road_segments WHERE {EAST} >= {_BOX[0]!r} AND {WEST} <= {_BOX[2]!r} AND {NORTH} >= {_BOX[1]!r} AND {SOUTH} <= {_BOX[3]!r}")
 def pf4(spark, d):
-    lons, lats = [F.col(f"{p}_lon") for p in ("start", "mid", "end")], [F.col(f"{p}_lat") for p in ("start", "mid", "end")]
     x0, y0, x1, y1 = _BOX
-    return X.road_segments(spark, d).where((F.greatest(*lons) >= x0) & (F.least(*lons) <= x1) & (F.greatest(*lats) >= y0) & (F.least(*lats) <= y1)).select("segment_id")
+    s = X.road_segments(spark, d).withColumns(geo.bounds(F.col("coords")))
+    return s.where((F.col("max_lon") >= x0) & (F.col("min_lon") <= x1) & (F.col("max_lat") >= y0) & (F.col("min_lat") <= y1)).select("segment_id")
 
 
 @query("q9_tile_features", f"""
@@ -210,14 +231,14 @@ def f35(spark, d):
 
 @query("f36_waypoints", """
   SELECT segment_id, CAST(i AS INT) AS sample_index, round(CASE WHEN n = 1 THEN 0.5e0 ELSE i / CAST(n - 1 AS DOUBLE) END, 6) AS fraction FROM (
-    SELECT segment_id, n, unnest(range(n)) AS i FROM (SELECT segment_id, least(5, greatest(1, CAST(floor((sqrt(power(mid_lon - start_lon, 2) + power(mid_lat - start_lat, 2)) + sqrt(power(end_lon - mid_lon, 2) + power(end_lat - mid_lat, 2))) * 100000e0 / 50e0) AS INT) + 1)) AS n FROM v_road_segments) q) z""")
+    SELECT segment_id, n, unnest(range(n)) AS i FROM (SELECT segment_id, least(5, greatest(1, CAST(floor(list_sum(list_transform(range(1, len(coords)), lambda i: sqrt(power(coords[i + 1].lon - coords[i].lon, 2) + power(coords[i + 1].lat - coords[i].lat, 2)))) * 100000e0 / 50e0) AS INT) + 1)) AS n FROM v_road_segments) q) z""")
 def f36(spark, d):
-    return X.road_segments(spark, d).select("segment_id", F.explode(geo.waypoints(X.coords())).alias("w")).select("segment_id", "w.sample_index", r6(F.col("w.fraction"), "fraction"))
+    return X.road_segments(spark, d).select("segment_id", F.explode(geo.waypoints(F.col("coords"))).alias("w")).select("segment_id", "w.sample_index", r6(F.col("w.fraction"), "fraction"))
 
 
 @query("f4_angles", f"""
   SELECT segment_id, round(greatest(least(d, 360e0 - d), 1e0), 6) AS turn, round(least(d % 180e0, 180e0 - d % 180e0), 6) AS axis FROM (
-    SELECT segment_id, abs(({azimuth_sql('start_lon', 'start_lat', 'mid_lon', 'mid_lat')}) - ({azimuth_sql('mid_lon', 'mid_lat', 'end_lon', 'end_lat')})) AS d FROM v_road_segments) q""")
+    SELECT segment_id, abs(({azimuth_sql(*FIRST_LEG)}) - ({azimuth_sql(*LAST_LEG)})) AS d FROM v_road_segments) q""")
 def f4(spark, d):
     t = topology.topology(X.road_segments(spark, d))
     a, b = F.col("start_bearing"), F.col("end_bearing")
@@ -428,17 +449,16 @@ def _unit(lon: str, lat: str, a: str) -> str:
 
 _TX, _TY = "CAST(floor(({0} + 180e0) / 360e0 * 16384e0) AS BIGINT)", "CAST(floor((1e0 - ln(tan(radians({0})) + 1e0 / cos(radians({0}))) / pi()) / 2e0 * 16384e0) AS BIGINT)"
 TILED = f"""SELECT *, unnest(range({_TY.format('n')}, {_TY.format('s')} + 1)) AS ty FROM (SELECT *, unnest(range({_TX.format('w')}, {_TX.format('e')} + 1)) AS tx FROM (
-  SELECT *, least(start_lon, mid_lon, end_lon) AS w, greatest(start_lon, mid_lon, end_lon) AS e, least(start_lat, mid_lat, end_lat) AS s, greatest(start_lat, mid_lat, end_lat) AS n FROM v_road_segments) b) a"""
-LEGS = f"SELECT segment_id, city_id, tx, ty, 0 AS part, {_unit('start_lon', 'start_lat', 'p')}, {_unit('mid_lon', 'mid_lat', 'q')} FROM ({TILED}) t0 UNION ALL SELECT segment_id, city_id, tx, ty, 1, {_unit('mid_lon', 'mid_lat', 'p')}, {_unit('end_lon', 'end_lat', 'q')} FROM ({TILED}) t1"
+  SELECT *, {WEST} AS w, {EAST} AS e, {SOUTH} AS s, {NORTH} AS n FROM v_road_segments) b) a"""
+LEGS = f"SELECT segment_id, city_id, tx, ty, part, {_unit('coords[part + 1].lon', 'coords[part + 1].lat', 'p')}, {_unit('coords[part + 2].lon', 'coords[part + 2].lat', 'q')} FROM (SELECT *, CAST(unnest(range(len(coords) - 1)) AS INT) AS part FROM ({TILED}) t) l0"
 
 
 def tiled(spark, d, zoom: int = 14):
     """Segments by the tiles their boxes meet, with what is left of their lines there; rows without geometry are dropped."""
-    s = X.road_segments(spark, d)
-    lons, lats = [F.col(f"{p}_lon") for p in ("start", "mid", "end")], [F.col(f"{p}_lat") for p in ("start", "mid", "end")]
-    s = s.withColumn("tx", F.explode(F.sequence(geo.tile_x(F.least(*lons), zoom), geo.tile_x(F.greatest(*lons), zoom))))
-    s = s.withColumn("ty", F.explode(F.sequence(geo.tile_y(F.greatest(*lats), zoom), geo.tile_y(F.least(*lats), zoom))))
-    return s.withColumn("geometry", geo.clipped(X.coords(), F.lit(zoom), F.col("tx"), F.col("ty"))).where(F.size("geometry") > 0)
+    s = X.road_segments(spark, d).withColumns(geo.bounds(F.col("coords")))
+    s = s.withColumn("tx", F.explode(F.sequence(geo.tile_x(F.col("min_lon"), zoom), geo.tile_x(F.col("max_lon"), zoom))))
+    s = s.withColumn("ty", F.explode(F.sequence(geo.tile_y(F.col("max_lat"), zoom), geo.tile_y(F.col("min_lat"), zoom))))
+    return s.withColumn("geometry", geo.clipped(F.col("coords"), F.lit(zoom), F.col("tx"), F.col("ty"))).where(F.size("geometry") > 0)
 
 
 @query("snk7_tile_geometry", clip_sql(LEGS))

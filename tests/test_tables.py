@@ -98,7 +98,7 @@ def test_hourly_counts(spark):
 
 
 def test_a_registered_sub_scorer_takes_part(spark):
-    seg = spark.createDataFrame([(1, 9, "primary", "2", *xs) for xs in [(0.0, 0.0, 0.001, 0.0, 0.002, 0.0)]], "segment_id long, city_id long, highway string, lanes string, start_lon double, start_lat double, mid_lon double, mid_lat double, end_lon double, end_lat double")
+    seg = spark.createDataFrame([(1, 9, "primary", "2", [(0.0, 0.0), (0.001, 0.0), (0.002, 0.0)])], "segment_id long, city_id long, highway string, lanes string, coords array<struct<lon: double, lat: double>>")
     none = spark.createDataFrame([], "segment_id long, city_id long, sample_index int, capture_date date, logits array<float>")
     crashes = spark.createDataFrame([], "city_id long, provider_incident_id string, lon double, lat double, incident_at timestamp, severity string")
     flat = lambda x: x.segments.select("city_id", "segment_id", F.lit(0.5).alias("value"), F.lit(0.25).alias("confidence"), F.lit(False).alias("is_stub"))
