@@ -1,12 +1,13 @@
 """Jobs over a folder of tables: cities, road segments, incidents, imagery pages, scoring. python -m kerbline.jobs BASE JOB ...
 
-Every job may be run again: cities and segments are upserts, incidents and images are appended unless they are there, and a
-scoring run gets an id of its own. supervise() runs named jobs one after the other, remembers which are done, and retries.
+Tables are committed whole (committed.py), so a job that dies leaves what was there. Every job may be run again: cities and
+segments are upserts, incidents and images are appended unless they are there, and a scoring run gets an id of its own. supervise() runs named jobs one after the other, remembers which are done, and retries.
 """
 
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import time
 import uuid
 from collections.abc import Callable, Mapping
@@ -14,13 +15,15 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import committed
 from .functions import geo
 from .operators import merge, scoring
 from .session import session
-from .shared import cut
-from .sources import cities, imagery, incidents, osm
+from .shared import cut, release
+from .sources import cities, imagery, incidents, osm, rest
 
-SEGMENTS = "segment_id long, osm_way_id long, highway string, lanes string, start_lon double, start_lat double, mid_lon double, mid_lat double, end_lon double, end_lat double, city_id long"
+LINE = "array<struct<lon: double, lat: double>>"
+SEGMENTS = f"segment_id long, osm_way_id long, highway string, lanes string, coords {LINE}, min_lon double, min_lat double, max_lon double, max_lat double, city_id long"
 INCIDENTS = "provider string, provider_incident_id string, lat double, lon double, incident_at timestamp, severity string, metadata map<string,string>, city_id long"
 IMAGERY = "provider string, provider_image_id string, segment_id long, sample_index int, capture_date date, heading_deg double, logits array<float>, city_id long"
 
@@ -30,76 +33,85 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def read(spark: SparkSession, base: str, name: str, schema: str) -> DataFrame:
-    """A table of the folder, empty before it is first written."""
-    path = f"{base}/{name}"
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+def read(spark: SparkSession, base: str, name: str, schema: str, city_id: int | None = None) -> DataFrame:
+    """A table of the folder as last committed, empty before that; with a city only its parts are read."""
+    rows = committed.read(spark, f"{base}/{name}", schema, None if city_id is None else {"city_id": city_id})
+    return rows if city_id is None else rows.where(F.col("city_id") == city_id)
 
 
 def city(spark: SparkSession, base: str, slug: str) -> dict:
-    row = spark.read.parquet(f"{base}/cities").where(F.col("slug") == slug).first()
+    row = read(spark, base, "cities", CITIES).where(F.col("slug") == slug).first()
     if row is None:
         raise LookupError(f"no such city: {slug}")
     return row.asDict()
 
 
+CITIES = f"{cities.SCHEMA}, city_id long"
+
+
 def seed_cities(spark: SparkSession, base: str, *paths: str) -> dict[str, str]:
     """Upserts cities by slug; returns what became of each."""
     new = cities.load(spark, *paths).withColumn("city_id", F.abs(F.xxhash64("slug")))
-    old = read(spark, base, "cities", f"{cities.SCHEMA}, city_id long")
+    old = read(spark, base, "cities", CITIES)
     status = {r["slug"]: r["status"] for r in merge.classify(old, new, "slug", ("name", "min_lon", "min_lat", "max_lon", "max_lat", "default_zoom", "timezone")).collect()}  # one row a city
-    cut(merge.upsert(old, new, ["slug"], "slug"), "cities").write.mode("overwrite").parquet(f"{base}/cities")
+    committed.update(spark, f"{base}/cities", CITIES, lambda now: merge.upsert(now, new, ["slug"], "slug"))
     return status
 
 
 def seed(spark: SparkSession, base: str, slug: str, extract: str) -> int:
-    """Upserts the road segments of a city from an extract; only this city's partition is written."""
+    """Upserts the road segments of a city from an extract, lines with all their vertices; other cities' parts are not touched."""
     c = city(spark, base, slug)
     ways = osm.read_ways(spark, extract, tuple(c[k] for k in ("min_lon", "min_lat", "max_lon", "max_lat")))
-    points = {"start": F.element_at("coords", 1), "mid": geo.interpolate(F.col("coords"), F.lit(0.5)), "end": F.element_at("coords", -1)}
-    ends = [p[k].alias(f"{n}_{k}") for n, p in points.items() for k in ("lon", "lat")]
-    new = ways.select(F.col("osm_way_id").alias("segment_id"), "osm_way_id", F.col("attrs")["highway"].alias("highway"), F.col("attrs")["lanes"].alias("lanes"), *ends, F.lit(c["city_id"]).alias("city_id"))
-    old = read(spark, base, "road_segments", SEGMENTS).where(F.col("city_id") == c["city_id"])
-    rows = cut(merge.upsert(old, new, ["osm_way_id"], "segment_id"), "segments")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("city_id").parquet(f"{base}/road_segments")
-    return rows.count()
+    box = [v.alias(k) for k, v in geo.bounds(F.col("coords")).items()]
+    new = ways.select(F.col("osm_way_id").alias("segment_id"), "osm_way_id", F.col("attrs")["highway"].alias("highway"), F.col("attrs")["lanes"].alias("lanes"), "coords", *box, F.lit(c["city_id"]).alias("city_id"))
+    return committed.update(spark, f"{base}/road_segments", SEGMENTS, lambda now: merge.upsert(now, new, ["osm_way_id"], "segment_id"), {"city_id": c["city_id"]}).count()
 
 
 def ingest_incidents(spark: SparkSession, base: str, slug: str, pages: str, start: str, end: str, provider: str = "pages") -> int:
-    """Appends the incidents of a closed date window that are not there yet."""
+    """Appends the incidents of a closed date window that are not there yet. pages: a folder of landed pages, or a service's address."""
     c = city(spark, base, slug)
-    seen = incidents.marshal(incidents.read_pages(spark, pages, int(start[:4]), int(end[:4])), provider, c["city_id"], start, end)
-    seen = seen.where(F.col("lon").between(c["min_lon"], c["max_lon"]) & F.col("lat").between(c["min_lat"], c["max_lat"]))
-    old = read(spark, base, "incidents", INCIDENTS).where(F.col("city_id") == c["city_id"])
-    new = cut(merge.insert_ignore(old, seen, ("provider", "provider_incident_id"), "incident_at"), "incidents")
-    new.write.mode("append").partitionBy("city_id").parquet(f"{base}/incidents")
-    return new.count()
+    box = tuple(c[k] for k in ("min_lon", "min_lat", "max_lon", "max_lat"))
+    raw = rest.incident_features(spark, pages, box, int(start[:4]), int(end[:4])) if pages.startswith("http") else incidents.read_pages(spark, pages, int(start[:4]), int(end[:4]))
+    seen = incidents.marshal(raw, provider, c["city_id"], start, end)
+    seen = seen.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3])).select(*(x.split()[0] for x in INCIDENTS.split(", ")))
+    new = cut(merge.insert_ignore(read(spark, base, "incidents", INCIDENTS, c["city_id"]), seen, ("provider", "provider_incident_id"), "incident_at"), "incidents")
+    found = new.count()
+    if found:
+        committed.append(new, f"{base}/incidents", {"city_id": c["city_id"]})
+    release(new)
+    return found
 
 
 def image_requests(spark: SparkSession, base: str, slug: str, max_segments: int | None = None) -> DataFrame:
     """Boxes to ask an imagery provider for, around the waypoints of a city's segments (the first max_segments of them)."""
-    s = read(spark, base, "road_segments", SEGMENTS).where(F.col("city_id") == city(spark, base, slug)["city_id"])
+    s = read(spark, base, "road_segments", SEGMENTS, city(spark, base, slug)["city_id"])
     s = s if max_segments is None else s.orderBy("segment_id").limit(max_segments)
-    line = F.array(*(geo.point(F.col(f"{p}_lon"), F.col(f"{p}_lat")) for p in ("start", "mid", "end")))
-    at = s.select("segment_id", line.alias("line"), F.explode(geo.waypoints(line)).alias("w"))
-    at = at.select("segment_id", "w.sample_index", geo.interpolate(F.col("line"), F.col("w.fraction")).alias("p"))
+    at = s.select("segment_id", "coords", F.explode(geo.waypoints(F.col("coords"))).alias("w"))
+    at = at.select("segment_id", "w.sample_index", geo.interpolate(F.col("coords"), F.col("w.fraction")).alias("p"))
     return imagery.waypoint_boxes(at.select("segment_id", "sample_index", "p.lon", "p.lat"))
 
 
 def score(spark: SparkSession, base: str, slug: str, date: str, strategy: str = "pagerank-diffusion", model: str = "none", snapshot: str | None = None) -> str:
-    """Scores a city for the 24 hours of a day and appends the rows; returns the run's id."""
+    """Scores a city for the 24 hours of a day and appends the rows in one commit; returns the run's id.
+
+    The run itself is recorded first, so that a run that fails can be seen. Its imagery window is that of all images there are.
+    """
     c = city(spark, base, slug)
-    own = lambda name, schema: read(spark, base, name, schema).where(F.col("city_id") == c["city_id"])
+    own = lambda name, schema: read(spark, base, name, schema, c["city_id"])
+    seen = read(spark, base, "imagery", IMAGERY).agg(F.min("capture_date").alias("a"), F.max("capture_date").alias("b")).first()
+    first, last = (seen["a"], seen["b"]) if seen["a"] is not None else (dt.date.fromisoformat(date),) * 2
+    run = (uuid.uuid4().hex, c["city_id"], dt.datetime.now(dt.UTC), model, dt.date.fromisoformat(snapshot or date), first, last + dt.timedelta(days=1), f"{strategy}-0.1.0", None)
+    committed.append(spark.createDataFrame([run], scoring.RUNS), f"{base}/scoring_runs", {"city_id": c["city_id"]})
+    told = dict(zip((x.split()[0] for x in scoring.RUNS.split(", ")), run, strict=True))
     rows = scoring.scoring_run(own("road_segments", SEGMENTS), own("imagery", IMAGERY), own("incidents", INCIDENTS), date, strategy=strategy)
-    run = uuid.uuid4().hex
-    told = {"scoring_run_id": F.lit(run), "scoring_run_timestamp": F.lit(f"{date} 00:00:00").cast("timestamp") + F.make_interval(hours=F.col("hour")), "perception_model_version": F.lit(model), "osm_snapshot_date": F.lit(snapshot or date).cast("date"), "imagery_window_start": F.lit(date).cast("date"), "propagation_algorithm_version": F.lit(f"{strategy}-0.1.0")}
-    scoring.append_scores(rows.withColumns(told), f"{base}/segment_scores")
-    return run
+    scoring.append_scores(scoring.history(rows, told, date), f"{base}/segment_scores", {"city_id": c["city_id"], "scoring_run_id": run[0]})
+    return run[0]
 
 
 def supervise(spark: SparkSession, jobs: Mapping[str, Callable[[], object]], state: str, attempts: int = 3, backoff: float = 2.0, cap: float = 300.0, sleep: Callable[[float], None] = time.sleep) -> dict[str, str]:
     """Runs jobs by name: done (now or in an earlier call, as the state folder says) or failed after so many attempts; a failure stops no other job."""
-    before = {r["name"] for r in read(spark, state, "done", "name string").collect()}  # one row a job
+    done = f"{state}/done"
+    before = {r["name"] for r in spark.read.schema("name string").parquet(done).collect()} if _exists(spark, done) else set()  # one row a job
     out = {}
     for name, job in jobs.items():
         if name in before:
@@ -114,7 +126,7 @@ def supervise(spark: SparkSession, jobs: Mapping[str, Callable[[], object]], sta
                     sleep(min(backoff * 2**k, cap))
             else:
                 out[name] = "done"
-                spark.createDataFrame([(name,)], "name string").write.mode("append").parquet(f"{state}/done")
+                spark.createDataFrame([(name,)], "name string").write.mode("append").parquet(done)
                 break
     return out
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import committed
 from ..functions import geo, risk, solar
 from ..shared import cut
 from . import graph, historical, perception, topology
@@ -42,8 +43,7 @@ def _sure(df: DataFrame) -> DataFrame:
 
 
 def glare_scores(x: Inputs) -> DataFrame:
-    axis = geo.bearing(F.col("start_lon"), F.col("start_lat"), F.col("end_lon"), F.col("end_lat"))
-    s = x.segments.select("city_id", "segment_id", "mid_lat", "mid_lon", axis.alias("axis"), F.explode(F.array(*(F.lit(h) for h in x.hours))).alias("hour"))
+    s = x.segments.select("city_id", "segment_id", "mid_lat", "mid_lon", F.col("bearing").alias("axis"), F.explode(F.array(*(F.lit(h) for h in x.hours))).alias("hour"))
     at = F.unix_timestamp(F.lit(f"{x.date} 00:00:00").cast("timestamp")) + F.col("hour") * 3600
     azimuth, elevation = solar.position(F.col("mid_lat"), F.col("mid_lon"), at.cast("double"))
     return _sure(s.select("city_id", "segment_id", "hour", solar.glare(geo.axis_angle(F.col("axis"), azimuth), elevation).alias("value")))
@@ -84,15 +84,16 @@ def sub_scores(x: Inputs, names: Sequence[str]) -> DataFrame:
 
 
 def inputs(segments: DataFrame, imagery: DataFrame, incidents: DataFrame, date: str, hours: Sequence[int]) -> Inputs:
-    return Inputs(segments, imagery, incidents, topology.topology(segments), date, tuple(hours))
+    """segments: lines (coords); what scorers read of them is derived once."""
+    return Inputs(topology.scoring_view(segments), imagery, incidents, topology.topology(segments), date, tuple(hours))
 
 
 def scoring_run(segments: DataFrame, imagery: DataFrame, incidents: DataFrame, date: str, hours: Sequence[int] = tuple(range(24)), strategy: str = "pagerank-diffusion", weights: Mapping[str, float] = risk.WEIGHTS, **params) -> DataFrame:
     """One row for each segment and hour, as the score history holds them. weights: of the sub-scorers that take part."""
     x = inputs(segments, imagery, incidents, date, hours)
     local = sum((F.lit(w) * F.coalesce(name, F.lit(0.0)) for name, w in weights.items()), F.lit(0.0))
-    real = [F.when(~F.col(f"is_stub_{name}"), F.col(f"{name}_confidence")) for name in weights]
-    rows = cut(sub_scores(x, list(weights)).withColumns({"local": local, "confidence": F.coalesce(F.least(*real, F.lit(1.0)), F.lit(0.0))}), "sub-scores")
+    real = F.array(*(F.when(~F.col(f"is_stub_{name}"), F.col(f"{name}_confidence")) for name in weights))
+    rows = cut(sub_scores(x, list(weights)).withColumns({"local": local, "confidence": F.coalesce(F.array_min(real), F.lit(0.0))}), "sub-scores")
     nodes = rows.select("city_id", "hour", F.col("segment_id").alias("node"), F.col("local").alias("input"))
     lift = graph.propagate(nodes, topology.adjacency(x.topo), strategy, **params).select("city_id", "hour", F.col("node").alias("segment_id"), F.col("uplift").alias("propagation_uplift"))
     return rows.join(lift, ["city_id", "hour", "segment_id"]).withColumn("composite_risk", F.col("local") + F.col("propagation_uplift"))
@@ -107,15 +108,45 @@ def provisional_run(segments: DataFrame, imagery: DataFrame, incidents: DataFram
     return rows.withColumns({"composite_risk": F.when(F.size(real) > 0, mean).otherwise(0.0), "confidence": F.coalesce(F.array_min(F.transform(real, lambda s: s["confidence"])), F.lit(0.0))})
 
 
-PROVENANCE = ("scoring_run_id", "scoring_run_timestamp", "perception_model_version", "osm_snapshot_date", "imagery_window_start", "propagation_algorithm_version")
+#: What makes a run reproducible; no score is stored without it.
+PROVENANCE = ("scoring_run_id", "scoring_run_timestamp", "perception_model_version", "osm_snapshot_date", "imagery_window_start", "imagery_window_end_excl", "propagation_algorithm_version")
+#: Sub-scores that the score history has columns for, whether or not a run computes them.
+STORED = ("lane_marking", "glare", "junction_complexity", "historical")
+RUNS = "scoring_run_id string, city_id long, scoring_run_timestamp timestamp, perception_model_version string, osm_snapshot_date date, imagery_window_start date, imagery_window_end_excl date, propagation_algorithm_version string, notes string"
+HISTORY = (
+    "score_id string, segment_id long, city_id long, scoring_run_id string, hour_utc int, scoring_run_timestamp timestamp, composite_risk double, propagation_uplift double, "
+    + ", ".join(f"sub_score_{n} double" for n in STORED) + ", confidence double, " + ", ".join(f"is_stub_{n} boolean" for n in STORED)
+    + ", perception_model_version string, osm_snapshot_date date, imagery_window_start date, imagery_window_end_excl date, propagation_algorithm_version string, inserted_at timestamp"
+)
 
 
-def append_scores(rows: DataFrame, path: str) -> None:
-    """Appends to the score history, partitioned by city and run; provenance must be complete."""
+def history(rows: DataFrame, run: Mapping, date: str) -> DataFrame:
+    """Rows of a scoring run as the score history stores them; run: what the table of runs has of it.
+
+    Of sub-scores without a scorer the value is 0 and a stub. score_id is made of run, segment and hour.
+    """
+    own = {f"sub_score_{n}": F.coalesce(n, F.lit(0.0)) if n in rows.columns else F.lit(0.0) for n in STORED}
+    stub = {f"is_stub_{n}": F.coalesce(f"is_stub_{n}", F.lit(True)) if n in rows.columns else F.lit(True) for n in STORED}
+    told = {c: F.lit(run[c]) for c in PROVENANCE}
+    at = F.lit(f"{date} 00:00:00").cast("timestamp") + F.make_interval(hours=F.col("hour"))
+    new = {"scoring_run_timestamp": at, "hour_utc": F.col("hour").cast("int"), "score_id": F.concat_ws("-", "scoring_run_id", "segment_id", "hour"), "inserted_at": F.current_timestamp()}
+    out = rows.withColumns(told).withColumns(own | stub | new)
+    return out.select(*(F.col(c.split()[0]).cast(c.split()[1]) for c in HISTORY.split(", ")))
+
+
+def complete(rows: DataFrame) -> None:
+    """ValueError unless every row has its provenance."""
     missing = [c for c in PROVENANCE if c not in rows.columns]
     if missing:
         raise ValueError(f"missing provenance: {', '.join(missing)}")
     empty = rows.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in PROVENANCE)).first().asDict()
     if any(empty.values()):
         raise ValueError(f"null provenance: {empty}")
-    rows.repartition("city_id", "scoring_run_id").sortWithinPartitions("segment_id").write.mode("append").partitionBy("city_id", "scoring_run_id").parquet(path)
+
+
+def append_scores(rows: DataFrame, path: str, scope: Mapping | None = None) -> int:
+    """Appends to the score history in one commit. Rows are computed once: what is checked is what was staged, before anyone can read it."""
+    missing = [c for c in PROVENANCE if c not in rows.columns]
+    if missing:
+        raise ValueError(f"missing provenance: {', '.join(missing)}")
+    return committed.append(rows.repartitionByRange("segment_id").sortWithinPartitions("segment_id"), path, scope, check=complete)

@@ -1,13 +1,16 @@
 """Jobs end to end on a town of three ways."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
-from kerbline import jobs
+from kerbline import committed, jobs
+from kerbline.operators import detail, scoring, topology
 
-OSM = """<osm><node id="1" lat="42.350" lon="-71.10"/><node id="2" lat="42.351" lon="-71.10"/><node id="3" lat="42.352" lon="-71.10"/><node id="4" lat="42.351" lon="-71.099"/>
-<way id="10"><nd ref="1"/><nd ref="2"/><tag k="highway" v="primary"/><tag k="lanes" v="2"/></way><way id="11"><nd ref="2"/><nd ref="3"/><tag k="highway" v="service"/></way>
+OSM = """<osm><node id="1" lat="42.350" lon="-71.10"/><node id="2" lat="42.351" lon="-71.10"/><node id="3" lat="42.352" lon="-71.10"/><node id="4" lat="42.351" lon="-71.099"/><node id="5" lat="42.3505" lon="-71.1001"/>
+<way id="10"><nd ref="1"/><nd ref="5"/><nd ref="2"/><tag k="highway" v="primary"/><tag k="lanes" v="2"/></way><way id="11"><nd ref="2"/><nd ref="3"/><tag k="highway" v="service"/></way>
 <way id="12"><nd ref="2"/><nd ref="4"/><tag k="highway" v="service"/></way></osm>"""
 
 
@@ -30,9 +33,51 @@ def test_a_town_from_files_to_scores(spark, tmp_path):
     jobs.main([base, "imagery", "new-town", str(tmp_path / "asks"), "--max-segments", "2"])
     assert {r["segment_id"] for r in spark.read.json(str(tmp_path / "asks")).collect()} == {10, 11}
     run = jobs.main([base, "score", "new-town", "2025-06-21", "--strategy", "influence-diffusion"])
-    rows = spark.read.parquet(f"{base}/segment_scores").where(f"scoring_run_id = '{run}'").collect()
-    assert len(rows) == 72 and max(r["historical"] for r in rows if r["segment_id"] == 10) > 0.5
-    assert {r["scoring_run_timestamp"].hour for r in rows} == set(range(24))
+    scores = committed.read(spark, f"{base}/segment_scores", scoring.HISTORY)
+    rows = scores.where(f"scoring_run_id = '{run}'").collect()
+    assert len(rows) == 72 == len({r["score_id"] for r in rows}) and max(r["sub_score_historical"] for r in rows if r["segment_id"] == 10) > 0.5
+    assert {r["scoring_run_timestamp"].hour for r in rows} == set(range(24)) == {r["hour_utc"] for r in rows}
+    runs = committed.read(spark, f"{base}/scoring_runs", scoring.RUNS)
+    assert [(r["scoring_run_id"], r["propagation_algorithm_version"]) for r in runs.collect()] == [(run, "influence-diffusion-0.1.0")]
+    segments = committed.read(spark, f"{base}/road_segments", jobs.SEGMENTS)
+    assert {r["segment_id"]: len(r["coords"]) for r in segments.collect()} == {10: 3, 11: 2, 12: 2}
+    at, today = F.lit("2025-06-21 15:20:00").cast("timestamp"), F.lit("2025-07-01").cast("date")
+    told = {r["segment_id"]: r for r in detail.segment_detail(topology.scoring_view(segments), scores, runs, jobs.read(spark, base, "imagery", jobs.IMAGERY), at, today).collect()}
+    assert not told[10]["is_stub"] and told[10]["algorithm"] == "influence-diffusion" and told[10]["image_count"] == 0
+
+
+def test_a_writer_that_dies_leaves_the_table(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k int, v int"
+    rows = lambda *xs: spark.createDataFrame(list(xs), schema)
+    committed.append(rows((1, 1)), path, {"city": 1})
+    with pytest.raises(ZeroDivisionError):
+        committed.append(rows((2, 2)), path, {"city": 2}, check=lambda df: 1 / 0)
+    committed.stage(rows((3, 3)), path)  # died before its commit
+    assert [tuple(r) for r in committed.read(spark, path, schema).collect()] == [(1, 1)]
+    old = committed.read(spark, path, schema)
+    committed.update(spark, path, schema, lambda now: now.selectExpr("k", "v + 10 AS v"), {"city": 1})
+    committed.append(rows((9, 9)), path, {"city": 2})
+    assert sorted(tuple(r) for r in committed.read(spark, path, schema).collect()) == [(1, 11), (9, 9)] and [tuple(r) for r in old.collect()] == [(1, 1)]
+    assert [tuple(r) for r in committed.read(spark, path, schema, version=1).collect()] == [(1, 1)]
+    assert len(committed.vacuum(spark, path, keep=1, older_than=-1)) == 3 and committed.read(spark, path, schema).count() == 2
+
+
+def test_writers_that_meet(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "v int"
+    committed.append(spark.createDataFrame([(0,)], schema), path)
+    met = []
+
+    def add(now):
+        if not met:  # another writer commits while this one computes
+            met.append(committed.update(spark, path, schema, lambda x: x.selectExpr("v + 100 AS v")).count())
+        return now.selectExpr("v + 1 AS v")
+
+    assert [r["v"] for r in committed.update(spark, path, schema, add).collect()] == [101]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: committed.append(spark.createDataFrame([(k,)], schema), path), range(1, 7)))
+    assert sorted(r["v"] for r in committed.read(spark, path, schema).collect()) == [1, 2, 3, 4, 5, 6, 101]
+    with pytest.raises(committed.Conflict):
+        committed.update(spark, path, schema, lambda now: committed.append(spark.createDataFrame([(7,)], schema), path) and now, attempts=2)
 
 
 def test_supervisor_resumes_and_backs_off(spark, tmp_path):

@@ -1,12 +1,15 @@
+import datetime as dt
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from kerbline import committed
 from kerbline.operators import delta, scoring
 from kerbline.sources import cities, imagery, incidents, osm
 from kerbline.streaming import incidents as streaming
 
+LINES = "segment_id long, city_id long, highway string, lanes string, coords array<struct<lon: double, lat: double>>"
 CITY = {"slug": "new-town", "name": "New Town", "bbox": [-71.2, 42.3, -71.0, 42.4], "default_zoom": 12, "timezone": "America/New_York"}
 
 
@@ -84,11 +87,24 @@ def test_years_are_pruned(spark, tmp_path):
 
 def test_append_scores(spark, tmp_path):
     df = spark.range(5).select(F.lit(1).alias("city_id"), F.col("id").alias("segment_id"), F.lit("r").alias("scoring_run_id"), *(F.lit("x").alias(c) for c in scoring.PROVENANCE if c != "scoring_run_id"))
+    path, schema = str(tmp_path / "s"), "city_id int, segment_id long, scoring_run_id string"
     for _ in range(2):
-        scoring.append_scores(df, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).where("city_id = 1 AND scoring_run_id = 'r'").count() == 10
+        scoring.append_scores(df, path, {"city_id": 1})
+    assert committed.read(spark, path, schema, {"city_id": 1}).count() == 10 and committed.read(spark, path, schema, {"city_id": 2}).count() == 0
     with pytest.raises(ValueError):
-        scoring.append_scores(df.withColumn("osm_snapshot_date", F.lit(None).cast("string")), str(tmp_path / "s"))
+        scoring.append_scores(df.withColumn("osm_snapshot_date", F.lit(None).cast("string")), path)
+    assert committed.read(spark, path, schema).count() == 10 and len(committed.vacuum(spark, path, older_than=-1)) == 1
+
+
+def test_confidence_without_a_real_sub_score(spark):
+    seg = spark.createDataFrame([(1, 9, "primary", "2", [(0.0, 0.0), (0.001, 0.0)])], LINES)
+    none = spark.createDataFrame([], "segment_id long, city_id long, sample_index int, capture_date date, logits array<float>")
+    crashes = spark.createDataFrame([], "city_id long, provider_incident_id string, lon double, lat double, incident_at timestamp, severity string")
+    row = scoring.scoring_run(seg, none, crashes, "2025-06-21", hours=(3,), weights={"lane_marking": 1.0}).first()
+    assert row["confidence"] == 0.0 and row["is_stub_lane_marking"]
+    run = dict.fromkeys(scoring.PROVENANCE, "x") | {c: dt.date(2025, 1, 1) for c in ("osm_snapshot_date", "imagery_window_start", "imagery_window_end_excl")}
+    stored = scoring.history(scoring.scoring_run(seg, none, crashes, "2025-06-21", hours=(3,), weights={"lane_marking": 1.0}), run, "2025-06-21").first()
+    assert stored["is_stub_glare"] and stored["sub_score_glare"] == 0.0 and stored["hour_utc"] == 3 and stored["score_id"] == "x-1-3"
 
 
 def test_hourly_counts(spark):
@@ -98,7 +114,7 @@ def test_hourly_counts(spark):
 
 
 def test_a_registered_sub_scorer_takes_part(spark):
-    seg = spark.createDataFrame([(1, 9, "primary", "2", [(0.0, 0.0), (0.001, 0.0), (0.002, 0.0)])], "segment_id long, city_id long, highway string, lanes string, coords array<struct<lon: double, lat: double>>")
+    seg = spark.createDataFrame([(1, 9, "primary", "2", [(0.0, 0.0), (0.001, 0.0), (0.002, 0.0)])], LINES)
     none = spark.createDataFrame([], "segment_id long, city_id long, sample_index int, capture_date date, logits array<float>")
     crashes = spark.createDataFrame([], "city_id long, provider_incident_id string, lon double, lat double, incident_at timestamp, severity string")
     flat = lambda x: x.segments.select("city_id", "segment_id", F.lit(0.5).alias("value"), F.lit(0.25).alias("confidence"), F.lit(False).alias("is_stub"))
