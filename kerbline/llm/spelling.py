@@ -111,8 +111,8 @@ def forms(words: DataFrame, ratio: int = 5) -> DataFrame:
     return joined.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(taken, F.col("best.form")).alias("form"), F.when(taken, form_n).alias("form_n"))
 
 
-def roots(found: DataFrame) -> DataFrame:
-    """found (word, form, ...) with root, the end of the chain of forms; counts rise along it, so it ends."""
+def roots(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """found (word, form, ...) with root, the end of the chain of forms (counts rise along it, so it ends); and the links stored for it."""
     links = cut(found.where(F.col("form").isNotNull()).select("word", F.col("form").alias("to")), "forms")
     while True:
         ahead = links.select(F.col("word").alias("to"), F.col("to").alias("further"))
@@ -122,15 +122,16 @@ def roots(found: DataFrame) -> DataFrame:
         links._kerbline_path = moved._kerbline_path
         if moved.where("on").isEmpty():
             break
-    return found.join(links, "word", "left").withColumn("root", F.coalesce("to", "word")).drop("to")
+    return found.join(links, "word", "left").withColumn("root", F.coalesce("to", "word")).drop("to"), links
 
 
 def variants(docs: DataFrame, least: int = 6, often: int = 5, ratio: int = 5, every: int = 199) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word of ``least`` letters that occurs ``often`` times in all texts."""
     words = cut(counts(docs, least, every).where(F.col("n") >= often), "words")
     found = cut(forms(words, ratio), "near")
-    out = cut(roots(found).select("word", "form", "root", "n", "n_near", "form_n"), "variants")
-    release(words, found)
+    linked, links = roots(found)
+    out = cut(linked.select("word", "form", "root", "n", "n_near", "form_n"), "variants")
+    release(words, found, links)
     return out
 
 
