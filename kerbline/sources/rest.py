@@ -1,7 +1,8 @@
 """Paged REST services as Spark sources: incidents by year as a data source, images by box as a mapped fetch.
 
-A year is a partition of its own and is paged by the task that reads it, until the service says that nothing is left. Conditions on
-the year are pushed to the source, so years that no row is wanted of are not asked for. Server errors and broken connections are tried
+A year is a partition of its own and is paged by the task that reads it, until the service says that nothing is left. Years are
+told as options, so those that no row is wanted of are not asked for; conditions are not pushed to the source, as Spark 4.1 lets all
+scans of one load share what the last of them pushed, so that a union of two years would read one of them twice. Server errors and broken connections are tried
 again with growing pauses, client errors are not; a task that is lost is run again by Spark and asks its pages anew.
 """
 
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..shared import ship
 
@@ -87,20 +88,11 @@ class IncidentReader(DataSourceReader):
         self.per_minute = float(options.get("per_minute", 600))
         self.years = list(range(int(options["first_year"]), int(options["last_year"]) + 1))
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        tests = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, In: lambda a, b: a in b}
-        for f in filters:
-            test = tests.get(type(f))
-            if test is None or f.attribute != ("year",):
-                yield f
-            else:
-                self.years = [y for y in self.years if test(y, f.value)]
-
     def partitions(self) -> list[InputPartition]:
         return [Year(y) for y in self.years]
 
-    def read(self, partition: Year) -> Iterator[tuple]:
-        if partition is None:  # no year is left
+    def read(self, partition: Year | None) -> Iterator[tuple]:
+        if partition is None:  # no year was asked for
             return
         url, pace = self.url.replace("{year}", str(partition.year)), Pace(self.per_minute)
         for features in pages(url, INCIDENT_QUERY | {"geometry": self.box}, self.size, pace=pace, attempts=self.attempts, backoff=self.backoff):
@@ -125,9 +117,8 @@ class IncidentPages(DataSource):
 
 
 def incident_features(spark: SparkSession, url: str, box: tuple[float, float, float, float], first_year: int, last_year: int, **options) -> DataFrame:
-    """year, attributes, geometry as the service has them; conditions on year prune what is asked for."""
+    """year, attributes, geometry of the years asked for, as the service has them."""
     ship(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(IncidentPages)
     told = {"url": url, "box": ",".join(map(str, box)), "first_year": first_year, "last_year": last_year} | options
     return spark.read.format("incident_pages").options(**told).load()
