@@ -91,6 +91,63 @@ def image_requests(spark: SparkSession, base: str, slug: str, max_segments: int
     return imagery.waypoint_boxes(at.select("segment_id", "sample_index", "p.lon", "p.lat"))
 
 
+REQUESTS = "asked string, segment_id long, sample_index int, lon double, lat double, min_lon double, min_lat double, max_lon double, max_lat double"
+REFUSED = "asked string, segment_id long, sample_index int, error string, city_id long"
+
+
+def ingest_images(
+    spark: SparkSession, base: str, slug: str, start: str, end: str, fetch: Callable[[DataFrame], DataFrame] | str, perceive: Callable[[DataFrame], DataFrame] | None = None,
+    provider: str = "images", batch: int = 1000, max_segments: int | None = None,
+) -> int:
+    """Asks for images around every waypoint of a city and keeps those of a closed date window; returns how many are new.
+
+    Waypoints become files of ``batch`` requests, once for each window; a stream over these files fetches, keeps and commits file
+    by file. A run that stops goes on with the first file it had not committed, and a file that is taken twice adds nothing. Refused
+    waypoints are recorded and asked again by the next call. fetch: a service's address, or a function of requests (rest.IMAGES);
+    perceive: a function that adds logits to images, without which they are stored with none and scored as not there.
+    """
+    c = city(spark, base, slug)
+    scope = {"city_id": c["city_id"]}
+    window = f"{start}..{end}"
+    folder = f"{base}/image_requests/city_id={c['city_id']}"
+    before = (spark.read.schema(REQUESTS).json(folder) if _exists(spark, folder) else spark.createDataFrame([], REQUESTS)).where(F.col("asked") == window)
+    refused = read(spark, base, "image_refusals", REFUSED, c["city_id"]).where(F.col("asked") == window)
+    keys = ["segment_id", "sample_index"]
+    tried = before.groupBy(*keys).count().withColumnRenamed("count", "times").join(refused.groupBy(*keys).agg(F.count("*").alias("failed")), keys, "left")
+    done = tried.where(F.col("times") > F.coalesce("failed", F.lit(0))).select(*keys)  # asked once more than refused: answered, or still to be taken
+    boxes = image_requests(spark, base, slug, max_segments).join(done, keys, "left_anti").withColumn("asked", F.lit(window))
+    columns = [x.split()[0] for x in REQUESTS.split(", ")]
+    cut_boxes = cut(boxes.select(*columns), "requests")
+    if not cut_boxes.isEmpty():
+        cut_boxes.write.mode("append").option("maxRecordsPerFile", batch).json(folder)
+    release(cut_boxes)
+    ask = (lambda df: rest.images(df, fetch)) if isinstance(fetch, str) else fetch
+    added = []
+
+    def keep(requests: DataFrame, _: int) -> None:
+        asked = cut(requests.where(F.col("asked") == window), "asked")
+        answers = cut(ask(asked), "answers")
+        found = imagery.nearest_waypoint(answers.where("error IS NULL"), asked.select(*keys, F.col("lon").alias("at_lon"), F.col("lat").alias("at_lat")))
+        images = imagery.marshal(found, provider, start, end).withColumn("city_id", F.lit(c["city_id"]))
+        images = perceive(images) if perceive else images.withColumn("logits", F.lit(None).cast("array<float>"))
+        rows = images.select(*(x.split()[0] for x in IMAGERY.split(", ")))
+        there = read(spark, base, "imagery", IMAGERY, c["city_id"]).join(asked.select("segment_id").distinct(), "segment_id", "left_semi")
+        new = cut(merge.insert_ignore(there, rows, ("provider", "provider_image_id", "segment_id"), "sample_index"), "images")
+        failed = answers.where("error IS NOT NULL").select(F.lit(window).alias("asked"), *keys, "error", F.lit(c["city_id"]).alias("city_id")).dropDuplicates(keys)
+        n = new.count()
+        if n:
+            committed.append(new, f"{base}/imagery", scope)
+        if not failed.isEmpty():
+            committed.append(failed, f"{base}/image_refusals", scope)
+        added.append(n)
+        release(asked, answers, new)
+
+    stream = spark.readStream.schema(REQUESTS).option("maxFilesPerTrigger", 1).json(folder)
+    where = f"{base}/_checkpoints/images/{c['city_id']}/{window}"
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
+    return sum(added)
+
+
 def score(spark: SparkSession, base: str, slug: str, date: str, strategy: str = "pagerank-diffusion", model: str = "none", snapshot: str | None = None) -> str:
     """Scores a city for the 24 hours of a day and appends the rows in one commit; returns the run's id.
 
@@ -103,7 +160,7 @@ def score(spark: SparkSession, base: str, slug: str, date: str, strategy: str =
     run = (uuid.uuid4().hex, c["city_id"], dt.datetime.now(dt.UTC), model, dt.date.fromisoformat(snapshot or date), first, last + dt.timedelta(days=1), f"{strategy}-0.1.0", None)
     committed.append(spark.createDataFrame([run], scoring.RUNS), f"{base}/scoring_runs", {"city_id": c["city_id"]})
     told = dict(zip((x.split()[0] for x in scoring.RUNS.split(", ")), run, strict=True))
-    rows = scoring.scoring_run(own("road_segments", SEGMENTS), own("imagery", IMAGERY), own("incidents", INCIDENTS), date, strategy=strategy)
+    rows = scoring.scoring_run(own("road_segments", SEGMENTS), own("imagery", IMAGERY).where("logits IS NOT NULL"), own("incidents", INCIDENTS), date, strategy=strategy)
     scoring.append_scores(scoring.history(rows, told, date), f"{base}/segment_scores", {"city_id": c["city_id"], "scoring_run_id": run[0]})
     return run[0]
 
@@ -135,11 +192,11 @@ def main(argv: list[str] | None = None) -> object:
     p = argparse.ArgumentParser(prog="kerbline.jobs")
     p.add_argument("base", help="folder of the tables")
     jobs = p.add_subparsers(dest="job", required=True)
-    for name, *own in (("cities", "files+"), ("seed", "slug", "extract"), ("incidents", "slug", "pages", "start", "end"), ("imagery", "slug", "out"), ("score", "slug", "date")):
+    for name, *own in (("cities", "files+"), ("seed", "slug", "extract"), ("incidents", "slug", "pages", "start", "end"), ("requests", "slug", "out"), ("imagery", "slug", "start", "end", "service"), ("score", "slug", "date")):
         sub = jobs.add_parser(name)
         for x in own:
             sub.add_argument(x.rstrip("+"), **({"nargs": "+"} if x.endswith("+") else {}))
-        if name == "imagery":
+        if name in ("requests", "imagery"):
             sub.add_argument("--max-segments", type=int)
         if name == "score":
             sub.add_argument("--strategy", default="pagerank-diffusion")
@@ -151,8 +208,10 @@ def main(argv: list[str] | None = None) -> object:
         return seed(spark, a.base, a.slug, a.extract)
     if a.job == "incidents":
         return ingest_incidents(spark, a.base, a.slug, a.pages, a.start, a.end)
-    if a.job == "imagery":
+    if a.job == "requests":
         return image_requests(spark, a.base, a.slug, a.max_segments).write.json(a.out)
+    if a.job == "imagery":
+        return ingest_images(spark, a.base, a.slug, a.start, a.end, a.service, max_segments=a.max_segments)
     return score(spark, a.base, a.slug, a.date, a.strategy)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from kerbline import committed, jobs
 from kerbline.operators import detail, scoring, topology
+from kerbline.sources import imagery
 
 OSM = """<osm><node id="1" lat="42.350" lon="-71.10"/><node id="2" lat="42.351" lon="-71.10"/><node id="3" lat="42.352" lon="-71.10"/><node id="4" lat="42.351" lon="-71.099"/><node id="5" lat="42.3505" lon="-71.1001"/>
 <way id="10"><nd ref="1"/><nd ref="5"/><nd ref="2"/><tag k="highway" v="primary"/><tag k="lanes" v="2"/></way><way id="11"><nd ref="2"/><nd ref="3"/><tag k="highway" v="service"/></way>
@@ -30,7 +31,7 @@ def test_a_town_from_files_to_scores(spark, tmp_path):
     (tmp_path / "pages" / "year=2025" / "p.json").write_text(json.dumps({"features": [crash, crash], "exceededTransferLimit": False}))
     args = [base, "incidents", "new-town", str(tmp_path / "pages"), "2025-01-01", "2025-12-31"]
     assert jobs.main(args) == 1 and jobs.main(args) == 0
-    jobs.main([base, "imagery", "new-town", str(tmp_path / "asks"), "--max-segments", "2"])
+    jobs.main([base, "requests", "new-town", str(tmp_path / "asks"), "--max-segments", "2"])
     assert {r["segment_id"] for r in spark.read.json(str(tmp_path / "asks")).collect()} == {10, 11}
     run = jobs.main([base, "score", "new-town", "2025-06-21", "--strategy", "influence-diffusion"])
     scores = committed.read(spark, f"{base}/segment_scores", scoring.HISTORY)
@@ -46,6 +47,64 @@ def test_a_town_from_files_to_scores(spark, tmp_path):
     assert not told[10]["is_stub"] and told[10]["algorithm"] == "influence-diffusion" and told[10]["image_count"] == 0
 
 
+def images_near(df):
+    """One image at each waypoint, one that all waypoints of a segment see, one that is too old; segment 12 is refused."""
+    row = lambda i, lon, lat, day: F.struct(i.alias("id"), (F.unix_timestamp(F.lit(day).cast("timestamp")) * 1000).alias("captured_at"), F.lit(-90.0).alias("compass_angle"), lon.alias("lon"), lat.alias("lat"))
+    own = F.concat_ws("/", "segment_id", "sample_index")
+    shared = row(F.concat(F.lit("s"), F.col("segment_id")), F.lit(-71.1), F.lit(42.352), "2025-02-01")
+    some = F.array(row(own, F.col("lon"), F.col("lat"), "2025-01-05"), shared, row(F.concat(own, F.lit("old")), F.col("lon"), F.col("lat"), "2019-01-01"))
+    out = df.withColumn("error", F.when(F.col("segment_id") == 12, "503")).select("segment_id", "sample_index", "error", F.explode(some).alias("i"))
+    hide = lambda c: F.when(F.col("error").isNull(), F.col(f"i.{c}")).alias(c)
+    return out.select("segment_id", "sample_index", *map(hide, ("id", "captured_at", "compass_angle")), F.lit(None).cast("array<double>").alias("camera_parameters"), F.lit(None).cast("string").alias("thumb_1024_url"), hide("lon"), hide("lat"), "error")
+
+
+def test_images_are_committed_batch_by_batch(spark, tmp_path):
+    base = str(tmp_path / "tables")
+    (tmp_path / "c.json").write_text(json.dumps({"slug": "t", "name": "T", "bbox": [-71.2, 42.3, -71.0, 42.4], "default_zoom": 12, "timezone": "America/New_York"}))
+    (tmp_path / "x.osm").write_text(OSM)
+    jobs.seed_cities(spark, base, str(tmp_path / "c.json"))
+    jobs.seed(spark, base, "t", str(tmp_path / "x.osm"))
+    seen = []
+
+    def stops(df):
+        if len(seen) == 2:
+            raise RuntimeError("the line is down")
+        seen.append(df.count())
+        return images_near(df)
+
+    args = (spark, base, "t", "2025-01-01", "2025-12-31")
+    perceive = lambda df: df.withColumn("logits", F.array(*(F.lit(float(x)) for x in range(4))).cast("array<float>"))
+    with pytest.raises(Exception, match="the line is down"):
+        jobs.ingest_images(*args, stops, perceive, batch=2)
+    kept = jobs.read(spark, base, "imagery", jobs.IMAGERY).count()
+    assert kept > 0 and seen == [2, 2]
+    refused_before = jobs.read(spark, base, "image_refusals", jobs.REFUSED).count()
+    all_boxes = jobs.image_requests(spark, base, "t").count()
+    after = []
+    jobs.ingest_images(*args, lambda df: (after.append(df.count()), images_near(df))[1], perceive, batch=2)
+    assert sum(seen) + sum(after) == all_boxes + refused_before  # nothing that was answered is asked twice
+    rows = jobs.read(spark, base, "imagery", jobs.IMAGERY).collect()
+    assert len(rows) == len({(r["provider_image_id"], r["segment_id"]) for r in rows}) and {r["segment_id"] for r in rows} == {10, 11}
+    assert {r["heading_deg"] for r in rows} == {270.0} and not any("old" in r["provider_image_id"] for r in rows)
+    refused = jobs.read(spark, base, "image_refusals", jobs.REFUSED)
+    n12 = jobs.image_requests(spark, base, "t").where("segment_id = 12").count()
+    assert refused.select("sample_index").distinct().count() == n12
+    again = []
+    assert jobs.ingest_images(*args, lambda df: (again.append(df.count()), images_near(df.withColumn("segment_id", F.lit(99).cast("long")).join(df.select("sample_index"), "sample_index", "left_semi")))[1], perceive) == 0
+    assert sum(again) == n12  # only what was refused
+    run = jobs.score(spark, base, "t", "2025-06-21", "influence-diffusion")
+    stub = {r["segment_id"]: (r["is_stub_lane_marking"], r["imagery_window_start"]) for r in committed.read(spark, f"{base}/segment_scores", scoring.HISTORY).where(f"scoring_run_id = '{run}'").collect()}
+    assert {k: v[0] for k, v in stub.items()} == {10: False, 11: False, 12: True} and str(stub[10][1]) == "2025-01-05"
+
+
+def test_landed_images_find_the_nearest_waypoint(spark):
+    points = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 0.00015, 0.0), (2, 0, 0.0001, 0.0001)], "segment_id long, sample_index int, lon double, lat double")
+    images = spark.createDataFrame([("a", 0.00009, 0.0), ("b", 0.00005, 0.00005), ("c", 0.01, 0.0), ("d", None, 0.0), ("e", -0.0001, -0.0001)], "id string, lon double, lat double")
+    got = {(r["id"], r["segment_id"]): r["sample_index"] for r in imagery.attach(images, imagery.waypoint_boxes(points)).collect()}
+    assert got == {("a", 1): 1, ("a", 2): 0, ("b", 1): 0, ("b", 2): 0, ("e", 1): 0}
+    assert "NestedLoop" not in imagery.attach(images, imagery.waypoint_boxes(points))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_writer_that_dies_leaves_the_table(spark, tmp_path):
     path, schema = str(tmp_path / "t"), "k int, v int"
     rows = lambda *xs: spark.createDataFrame(list(xs), schema)
