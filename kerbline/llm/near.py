@@ -5,10 +5,12 @@ candidates if they agree in one of ``BANDS`` bands of ``ROWS`` MinHash values (a
 probability 5e-5) or if their SimHash fingerprints are within the radius; they are linked if the similarity of their sets
 is at least ``least``. A component of the links is one near-duplicate class.
 
-No bucket is capped and none is compared in full: first every class is verified with the smallest one of each of its
-buckets. In a bucket whose classes are not all linked by then, those outside its largest component are verified with all
-from which they are apart. What is left out joins classes that are linked already, so the components are those of all
-candidates, and a bucket of n copies costs n comparisons.
+No bucket is capped: first every class is verified with the smallest one of each of its buckets. In a bucket whose classes are
+not all linked by then, those outside its largest component (probes) are compared with all others of a size that allows the
+similarity. This happens inside cells of bounded size, which hold probes and targets with their sets: overlaps of all of a
+cell's pairs are counted at once, frequent shingles by a product of matrices and the others by inverted lists, and a cell
+returns a spanning forest of what it links, never its pairs. What is left out joins classes that are linked already, so the
+components are those of all candidates.
 
 Defined cases: null text is empty, and empty texts are one class; a text with fewer words than a shingle is one shingle;
 rows without a doc_id take no part.
@@ -16,6 +18,7 @@ rows without a doc_id take no part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from itertools import repeat
 
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_spread, release, ship, text_or_empty
+from .common import cut, join_spread, parts, release, ship, text_or_empty, whole_groups
 from .components import components
 from .simhash import SEED, fingerprint, link_classes
 
@@ -56,6 +59,59 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def overlaps(probes: list[np.ndarray], targets: list[np.ndarray], often: int = 64, width: int = 2048) -> np.ndarray:
+    """How many hashes each probe shares with each target; all are sorted sets."""
+    tokens, column = np.unique(np.concatenate(targets), return_inverse=True)
+    owner = np.repeat(np.arange(len(targets)), [len(t) for t in targets])
+    order = np.argsort(column, kind="stable")
+    owner, starts = owner[order], np.searchsorted(column[order], np.arange(len(tokens) + 1))
+    lengths = np.diff(starts)
+    out = np.zeros((len(probes), len(targets)), np.float32)
+    found = []
+    for k, p in enumerate(probes):
+        at = np.searchsorted(tokens, p)
+        at = at[np.take(tokens, at, mode="clip") == p] if len(tokens) else at[:0]
+        hot = lengths[at] >= often
+        found.append(at[hot])
+        at = at[~hot]
+        n = lengths[at]
+        if len(at):
+            hits = np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out[k] = np.bincount(owner[hits], minlength=len(targets))
+    frequent = np.flatnonzero(lengths >= often)
+    for a in range(0, len(frequent), width):
+        some = frequent[a : a + width]
+        left, right = np.zeros((len(probes), len(some)), np.float32), np.zeros((len(some), len(targets)), np.float32)
+        for k, t in enumerate(some.tolist()):
+            right[k, owner[starts[t] : starts[t + 1]]] = 1
+        for k, at in enumerate(found):
+            left[k, np.searchsorted(some, at[(at >= some[0]) & (at <= some[-1])])] = 1
+        out += left @ right
+    return out
+
+
+def forest(probes: list[np.ndarray], targets: list[np.ndarray], own: list[int], other: list[int], least: float) -> list[tuple[int, int]]:
+    """Pairs (probe, target) that span what the cell links; own and other: the components that they are in already."""
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while parent.setdefault(i, i) != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    sizes = np.array([len(t) for t in targets])
+    shared = overlaps(probes, targets).astype(np.int64)
+    for k, p in enumerate(probes):
+        for t in np.flatnonzero(shared[k] / (len(p) + sizes - shared[k]) >= least).tolist():
+            a, b = root(own[k]), root(other[t])
+            if a != b:
+                parent[a] = b
+                out.append((k, t))
+    return out
+
+
 def _class(text: bytes) -> int:
     return xxhash.xxh64_intdigest(b" ".join(text.lower().split()))
 
@@ -65,29 +121,29 @@ def _signed(x: list[int]) -> pa.Array:
 
 
 def marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, c (of the words), fp, keys: one row for each row of docs that has a doc_id."""
+    """doc_id, c (of the words), fp, keys, size (of the set): one row for each row of docs that has a doc_id."""
     ship(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
-            listed = pa.array([bands(shingles(t, shingle)).tolist() for t in texts], pa.list_(pa.int64()))
-            cols = [b.column("doc_id"), _signed([_class(t) for t in texts]), _signed([fingerprint(t, shingle) for t in texts]), listed]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "c", "fp", "keys"])
+            sets = [shingles(t, shingle) for t in texts]
+            listed = pa.array([bands(x).tolist() for x in sets], pa.list_(pa.int64()))
+            cols = [b.column("doc_id"), _signed([_class(t) for t in texts]), _signed([fingerprint(t, shingle) for t in texts]), listed, pa.array([len(x) for x in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "c", "fp", "keys", "size"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, c long, fp long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, c long, fp long, keys array<long>, size int")
 
 
-def grams(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
-    """c, grams: the sets of the classes that the pairs name."""
+def grams(docs: DataFrame, named: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """c, grams: the sets of the classes named (c, distinct)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([_signed([_class(t) for t in texts]), pa.array([shingles(t, shingle).tobytes() for t in texts], pa.binary())], ["c", "grams"])
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     ids = classes.join(named, "c").select("doc_id").distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(ids, "doc_id", "left_semi")
     return rows.select("text").mapInArrow(run, "c long, grams binary")
@@ -103,7 +159,8 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int
             yield t.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     pairs = cut(pairs, "pairs")
-    found = cut(grams(docs, pairs, classes, shingle), "grams")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    found = cut(grams(docs, named, classes, shingle), "grams")
     one = found.select(F.col("c").alias("a"), F.col("grams").alias("x"))
     two = found.select(F.col("c").alias("b"), F.col("grams").alias("y"))
     small = F.octet_length("x") >= F.octet_length("y") * least  # else the sizes alone forbid it
@@ -115,10 +172,11 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int
 
 
 def links(docs: DataFrame, classes: DataFrame, shingle: int, least: float, radius: int) -> DataFrame:
-    """classes: c, doc_id, fp, keys. Links (a, b) whose components are those of all candidates that are similar enough."""
-    rows = classes.select("c", F.explode("keys").alias("key"))
+    """classes: c, doc_id, fp, keys, size. Links (a, b) whose components are those of all candidates that are similar enough."""
+    band = F.floor(F.log("size") / math.log(1 / least) + 1e-9).cast("int")  # partners are in the same band or in the next
+    rows = classes.select("c", band.alias("band"), F.explode("keys").alias("key"))
     full = cut(rows.groupBy("key").agg(F.min("c").alias("lead"), F.count("*").alias("n")).where("n > 1"), "leads")
-    rows = cut(join_spread(rows, full, ["key"], ["c"]).select("c", "key", "lead"), "buckets")
+    rows = cut(join_spread(rows, full, ["key"], ["c"]).select("c", "band", "key", "lead"), "buckets")
     release(full)
     marks = classes.groupBy("fp").agg(F.min("c").alias("lead"))
     alike = classes.join(marks, "fp").select(F.col("lead").alias("a"), F.col("c").alias("b"))
@@ -129,21 +187,68 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, least: float, radiu
     stars = stars.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = verified(docs, stars, classes, shingle, least)
     roots = components(first)
-    named = cut(rows.join(roots, rows.c == roots.node, "left").select("c", "key", F.coalesce("root", "c").alias("root")), "buckets")
+    named = cut(rows.join(roots, rows.c == roots.node, "left").select("c", "band", "key", F.coalesce("root", "c").alias("root")), "buckets")
     release(rows)
     sizes = named.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots"), F.sum("n").alias("n")).where("roots > 1")
-    mixed = join_spread(named, cut(main.select("key", F.col("m.root").alias("main"), "n"), "mains"), ["key"], ["c"])
-    apart = mixed.where("root <> main").select("key", F.col("c").alias("c1"), F.col("root").alias("r1"))
-    pairs = apart.join(mixed, "key").where((F.col("root") != F.col("r1")) & ((F.col("root") == F.col("main")) | (F.col("c1") < F.col("c"))))
-    pairs = pairs.select(F.least("c1", "c").alias("a"), F.greatest("c1", "c").alias("b")).distinct()
-    return first.unionByName(verified(docs, pairs, classes, shingle, least))
+    mains = cut(main.select("key", F.col("m.root").alias("main"), "n"), "mains")
+    mixed = cut(join_spread(named, mains, ["key"], ["c"]), "mixed")
+    more = cells(docs, classes, mixed, shingle, least)
+    release(named, mains, mixed)
+    return first.unionByName(more)
+
+
+def cells(docs: DataFrame, classes: DataFrame, mixed: DataFrame, shingle: int, least: float) -> DataFrame:
+    """mixed: c, band, key, root, main. Links (a, b) between classes outside the main component of a bucket and all others of it.
+
+    A cell holds the sets of at most some 32 MB of probes and as many targets of a bucket and size band.
+    """
+    base = 1 / least
+    targets = mixed.select("key", "band", "c", "root")
+    probes = mixed.where("root <> main").select("key", "c", "root", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    room = F.greatest(F.lit(16.0), F.least(F.lit(2048.0), F.lit(float(1 << 22)) / F.pow(F.lit(base), F.col("band") + 1)))
+    blocks = lambda n: F.ceil(F.col(n) / room).cast("int")
+    count = lambda df, n: df.groupBy("key", "band").agg(F.count("*").alias(n))
+    both = count(targets, "nt").join(count(probes, "np"), ["key", "band"]).select("key", "band", "nt", "np", blocks("nt").alias("bt"), blocks("np").alias("bp"))
+    both = cut(both, "cells")
+    spot = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = join_spread(targets, both.select("key", "band", "bt", "bp", F.col("nt").alias("n")), ["key", "band"], ["c"])
+    two = join_spread(probes, both.select("key", "band", "bt", "bp", F.col("np").alias("n")), ["key", "band"], ["c"])
+    one = one.select("key", "band", spot("bt").alias("j"), every("bp").alias("i"), "c", "root", F.lit(0).alias("probe"))
+    two = two.select("key", "band", spot("bp").alias("i"), every("bt").alias("j"), "c", "root", F.lit(1).alias("probe"))
+    dealt = cut(one.unionByName(two), "dealt")
+    sets = cut(grams(docs, dealt.select("c").distinct(), classes, shingle), "grams")
+    cell = ["key", "band", "i", "j"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for t in whole_groups(batches, cell):
+            cols = [t[k].to_numpy() for k in cell]
+            new = np.ones(t.num_rows, bool)
+            new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
+            starts = [*np.flatnonzero(new).tolist(), t.num_rows]
+            c, root, probe = (t[k].to_numpy() for k in ("c", "root", "probe"))
+            a, b = [], []
+            for s, e in zip(starts, starts[1:], strict=False):
+                held = [np.frombuffer(x, np.uint64) for x in t["grams"][s:e].to_pylist()]
+                asks, told = np.flatnonzero(probe[s:e] == 1).tolist(), np.flatnonzero(probe[s:e] == 0).tolist()
+                if asks and told:
+                    pick = lambda at, s=s: root[s + np.array(at)].tolist()
+                    for x, y in forest([held[k] for k in asks], [held[k] for k in told], pick(asks), pick(told), least):
+                        a.append(c[s + asks[x]])
+                        b.append(c[s + told[y]])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    rows = dealt.join(sets, "c").select(*cell, "probe", "c", "root", "grams").repartition(parts(docs.sparkSession), *cell).sortWithinPartitions(*cell)
+    out = cut(rows.mapInArrow(run, "a long, b long").distinct(), "links")
+    release(both, dealt, sets)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
     """doc_id, component_id: the smallest doc_id of the near-duplicate class, one row for each row of docs that has a doc_id."""
     marks = cut(marked(docs, shingle), "marks")
-    classes = cut(marks.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "classes")
+    classes = cut(marks.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("size").alias("size")), "classes")
     lowest = classes.select("c", "doc_id")
     roots = components(links(docs, classes, shingle, least, radius))
     named = lowest.join(roots, lowest.c == roots.node, "left").select("c", "doc_id", F.coalesce("root", "c").alias("root"))
