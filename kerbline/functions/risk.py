@@ -150,6 +150,11 @@ def stub_bucket(u: Column) -> Column:
     return F.least(F.floor(u * 5), F.lit(4)).cast("int")
 
 
+def static_bucket(key: Column, buckets: int = 5) -> Column:
+    """A bucket that depends on the key alone: the first 32 bits of its digest, evenly spread."""
+    return F.pmod(F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+
+
 def short_id(text: Column) -> Column:
     return F.substring(text, 1, 8)
 

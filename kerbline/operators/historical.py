@@ -1,29 +1,52 @@
-"""Incidents near segments: a distance join on grid cells, and the kernel sum."""
+"""Incidents near segments: a distance join on cells that follow the latitude, and the kernel sum."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, risk
+from ..shared import join_dealt
 
-M_PER_DEGREE = math.pi * geo.EARTH_M / 180
-
-
-def near(segments: DataFrame, incidents: DataFrame, radius_m: float = 50.0, max_abs_lat: float = 75.0) -> DataFrame:
-    """Pairs of the same city within the radius, with distance_m. Cells are as wide as the radius up to max_abs_lat, so a
-    pair lies in the same or in neighbouring cells: segments are exploded to nine cells, incidents stay as they are."""
-    dy = radius_m / M_PER_DEGREE
-    dx = dy / math.cos(math.radians(max_abs_lat))
-    cell = lambda lon, lat: (F.floor(F.col(lon) / dx).cast("long"), F.floor(F.col(lat) / dy).cast("long"))
-    x, y = cell("mid_lon", "mid_lat")
-    around = F.array(*(F.struct((x + i).alias("cx"), (y + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    s = segments.select("segment_id", "city_id", "mid_lon", "mid_lat", F.explode(around).alias("c")).select("segment_id", "city_id", "mid_lon", "mid_lat", "c.cx", "c.cy")
-    ix, iy = cell("lon", "lat")
-    i = incidents.select("city_id", "provider_incident_id", "lon", "lat", "incident_at", "severity", ix.alias("cx"), iy.alias("cy"))
-    pairs = s.join(i, ["city_id", "cx", "cy"]).withColumn("distance_m", geo.haversine(F.col("mid_lon"), F.col("mid_lat"), F.col("lon"), F.col("lat")))
+
+def grid(radius_m: float):
+    """Functions of columns: the row of a latitude, how many columns a row has, and the column of a longitude in a row.
+
+    Rows are as high as the radius. A row's columns are as wide as the radius is in degrees at the latitude, within it or a row
+    beside it, that is nearest a pole; a row that reaches a pole is one column. Columns wrap at the antimeridian.
+    """
+    dy = math.degrees(radius_m / geo.EARTH_M) * (1 + 1e-9)
+
+    def row(lat: Column) -> Column:
+        return F.floor(lat / dy).cast("long")
+
+    def columns(r: Column) -> Column:
+        top = F.greatest(F.abs(r - 1), F.abs(r + 2)) * dy
+        wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(dy))) / F.cos(F.radians(top)))))
+        return F.when(top + dy >= 90, F.lit(1)).otherwise(F.greatest(F.lit(1), F.floor(360.0 / wide * (1 - 1e-9)))).cast("long")
+
+    def column(r: Column, lon: Column) -> Column:
+        n = columns(r)
+        return F.pmod(F.floor((lon + 180.0) / 360.0 * n).cast("long"), n)
+
+    return row, columns, column
+
+
+def near(segments: DataFrame, incidents: DataFrame, radius_m: float = 50.0) -> DataFrame:
+    """Pairs of the same city within the radius, with distance_m, anywhere on the globe.
+
+    Cells follow the latitude (grid()), so a pair lies in the same or in neighbouring ones: segments are exploded to these,
+    incidents stay as they are. A cell with many incidents is dealt to several tasks.
+    """
+    row, columns, column = grid(radius_m)
+    rows = F.explode(F.array(*(row(F.col("mid_lat")) + j for j in (-1, 0, 1))))
+    s = segments.select("segment_id", "city_id", "mid_lon", "mid_lat", rows.alias("cy"))
+    s = s.withColumns({"n": columns(F.col("cy")), "x": column(F.col("cy"), F.col("mid_lon"))})
+    s = s.withColumn("cx", F.explode(F.array_distinct(F.array(*(F.pmod(F.col("x") + i, F.col("n")) for i in (-1, 0, 1)))))).drop("n", "x")
+    i = incidents.select("city_id", "provider_incident_id", "lon", "lat", "incident_at", "severity", row(F.col("lat")).alias("cy")).withColumn("cx", column(F.col("cy"), F.col("lon")))
+    pairs = join_dealt(i, s, ["city_id", "cx", "cy"], ["provider_incident_id"]).withColumn("distance_m", geo.haversine(F.col("mid_lon"), F.col("mid_lat"), F.col("lon"), F.col("lat")))
     return pairs.where(F.col("distance_m") <= radius_m).drop("cx", "cy")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import risk
-from ..operators import delta, lookups
+from ..operators import delta, lookups, percentiles
 from . import fixtures as X
 from .registry import query
 
@@ -235,10 +235,10 @@ def a15(spark, d):
     round(avg(composite_risk), 6) AS mean, round(max(composite_risk), 6) AS most
   FROM (SELECT city_id, composite_risk, row_number() OVER (PARTITION BY city_id ORDER BY composite_risk) AS k, count(*) OVER (PARTITION BY city_id) AS n FROM v_segment_scores) q GROUP BY 1""")
 def a16(spark, d):
-    """Nearest-rank p95 and p99; p50 interpolates. Rows are combined to counts of distinct values before they are shuffled; a city's distinct values meet in one task."""
-    c = "composite_risk"
-    disc = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {c})")
-    return X.segment_scores(spark, d).groupBy("city_id").agg(r6(F.median(c), "p50"), r6(disc(0.95), "p95"), r6(disc(0.99), "p99"), r6(F.avg(c), "mean"), r6(F.max(c), "most"))
+    """Nearest-rank p95 and p99; p50 interpolates. Ranks are found by refined histograms; no task holds a city's values."""
+    values = X.segment_scores(spark, d).select("city_id", F.col("composite_risk").alias("x"))
+    out = percentiles.summary(values, ["city_id"], {"p95": 0.95, "p99": 0.99})
+    return out.select("city_id", *(r6(c) for c in ("p50", "p95", "p99", "mean", "most")))
 
 
 @query("a13_mean_of_real", """
@@ -264,10 +264,10 @@ def f30(spark, d):
     return X.segment_scores(spark, d).select("score_id", risk.colour_bucket(F.col("sub_score_lane_marking"), F.col("is_stub_lane_marking")).alias("bucket"))
 
 
-@query("l7_hashed_sample")
+@query("l7_hashed_sample", "SELECT segment_id FROM v_road_segments ORDER BY sha256(CAST(segment_id AS VARCHAR)), segment_id LIMIT 100")
 def l7(spark, d):
-    """A repeatable sample: the 100 segments of smallest hash."""
-    return X.road_segments(spark, d).select("segment_id").orderBy(F.xxhash64("segment_id"), "segment_id").limit(100)
+    """A repeatable sample: the 100 segments of smallest digest."""
+    return X.road_segments(spark, d).select("segment_id").orderBy(F.sha2(F.col("segment_id").cast("string"), 256), "segment_id").limit(100)
 
 
 @query("f28_stub_hash")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, risk, solar
-from ..operators import detail, graph, historical, lookups, perception, scoring, topology
+from .. import table_functions
+from ..operators import detail, graph, historical, lookups, perception, scoring, topology, vector_tiles
 from . import fixtures as X
 from .core import LATEST, r6
 from .registry import query
@@ -213,10 +214,10 @@ def q9(spark, d):
     return j.select("segment_id", F.coalesce("highway", F.lit("unknown")).alias("highway"), r6(F.coalesce("composite_risk", F.lit(0.0)), "risk"), geo.tile_x(F.col("mid_lon"), 14).alias("tx"), geo.tile_y(F.col("mid_lat"), 14).alias("ty"), F.col("score_id").isNull().alias("is_stub"))
 
 
-@query("q11_static_tile_view", "SELECT segment_id, city_id, coalesce(highway, 'unknown') AS highway, CAST(segment_id % 5 AS INT) AS bucket, round(mid_lon / 180e0 * 20037508.342789244e0, 3) AS mx, round(ln(tan(pi() / 4 + radians(mid_lat) / 2)) / pi() * 20037508.342789244e0, 3) AS my FROM v_road_segments")
+@query("q11_static_tile_view", "SELECT segment_id, city_id, coalesce(highway, 'unknown') AS highway, CAST(CAST('0x' || substring(sha256(CAST(segment_id AS VARCHAR)), 1, 8) AS BIGINT) % 5 AS INT) AS bucket, round(mid_lon / 180e0 * 20037508.342789244e0, 3) AS mx, round(ln(tan(pi() / 4 + radians(mid_lat) / 2)) / pi() * 20037508.342789244e0, 3) AS my FROM v_road_segments")
 def q11(spark, d):
     s = X.road_segments(spark, d)
-    return s.select("segment_id", "city_id", F.coalesce("highway", F.lit("unknown")).alias("highway"), (F.col("segment_id") % 5).cast("int").alias("bucket"), F.round(geo.mercator_x(F.col("mid_lon")), 3).alias("mx"), F.round(geo.mercator_y(F.col("mid_lat")), 3).alias("my"))
+    return s.select("segment_id", "city_id", F.coalesce("highway", F.lit("unknown")).alias("highway"), risk.static_bucket(F.col("segment_id")).alias("bucket"), F.round(geo.mercator_x(F.col("mid_lon")), 3).alias("mx"), F.round(geo.mercator_y(F.col("mid_lat")), 3).alias("my"))
 
 
 @query("f35_city_tiles", """
@@ -455,16 +456,46 @@ LEGS = f"SELECT segment_id, city_id, tx, ty, part, {_unit('coords[part + 1].lon'
 
 def tiled(spark, d, zoom: int = 14):
     """Segments by the tiles their boxes meet, with what is left of their lines there; rows without geometry are dropped."""
-    s = X.road_segments(spark, d).withColumns(geo.bounds(F.col("coords")))
-    s = s.withColumn("tx", F.explode(F.sequence(geo.tile_x(F.col("min_lon"), zoom), geo.tile_x(F.col("max_lon"), zoom))))
-    s = s.withColumn("ty", F.explode(F.sequence(geo.tile_y(F.col("max_lat"), zoom), geo.tile_y(F.col("min_lat"), zoom))))
-    return s.withColumn("geometry", geo.clipped(F.col("coords"), F.lit(zoom), F.col("tx"), F.col("ty"))).where(F.size("geometry") > 0)
+    return vector_tiles.tiled(X.road_segments(spark, d), zoom).withColumns({"tx": F.col("x").cast("long"), "ty": F.col("y").cast("long")})
 
 
 @query("snk7_tile_geometry", clip_sql(LEGS))
 def snk7(spark, d):
     """Clipped and quantised geometry of every zoom-14 tile, rows keyed by tile."""
-    return tiled(spark, d).select("segment_id", F.col("tx").cast("long").alias("tx"), F.col("ty").cast("long").alias("ty"), F.inline("geometry"))
+    return tiled(spark, d).select("segment_id", "tx", "ty", F.inline("geometry"))
+
+
+@query("snk7_tile_bytes")
+def snk7_tile_bytes(spark, d):
+    """Every zoom-14 tile as bytes, with class and latest noon risk of its segments; tests decode them with a reader of their own."""
+    s = X.segment_scores(spark, d)
+    latest = lookups.snapped(s.drop("city_id"), F.lit("2025-06-21 12:10:00").cast("timestamp"))
+    rows = tiled(spark, d).join(latest.select("segment_id", "composite_risk"), "segment_id", "left")
+    rows = rows.withColumn("highway", F.coalesce("highway", F.lit("unknown"))).withColumn("is_stub", F.col("composite_risk").isNull())
+    return vector_tiles.encode(rows, "road_segments", "segment_id", ["highway", "composite_risk", "is_stub"])
+
+
+@query("q9_tile_function", f"""
+  SELECT s.segment_id, coalesce(s.highway, 'unknown') AS highway, round(coalesce(c.composite_risk, 0e0), 6) AS risk, round(coalesce(c.sub_score_glare, 0e0), 6) AS glare, c.score_id IS NULL AS is_stub
+  FROM v_road_segments s LEFT JOIN (SELECT *, {LATEST} AS rn FROM v_segment_scores WHERE scoring_run_timestamp = TIMESTAMP '2025-06-21 12:00:00') c ON s.segment_id = c.segment_id AND c.rn = 1
+  WHERE s.city_id = 1 AND {EAST} >= {_BOX[0]!r} AND {WEST} <= {_BOX[2]!r} AND {NORTH} >= {_BOX[1]!r} AND {SOUTH} <= {_BOX[3]!r}""")
+def q9_tile_function(spark, d):
+    """A tile of a city at a time, by the table function of SQL."""
+    c = X.cities(spark, d)
+    table_functions.register(spark, c, X.road_segments(spark, d).withColumns(geo.bounds(F.col("coords"))), X.segment_scores(spark, d))
+    rows = spark.sql("SELECT t.* FROM road_segments_tile(13, 2488, 3030, 'america', TIMESTAMP '2025-06-21 12:10:00') AS t")
+    return rows.select("segment_id", "highway", r6(F.col("composite_risk"), "risk"), r6("glare"), "is_stub")
+
+
+@query("q10_tile_delta_function", f"""
+  SELECT s.segment_id, round(b.composite_risk - a.composite_risk, 6) + 0e0 AS composite_delta, round(coalesce(b.sub_score_historical, 0e0) - coalesce(a.sub_score_historical, 0e0), 6) + 0e0 AS historical_delta
+  FROM v_road_segments s JOIN v_segment_scores a ON a.segment_id = s.segment_id AND a.scoring_run_id = '1-A' AND a.hour_utc = 12 JOIN v_segment_scores b ON b.segment_id = s.segment_id AND b.scoring_run_id = '1-B' AND b.hour_utc = 12
+  WHERE s.city_id = 1 AND {EAST} >= {_BOX[0]!r} AND {WEST} <= {_BOX[2]!r} AND {NORTH} >= {_BOX[1]!r} AND {SOUTH} <= {_BOX[3]!r}""")
+def q10_tile_delta_function(spark, d):
+    """Run against run in a tile, by the table function of SQL."""
+    c = X.cities(spark, d)
+    table_functions.register(spark, c, X.road_segments(spark, d).withColumns(geo.bounds(F.col("coords"))), X.segment_scores(spark, d))
+    return spark.sql("SELECT * FROM road_segments_tile_delta(13, 2488, 3030, '1-A', '1-B', 'america')").select("segment_id", r6("composite_delta"), r6("historical_delta"))
 
 
 @query("q10_tile_delta", f"""
@@ -476,7 +507,7 @@ def q10(spark, d):
     """Run B against run A of each city at noon, by tile, for segments with geometry in the tile."""
     s = X.segment_scores(spark, d).where("hour_utc = 12").drop("city_id")
     side = lambda t, n: s.where(F.col("scoring_run_id").endswith(f"-{t}")).select("segment_id", F.col("composite_risk").alias(f"c{n}"), F.col("sub_score_historical").alias(f"h{n}"))
-    g = tiled(spark, d).select(F.col("tx").cast("long").alias("tx"), F.col("ty").cast("long").alias("ty"), "segment_id")
+    g = tiled(spark, d).select("tx", "ty", "segment_id")
     return g.join(side("A", 0).join(side("B", 1), "segment_id"), "segment_id").select("tx", "ty", "segment_id", r6(F.col("c1") - F.col("c0"), "composite_delta"), r6(F.col("h1") - F.col("h0"), "historical_delta"))
 
 

@@ -10,6 +10,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -53,3 +54,17 @@ def release(*frames: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def join_dealt(many: DataFrame, few: DataFrame, keys: list[str], by: list[str], least: int = 1000) -> DataFrame:
+    """many joined with few on keys; a key with more rows of many than a bound is dealt to several places by the columns ``by``, with few's rows copied to each.
+
+    The bound is a two-thousandth of all rows of many, or ``least``: so at most two thousand keys are beyond it, and what is broadcast is bounded.
+    """
+    counts = cut(many.groupBy(*keys).agg(F.count("*").alias("_n")), "counts")
+    most = max(least, -(-(counts.agg(F.sum("_n")).first()[0] or 0) // 2000))
+    hot = F.broadcast(counts.where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_places")))
+    places = F.coalesce("_places", F.lit(1))
+    dealt = many.join(hot, keys, "left").withColumn("_spot", F.pmod(F.xxhash64(*by), places).cast("int")).drop("_places")
+    copied = few.join(hot, keys, "left").withColumn("_spot", F.explode(F.sequence(F.lit(0), places - 1))).drop("_places")
+    return dealt.join(copied, [*keys, "_spot"]).drop("_spot")
