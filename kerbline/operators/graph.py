@@ -1,9 +1,8 @@
 """Diffusion of node inputs over a graph, for all groups (city, hour) of a frame at once.
 
 nodes: group columns, node, input. edges: city_id, src, dst, weight. Every strategy returns the group columns, node, uplift.
-Hops and distances are joins and aggregates; lineage is cut through the shared folder. PageRank, with up to 100 rounds, runs
-as an Arrow kernel for each city and few hours as long as a city's edges stay within a bound, which is checked, and as joins
-beyond it.
+Hops and distances are joins and aggregates; lineage is cut through the shared folder. PageRank iterates in blocks of nodes
+(pagerank.py).
 """
 
 from __future__ import annotations
@@ -13,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut, release, ship
+from ..shared import cut, release
+from .pagerank import pagerank
 
 KEYS = ["city_id", "hour"]
 
@@ -30,95 +30,6 @@ def validate(nodes: DataFrame, edges: DataFrame) -> None:
         raise ValueError(f"invalid graph: {n} nodes, {bad} bad weights, {worse} bad inputs, {lost} unknown targets")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, normalise: bool = True, rounds: int = 100, tolerance: float = 1e-12, kernel_edges: int = 5_000_000) -> DataFrame:
-    """Personalised PageRank: pagerank_kernel() if no city has more than kernel_edges edges, else pagerank_joins()."""
-    most = edges.groupBy("city_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    run = pagerank_kernel if most <= kernel_edges else pagerank_joins
-    return run(nodes, edges, damping, normalise, rounds, tolerance)
-
-
-def power_iteration(src, dst, weight, teleport, damping: float, rounds: int, tolerance: float):
-    """NumPy kernel. teleport: nodes x groups, columns that sum to 1 or 0; returns the stationary vectors, same shape."""
-    import numpy as np
-
-    n = len(teleport)
-    out = np.bincount(src, weight, n)
-    live = out[src] > 0
-    order = np.argsort(dst[live], kind="stable")
-    s, t, w = src[live][order], dst[live][order], (weight[live] / out[src[live]])[order]
-    first = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else np.zeros(0, np.int64)
-    into, dangling = t[first] if len(t) else t, out == 0
-    pi, open_ = teleport.copy(), np.ones(teleport.shape[1], bool)
-    for _ in range(rounds):
-        now = pi[:, open_]
-        new = (1 - damping + damping * now[dangling].sum(axis=0)) * teleport[:, open_]
-        if len(t):
-            new[into] += damping * np.add.reduceat(now[s] * w[:, None], first, axis=0)
-        step = np.abs(new - now).sum(axis=0)
-        pi[:, open_] = new
-        open_[np.flatnonzero(open_)[step < tolerance]] = False
-        if not open_.any():
-            break
-    return pi
-
-
-def pagerank_kernel(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, normalise: bool = True, rounds: int = 100, tolerance: float = 1e-12, hours: int = 6) -> DataFrame:
-    """One task for each city and ``hours`` hours of the day."""
-    ship(nodes.sparkSession)
-
-    def city(n, e):
-        import numpy as np
-        import pandas as pd
-
-        if not len(n):
-            return pd.DataFrame({"city_id": [], "hour": [], "node": [], "uplift": []})
-        ids, node = np.unique(n["node"].to_numpy(), return_inverse=True)
-        own, hour = np.unique(n["hour"].to_numpy(), return_inverse=True)
-        x = np.zeros((len(ids), len(own)))
-        np.add.at(x, (node, hour), n["input"].to_numpy())
-        total = x.sum(axis=0)
-        t = np.divide(x, total, out=np.zeros_like(x), where=total != 0)
-        src, dst = (np.searchsorted(ids, e[c].to_numpy()) for c in ("src", "dst"))
-        pi = power_iteration(src, dst, e["weight"].to_numpy(dtype=float), t, damping, rounds, tolerance)
-        if normalise:
-            top = pi.max(axis=0)
-            pi = np.divide(pi, top, out=pi, where=top > 0)
-        return pd.DataFrame({"city_id": n["city_id"].to_numpy(), "hour": n["hour"].to_numpy(), "node": n["node"].to_numpy(), "uplift": pi[node, hour]})
-
-    left = nodes.select("city_id", F.col("hour").cast("int"), F.col("node").cast("long"), F.col("input").cast("double"), F.floor(F.col("hour") / hours).cast("int").alias("part"))
-    parts = left.select("city_id", F.col("part").alias("p")).distinct()  # a few for each city
-    right = edges.select("city_id", F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double")).join(parts, "city_id").select("city_id", "src", "dst", "weight", (F.col("p") + 0).alias("part"))
-    return left.groupBy("city_id", "part").cogroup(right.groupBy("city_id", "part")).applyInPandas(city, "city_id long, hour int, node long, uplift double")
-
-
-def pagerank_joins(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, normalise: bool = True, rounds: int = 100, tolerance: float = 1e-12, every: int = 5) -> DataFrame:
-    """Personalised PageRank whose teleport is the input; parallel edges add up, dangling mass teleports; a group without
-    input is 0. A group stops changing once the L1 step is below the tolerance."""
-    out = edges.groupBy("city_id", F.col("src").alias("u")).agg(F.sum("weight").alias("out"))
-    share = edges.groupBy("city_id", F.col("src").alias("u"), F.col("dst").alias("v")).agg(F.sum("weight").alias("w")).join(out, ["city_id", "u"]).where("out > 0")
-    share = cut(share.select("city_id", "u", "v", (F.col("w") / F.col("out")).alias("p")), "share")
-    total = nodes.groupBy(*KEYS).agg(F.sum("input").alias("total"))
-    base = nodes.join(total, KEYS).join(out.withColumnRenamed("u", "node"), ["city_id", "node"], "left")
-    state = base.select(*KEYS, "node", F.when(F.col("total") != 0, F.col("input") / F.col("total")).otherwise(0.0).alias("t"), (F.coalesce("out", F.lit(0.0)) == 0).alias("dangling"))
-    state = last = cut(state.withColumn("pi", F.col("t")), "rank")
-    for k in range(rounds):
-        lost = state.groupBy(*KEYS).agg(F.sum(F.when(F.col("dangling"), F.col("pi")).otherwise(0.0)).alias("lost"))
-        got = state.join(share, (state.city_id == share.city_id) & (state.node == share.u)).groupBy(state.city_id, "hour", F.col("v").alias("node")).agg(F.sum(F.col("pi") * F.col("p")).alias("got"))
-        new = (1 - damping) * F.col("t") + damping * F.col("lost") * F.col("t") + damping * F.coalesce("got", F.lit(0.0))
-        state = state.join(lost, KEYS).join(got, [*KEYS, "node"], "left").select(*KEYS, "node", "t", "dangling", new.alias("pi"), F.abs(new - F.col("pi")).alias("step"))
-        if k % every == every - 1 or k + 1 == rounds:
-            state = cut(state, "rank")
-            release(last)
-            last = state
-            worst = state.groupBy(*KEYS).agg(F.sum("step").alias("d")).agg(F.max("d")).first()[0]
-            state = state.drop("step")
-            if worst is None or worst < tolerance:
-                break
-        else:
-            state = state.drop("step")
-    return _normalised(state.select(*KEYS, "node", F.col("pi").alias("uplift")), normalise)
-
-
 def _normalised(scores: DataFrame, normalise: bool) -> DataFrame:
     if not normalise:
         return scores

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from kerbline.operators import graph
+from kerbline.operators import graph, index
 
 
 def frames(spark, inputs, edges):
@@ -50,10 +50,37 @@ def test_pagerank_teleport_only_and_sum(spark):
     assert [got[i] for i in range(12)] == pytest.approx(plain_pagerank(inputs, edges, 0.85), abs=1e-9)
 
 
-def test_pagerank_by_joins_agrees_with_the_kernel(spark):
-    n, e = frames(spark, [1, 0, 2, 0], [(0, 1, 1), (1, 2, 2), (2, 0, 1), (2, 0, 1), (2, 3, 1)])
-    a, b = values(graph.pagerank_kernel(n, e, rounds=10)), values(graph.pagerank_joins(n, e, rounds=10))
-    assert a == pytest.approx(b, abs=1e-9)
+@pytest.mark.parametrize(("block", "depth"), [(1000, 10), (5, 3), (1, 1), (7, 4)])
+def test_blocks_of_any_size_agree(spark, block, depth):
+    """Cities and hours at once, with dangling nodes, loops, parallel edges and hours that some nodes lack."""
+    rng = random.Random(block)
+    nodes, edges, want = [], [], {}
+    for city, n in ((1, 23), (2, 9), (3, 1)):
+        own = [(rng.randrange(n), rng.randrange(n), rng.choice([0.0, 1.0, 2.5])) for _ in range(2 * n)]
+        own = [e for e in own if e[0] % 6]  # every sixth node is dangling
+        edges += [(city, a + 100, b + 100, w) for a, b, w in own]
+        for hour in (0, 7, 13):
+            x = [rng.choice([0.0, 1.0, 3.0]) + (v == 0) for v in range(n)]
+            missing = {v for v in range(n) if hour == 7 and v % 4 == 1}
+            x = [0.0 if v in missing else y for v, y in enumerate(x)]
+            nodes += [(city, hour, v + 100, y) for v, y in enumerate(x) if v not in missing]
+            for v, y in enumerate(plain_pagerank(x, own, 0.85, 12)):
+                if v not in missing:
+                    want[city, hour, v + 100] = y
+    n = spark.createDataFrame(nodes, "city_id long, hour int, node long, input double").repartition(3)
+    e = spark.createDataFrame(edges, "city_id long, src long, dst long, weight double")
+    got = {(r["city_id"], r["hour"], r["node"]): r["uplift"] for r in graph.pagerank(n, e, normalise=False, rounds=12, block=block, depth=depth).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_dense_numbers(spark):
+    rng = random.Random(3)
+    rows = [(c, rng.randrange(10**9)) for c in (1, 1, 1, 2, 3) for _ in range(70)]
+    df = spark.createDataFrame(rows, "c int, node long")
+    for parts in (1, 5):
+        got = {(r["c"], r["node"]): (r["place"], r["total"]) for r in index.numbered(df.repartition(parts), ["c"], ["node"])[0].collect()}
+        assert got == {(c, x): (i, len(own)) for c in (1, 2, 3) for own in [sorted(x for k, x in rows if k == c)] for i, x in enumerate(own)}
+    assert index.numbered(df.limit(0), ["c"], ["node"])[0].count() == 0
 
 
 def test_zero_inputs(spark):
