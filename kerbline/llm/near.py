@@ -8,7 +8,7 @@ is at least ``least``. A component of the links is one near-duplicate class.
 No bucket is capped: first every class is verified with the smallest one of each of its buckets. In a bucket whose classes are
 not all linked by then, those outside its largest component (probes) are compared with all others of a size that allows the
 similarity. This happens inside cells of bounded size, which hold probes and targets with their sets: overlaps of all of a
-cell's pairs are counted at once, frequent shingles by a product of matrices and the others by inverted lists, and a cell
+cell's pairs are counted at once, frequent shingles as bits of words and the others by inverted lists, and a cell
 returns a spanning forest of what it links, never its pairs. What is left out joins classes that are linked already, so the
 components are those of all candidates.
 
@@ -59,18 +59,18 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def overlaps(probes: list[np.ndarray], targets: list[np.ndarray], often: int = 64, width: int = 2048) -> np.ndarray:
+def overlaps(probes: list[np.ndarray], targets: list[np.ndarray], often: int = 64, width: int = 4096) -> np.ndarray:
     """How many hashes each probe shares with each target; all are sorted sets."""
     tokens, column = np.unique(np.concatenate(targets), return_inverse=True)
-    owner = np.repeat(np.arange(len(targets)), [len(t) for t in targets])
+    owner = np.repeat(np.arange(len(targets), dtype=np.int32), [len(t) for t in targets])
     order = np.argsort(column, kind="stable")
     owner, starts = owner[order], np.searchsorted(column[order], np.arange(len(tokens) + 1))
     lengths = np.diff(starts)
-    out = np.zeros((len(probes), len(targets)), np.float32)
+    out = np.zeros((len(probes), len(targets)), np.int32)
     found = []
     for k, p in enumerate(probes):
         at = np.searchsorted(tokens, p)
-        at = at[np.take(tokens, at, mode="clip") == p] if len(tokens) else at[:0]
+        at = at[np.take(tokens, at, mode="clip") == p]
         hot = lengths[at] >= often
         found.append(at[hot])
         at = at[~hot]
@@ -79,14 +79,16 @@ def overlaps(probes: list[np.ndarray], targets: list[np.ndarray], often: int = 6
             hits = np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
             out[k] = np.bincount(owner[hits], minlength=len(targets))
     frequent = np.flatnonzero(lengths >= often)
-    for a in range(0, len(frequent), width):
+    for a in range(0, len(frequent), width):  # frequent hashes as bits: one of targets' words for 64 of them
         some = frequent[a : a + width]
-        left, right = np.zeros((len(probes), len(some)), np.float32), np.zeros((len(some), len(targets)), np.float32)
+        bits = np.zeros((len(targets), 64 * -(-len(some) // 64)), bool)
         for k, t in enumerate(some.tolist()):
-            right[k, owner[starts[t] : starts[t + 1]]] = 1
+            bits[owner[starts[t] : starts[t + 1]], k] = True
+        held = np.packbits(bits, axis=1).view(np.uint64)
         for k, at in enumerate(found):
-            left[k, np.searchsorted(some, at[(at >= some[0]) & (at <= some[-1])])] = 1
-        out += left @ right
+            own = np.zeros(bits.shape[1], bool)
+            own[np.searchsorted(some, at[(at >= some[0]) & (at <= some[-1])])] = True
+            out[k] += np.bitwise_count(held & np.packbits(own).view(np.uint64)).sum(axis=1, dtype=np.int32)
     return out
 
 
@@ -102,9 +104,8 @@ def forest(probes: list[np.ndarray], targets: list[np.ndarray], own: list[int],
 
     out = []
     sizes = np.array([len(t) for t in targets])
-    shared = overlaps(probes, targets).astype(np.int64)
-    for k, p in enumerate(probes):
-        for t in np.flatnonzero(shared[k] / (len(p) + sizes - shared[k]) >= least).tolist():
+    for k, (p, shared) in enumerate(zip(probes, overlaps(probes, targets), strict=True)):
+        for t in np.flatnonzero(shared / (len(p) + sizes - shared) >= least).tolist():
             a, b = root(own[k]), root(other[t])
             if a != b:
                 parent[a] = b
@@ -201,12 +202,12 @@ def links(docs: DataFrame, classes: DataFrame, shingle: int, least: float, radiu
 def cells(docs: DataFrame, classes: DataFrame, mixed: DataFrame, shingle: int, least: float) -> DataFrame:
     """mixed: c, band, key, root, main. Links (a, b) between classes outside the main component of a bucket and all others of it.
 
-    A cell holds the sets of at most some 32 MB of probes and as many targets of a bucket and size band.
+    A cell holds 512 probes and as many targets of a bucket and size band at most, or some 8 MB of either.
     """
     base = 1 / least
     targets = mixed.select("key", "band", "c", "root")
     probes = mixed.where("root <> main").select("key", "c", "root", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    room = F.greatest(F.lit(16.0), F.least(F.lit(2048.0), F.lit(float(1 << 22)) / F.pow(F.lit(base), F.col("band") + 1)))
+    room = F.greatest(F.lit(16.0), F.least(F.lit(512.0), F.lit(float(1 << 20)) / F.pow(F.lit(base), F.col("band") + 1)))
     blocks = lambda n: F.ceil(F.col(n) / room).cast("int")
     count = lambda df, n: df.groupBy("key", "band").agg(F.count("*").alias(n))
     both = count(targets, "nt").join(count(probes, "np"), ["key", "band"]).select("key", "band", "nt", "np", blocks("nt").alias("bt"), blocks("np").alias("bp"))
