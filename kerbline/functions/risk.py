@@ -150,6 +150,36 @@ def stub_bucket(u: Column) -> Column:
     return F.least(F.floor(u * 5), F.lit(4)).cast("int")
 
 
+def epoch_day(millis: Column) -> Column:
+    """The UTC day of milliseconds since 1970."""
+    return F.to_date(F.timestamp_millis(millis))
+
+
+def day_range(first: Column, last: Column) -> Column:
+    """A half-open range of days, as struct<start, end_excl>."""
+    return F.struct(F.to_date(first).alias("start"), F.date_add(F.to_date(last), 1).alias("end_excl"))
+
+
+def backoff(attempt: Column, base: float = 2.0, cap: float = 300.0) -> Column:
+    """Seconds to wait after an attempt (from 1): doubled each time, up to a cap."""
+    return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(cap))
+
+
+def bar_width(value: Column, scale: float, most: float = 100.0) -> Column:
+    """Per cent of a bar, within its ends."""
+    return clamp(value * scale, 0.0, most)
+
+
+def day_of_year(n: Column, year: int) -> Column:
+    """The n-th day of a year, n within 1 and 365."""
+    return F.date_add(F.lit(f"{year}-01-01").cast("date"), (F.least(F.lit(365), F.greatest(F.lit(1), n)) - 1).cast("int"))
+
+
+def target_hour(at: Column, noon: str = "2025-06-21 12:00:00") -> Column:
+    """UTC hour of a time, that of noon without one."""
+    return F.hour(F.coalesce(at, F.lit(noon).cast("timestamp_ntz")))
+
+
 def static_bucket(key: Column, buckets: int = 5) -> Column:
     """A bucket that depends on the key alone: the first 32 bits of its digest, evenly spread."""
     return F.pmod(F.conv(F.substring(F.sha2(key.cast("string"), 256), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")

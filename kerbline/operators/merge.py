@@ -18,7 +18,20 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> D
 def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The rows of new to append: one a key (the smallest ``order``), none whose key is in old."""
     first = new.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in new.columns if c not in keys]), F.col(order)).alias("_r")).select(*keys, "_r.*").select(*new.columns)
-    return first.join(old.select(*keys).distinct(), list(keys), "left_anti").select(*new.columns)
+    return skip_existing(old, first, keys).select(*new.columns)
+
+
+def skip_existing(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of new whose key is not in old."""
+    return new.join(old.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def ingest_summary(old: DataFrame, new: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
+    """One row about new: seen, skipped (key in old), inserted, first_at and last_at of all that was seen."""
+    held = old.select(*keys).distinct().withColumn("_held", F.lit(True))
+    tagged = new.join(held, list(keys), "left")
+    there = F.col("_held").isNotNull()
+    return tagged.agg(F.count("*").alias("seen"), F.count_if(there).alias("skipped"), F.count_if(~there).alias("inserted"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
 
 
 def classify(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

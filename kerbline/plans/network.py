@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, risk, solar
 from .. import table_functions
-from ..operators import detail, graph, historical, lookups, perception, scoring, topology, vector_tiles
+from ..operators import detail, graph, historical, lookups, merge, perception, scoring, topology, vector_tiles
 from . import fixtures as X
 from .core import LATEST, r6
 from .registry import query
@@ -178,8 +178,9 @@ def a5(spark, d):
 @query("a6_ingest_summary", """
   SELECT count(*) AS seen, count(*) FILTER (WHERE e.user_id % 3 = 0) AS skipped, count(*) FILTER (WHERE e.user_id % 3 <> 0) AS inserted, min(e.ts) AS first_at, max(e.ts) AS last_at FROM events e""")
 def a6(spark, d):
-    old = F.col("user_id") % 3 == 0
-    return X.table(spark, d, "events").agg(F.count("*").alias("seen"), F.count_if(old).alias("skipped"), F.count_if(~old).alias("inserted"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+    """A third of the events is there already."""
+    e = X.table(spark, d, "events")
+    return merge.ingest_summary(e.where("user_id % 3 = 0").select("event_id"), e, ["event_id"], "ts")
 
 
 @query("pf8_date_window", "SELECT provider_incident_id FROM v_incidents WHERE CAST(incident_at AS DATE) BETWEEN (SELECT CAST(min(ts) AS DATE) FROM events) AND (SELECT CAST(min(ts) AS DATE) + 9 FROM events)")
@@ -361,8 +362,7 @@ def f17(spark, d):
     DATE '2025-01-01' + CAST(least(365, greatest(1, user_id)) - 1 AS INT) AS day FROM events""")
 def f21(spark, d):
     ts = F.col("ts")
-    day = F.date_add(F.lit("2025-01-01").cast("date"), (F.least(F.lit(365), F.greatest(F.lit(1), F.col("user_id"))) - 1).cast("int"))
-    return X.table(spark, d, "events").select("event_id", lookups.snap_hour(ts).cast("timestamp_ntz").alias("snapped"), F.hour(F.coalesce(ts, F.expr("TIMESTAMP_NTZ '2025-06-21 12:00:00'"))).alias("target_hour"), day.alias("day"))
+    return X.table(spark, d, "events").select("event_id", lookups.snap_hour(ts).cast("timestamp_ntz").alias("snapped"), risk.target_hour(ts).alias("target_hour"), risk.day_of_year(F.col("user_id"), 2025).alias("day"))
 
 
 @query("f26_local_noon_hour", """

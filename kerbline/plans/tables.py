@@ -33,7 +33,7 @@ def snk2(spark, d):
 @query("j10_skip_existing", "SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = e.event_id AND o.o_custkey % 2 = 0)")
 def j10(spark, d):
     old = X.table(spark, d, "orders").where("o_custkey % 2 = 0").select(F.col("o_orderkey").alias("event_id"))
-    return X.table(spark, d, "events").select("event_id").join(old, "event_id", "left_anti")
+    return merge.skip_existing(old, X.table(spark, d, "events").select("event_id"), ["event_id"])
 
 
 @query("snk3_imagery_insert_ignore", "SELECT provider, provider_image_id, segment_id FROM v_segment_imagery WHERE CAST(provider_image_id AS BIGINT) % 4 = 1")
@@ -77,18 +77,18 @@ def f8(spark, d):
 
 @query("f25_epoch_millis", "SELECT event_id, CAST(epoch_ms(CAST(1600000000000 + event_id * 86400000 AS BIGINT)) AS DATE) AS day FROM events")
 def f25(spark, d):
-    return X.table(spark, d, "events").select("event_id", F.to_date(F.timestamp_millis(F.lit(1600000000000) + F.col("event_id") * 86400000)).alias("day"))
+    return X.table(spark, d, "events").select("event_id", risk.epoch_day(F.lit(1600000000000) + F.col("event_id") * 86400000).alias("day"))
 
 
 @query("f24_daterange", "SELECT city_id, min(capture_date) AS start_date, max(capture_date) + 1 AS end_excl FROM v_segment_imagery GROUP BY 1")
 def f24(spark, d):
-    return X.segment_imagery(spark, d).groupBy("city_id").agg(F.min("capture_date").alias("start_date"), F.date_add(F.max("capture_date"), 1).alias("end_excl"))
+    return X.segment_imagery(spark, d).groupBy("city_id").agg(risk.day_range(F.min("capture_date"), F.max("capture_date")).alias("r")).select("city_id", F.col("r.start").alias("start_date"), "r.end_excl")
 
 
 @query("f38_backoff_and_widths", "SELECT p_size, least(2e0 * power(2e0, p_size - 1), 300e0) AS backoff, round(greatest(0e0, least(100e0, p_size * 2.5e0)), 6) AS width FROM (SELECT DISTINCT p_size FROM part) q")
 def f38(spark, d):
     p = X.table(spark, d, "part").select("p_size").distinct()
-    return p.select("p_size", F.least(2.0 * F.pow(F.lit(2.0), F.col("p_size") - 1), F.lit(300.0)).alias("backoff"), r6(risk.clamp(F.col("p_size") * 2.5, 0.0, 100.0), "width"))
+    return p.select("p_size", risk.backoff(F.col("p_size")).alias("backoff"), r6(risk.bar_width(F.col("p_size"), 2.5), "width"))
 
 
 @query("src4_year_pruning", "SELECT CAST(extract(year FROM ts) AS INT) AS year, count(*) AS n FROM events WHERE extract(year FROM ts) BETWEEN 2024 AND 2025 GROUP BY 1")

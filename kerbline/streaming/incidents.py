@@ -16,14 +16,20 @@ def stream(spark: SparkSession, path: str, delay: str = "7 days", max_files: int
 
 
 def append_new(batch: DataFrame, target: str) -> None:
-    """Appends the rows of a batch whose key the target lacks; a batch that is replayed adds nothing."""
+    """Appends the rows of a batch whose key the target lacks; a batch that is replayed adds nothing.
+
+    Of the target only the batch's cities are read, and of these the time that the batch covers: an incident keeps its time.
+    """
     from ..operators.merge import insert_ignore
 
     spark = batch.sparkSession
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(target)
     there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    first, last = batch.agg(F.min("incident_at"), F.max("incident_at")).first()
     old = spark.read.schema(SCHEMA).parquet(target) if there else spark.createDataFrame([], SCHEMA)
+    timeless = F.col("incident_at").isNull()
+    old = old.where(timeless if first is None else timeless | F.col("incident_at").between(F.lit(first), F.lit(last)))  # reaches the scan: files and row groups are skipped
     cities = F.broadcast(batch.select("city_id").distinct())  # one row a city; prunes the partitions that are read
     insert_ignore(old.join(cities, "city_id", "left_semi"), batch, KEYS, "incident_at").write.mode("append").partitionBy("city_id").parquet(target)
 

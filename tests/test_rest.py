@@ -1,5 +1,6 @@
 """Paged services against a local server: pages, pruned years, retries, refusals."""
 
+import hashlib
 import json
 import threading
 import urllib.error
@@ -8,7 +9,7 @@ from urllib.parse import parse_qs, urlparse
 
 import pytest
 
-from kerbline.sources import incidents, rest
+from kerbline.sources import extracts, incidents, rest
 
 BOX = (-71.2, 42.3, -71.0, 42.4)
 N = {2021: 0, 2022: 7, 2023: 10, 2024: 25}
@@ -99,3 +100,45 @@ def test_images_of_boxes(spark, service):
     assert got[1]["lon"] == 0.5 and got[1]["error"] is None and "404" in got[2]["error"] and got[2]["id"] is None
     assert asked[0][1]["access_token"] == "t" and asked[0][1]["bbox"] == "0.400000,0.400000,0.600000,0.600000"
     assert rest.images(boxes.limit(0), url).count() == 0
+
+
+def test_an_extract_is_fetched_once(spark, tmp_path):
+    asked, body = [], [b"x" * 1000]
+
+    class Handler(BaseHTTPRequestHandler):
+        def log_message(self, *_):
+            pass
+
+        def reply(self, data):
+            asked.append(self.command)
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body[0])))
+            self.send_header("Last-Modified", "Sat, 07 Jun 2025 10:00:00 GMT")
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_HEAD(self):
+            self.reply(b"")
+
+        def do_GET(self):
+            self.reply(body[0] if self.path == "/x.pbf" else body[0][:10])
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url, into = f"http://127.0.0.1:{server.server_port}", str(tmp_path / "d" / "x.pbf")
+    try:
+        first = extracts.snapshot(spark, url + "/x.pbf", into).first()
+        assert (first["size_bytes"], str(first["osm_snapshot_date"]), first["cached"]) == (1000, "2025-06-07", False) and first["sha256"] == hashlib.sha256(body[0]).hexdigest()
+        assert extracts.snapshot(spark, url + "/x.pbf", into).first()["cached"] and asked.count("GET") == 1
+        body[0] = b"y" * 1001
+        assert not extracts.fetch(url + "/x.pbf", into)["cached"] and asked.count("GET") == 2
+        body[0] = b"z" * 5000
+        with pytest.raises(OSError):
+            extracts.fetch(url + "/broken", into)
+        assert (tmp_path / "d" / "x.pbf").read_bytes() == b"y" * 1001 and len(list((tmp_path / "d").iterdir())) == 1
+    finally:
+        server.shutdown()
+        server.server_close()
+    with pytest.raises(OSError):  # nobody answers: tried and left as it was
+        extracts.fetch(url + "/x.pbf", into, timeout=1)
+    assert (tmp_path / "d" / "x.pbf").exists()
