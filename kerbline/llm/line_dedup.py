@@ -13,10 +13,12 @@ blocks are deleted from the later document (larger doc_id). Three choices keep t
 
 Windows of fewer characters are keys only for documents that are no longer than that as a whole.
 
-The alignment of a pair is the longest run of shared lines whose positions increase in both documents (patience sorting). A
-block is a maximal stretch of it that is contiguous in both, blank lines aside; stretches across the alignment (sections that
-stand in another order, or twice) are blocks after these. A block is deleted if it has at least
-``min_chars`` characters, however many documents hold it. A document all of whose lines align as one block goes whole.
+A pair is aligned in three steps, and only what they align can go. The spine is the longest run of lines that are unique among the
+shared ones, in both documents, whose positions increase in both (patience sorting). The other shared lines are dealt to
+further increasing runs: first those that lie between two lines of the spine on either side, then those across it, which are
+sections that stand in another order, or twice. Each piece of a run that is contiguous in both documents is extended as far
+as the documents agree. A block found in this way is deleted if it has at least ``min_chars`` characters, however many
+documents hold it; a document all of whose lines are one block goes whole.
 ``rare`` (none by default) additionally asks a block of fewer than ``min_lines`` lines for a line that at most so many hold.
 
 Defined cases: null text is empty; blank lines never match and stay where lines around them stay; a document without a
@@ -27,7 +29,7 @@ columns of the names it adds; keep_rest() leaves all columns but text and n_char
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -92,9 +94,42 @@ def blocks(pairs: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def stretches(pairs: Iterable[tuple[int, int]]) -> list[list[int]]:
-    """All stretches of pairs that are contiguous in both documents, in whatever order, as positions in the later one."""
-    return blocks(sorted(pairs, key=lambda x: (x[1] - x[0], x[0])))
+def runs(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """All pairs, dealt to runs whose positions increase in both documents: a pair goes on the run that ends nearest before it."""
+    ends: list[int] = []
+    found: list[list[tuple[int, int]]] = []
+    for p, q in sorted(pairs, key=lambda x: (x[0], -x[1])):
+        k = bisect_left(ends, q)
+        if k:
+            ends[k - 1] = q
+            found[k - 1].append((p, q))
+        else:
+            ends.insert(0, q)
+            found.insert(0, [(p, q)])
+    return found
+
+
+def aligned(pairs: set[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The spine of a pair of documents, the runs between its lines, and the runs across it."""
+    here, there = Counter(p for p, _ in pairs), Counter(q for _, q in pairs)
+    spine = increasing(sorted((p, q) for p, q in pairs if here[p] == there[q] == 1))
+    at = [p for p, _ in spine]
+    inner, across = [], []
+    for p, q in pairs.difference(spine):
+        k = bisect_left(at, p)
+        between = (k == 0 or spine[k - 1][1] < q) and (k == len(at) or p < at[k] and q < spine[k][1])
+        (inner if between else across).append((p, q))
+    return [spine, *runs(inner), *runs(across)]
+
+
+def extended(block: list[int], shift: int, pairs: set[tuple[int, int]]) -> list[int]:
+    """A block (positions in the later document, shift to the earlier one) as far as the documents agree on either side."""
+    first, last = block[0], block[-1]
+    while (first - 1, first - 1 + shift) in pairs:
+        first -= 1
+    while (last + 1, last + 1 + shift) in pairs:
+        last += 1
+    return list(range(first, last + 1))
 
 
 def removable(lines: list[str], shared: Iterable[tuple[int, int, int, int]], rare: int | None, min_lines: int, min_chars: int) -> list[list[int]]:
@@ -107,13 +142,20 @@ def removable(lines: list[str], shared: Iterable[tuple[int, int, int, int]], rar
     out: list[list[int]] = []
     done: set[int] = set()
     for a in sorted(by_doc):
-        aligned = increasing(sorted(by_doc[a], key=lambda x: (x[0], -x[1])))
-        for b in [*blocks(aligned), *stretches(by_doc[a])]:
-            new = [p for p in b if p not in done]
-            enough = sum(len(lines[p]) for p in b) >= min_chars and (rare is None or len(b) >= min_lines or any(held[p] <= rare for p in b))
-            if new and (enough or len(b) == len(lines)):
-                out.append(new)
-                done.update(new)
+        seen: set[tuple[int, int]] = set()
+        for run in aligned(by_doc[a]):
+            to = dict(run)
+            for piece in blocks(run):
+                shift = to[piece[0]] - piece[0]
+                if (piece[0], shift) in seen:
+                    continue
+                b = extended(piece, shift, by_doc[a])
+                seen.update((p, shift) for p in b)
+                new = [p for p in b if p not in done]
+                enough = sum(len(lines[p]) for p in b) >= min_chars and (rare is None or len(b) >= min_lines or any(held[p] <= rare for p in b))
+                if new and (enough or len(b) == len(lines)):
+                    out.append(new)
+                    done.update(new)
     return out
 
 

@@ -54,3 +54,54 @@ def test_a_frequent_window_is_dealt_out(spark):
     rows = [(i, f"{passage}\nown line {i}") for i in range(2500)]
     got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     assert got.where("n_removed = 1").count() == 2499 and got.where("doc_id = 0").first()["text"] == rows[0][1]
+
+
+def stretches(pairs):
+    """What may go, without alignment: every stretch of pairs that is contiguous in both documents."""
+    out, left = [], set(pairs)
+    while left:
+        p, q = min(left)
+        b = []
+        while (p, q) in left:
+            left.remove((p, q))
+            b.append(p)
+            p, q = p + 1, q + 1
+        out.append(b)
+    return out
+
+
+def cases(n=1500):
+    rng = random.Random(23)
+    for _ in range(n):
+        pool = ["".join(rng.choice("ab") for _ in range(rng.choice((5, 20, 41)))) for _ in range(6)]
+        one, two = ([rng.choice(pool) for _ in range(rng.randint(1, 9))] for _ in range(2))
+        yield two, {(p, q) for p, x in enumerate(two) for q, y in enumerate(one) if x == y}
+
+
+def removed(lines, pairs):
+    return {p for b in line_dedup.removable(lines, [(p, 1, q, 2) for p, q in pairs], None, 2, 40) for p in b}
+
+
+def test_alignment_decides_what_goes(monkeypatch):
+    some = 0
+    for lines, pairs in cases():
+        runs = line_dedup.aligned(pairs)
+        assert sorted(x for r in runs for x in r) == sorted(pairs)  # each shared line is aligned once
+        assert all(a[0] < b[0] and a[1] < b[1] for r in runs for a, b in zip(r, r[1:], strict=False))
+        want = {p for b in stretches(pairs) if sum(len(lines[p]) for p in b) >= 40 or len(b) == len(lines) for p in b}
+        assert removed(lines, pairs) == want
+        some += bool(want)
+    assert some > 500
+    spine = line_dedup.aligned({(0, 0), (1, 1), (2, 2), (3, 0)})[0]
+    assert spine == [(1, 1), (2, 2)]
+    monkeypatch.setattr(line_dedup, "runs", lambda pairs: [])  # without the other runs only the spine's blocks go
+    only_spine = sum(removed(lines, pairs) != {p for b in stretches(pairs) if sum(len(lines[p]) for p in b) >= 40 or len(b) == len(lines) for p in b} for lines, pairs in cases(300))
+    monkeypatch.setattr(line_dedup, "increasing", lambda pairs: [])  # and without a spine nothing does
+    assert only_spine > 50 and not any(removed(lines, pairs) for lines, pairs in cases(300))
+
+
+def test_long_repeats_and_reversed_order():
+    line = "a line of more than forty characters, again and again"
+    assert len(removed([line] * 30_000, {(p, 0) for p in range(30_000)})) == 30_000
+    lines = [f"{line} {i}" for i in range(30_000)]
+    assert len(removed(lines, {(p, 29_999 - p) for p in range(30_000)})) == 30_000
