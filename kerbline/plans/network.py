@@ -399,6 +399,13 @@ def s6(spark, d):
     return run.select("city_id", "segment_id", "hour", *(r6(c) for c in ("glare", "lane_marking", "junction_complexity", "historical", "local", "propagation_uplift", "composite_risk", "confidence")), "is_stub_lane_marking")
 
 
+@query("s8_row_confidence", f"SELECT segment_id, round(CASE WHEN is_stub THEN 0e0 ELSE least(1e0, confidence) END, 6) AS confidence, is_stub AS is_stub_lane_marking FROM ({LANE}) l")
+def s8(spark, d):
+    """A run of lane markings alone: a row without a real sub-score has no confidence."""
+    run = scoring.scoring_run(X.road_segments(spark, d), X.segment_imagery(spark, d), X.incidents(spark, d), "2025-06-21", hours=(12,), strategy="influence-diffusion", weights={"lane_marking": 1.0}, k=1)
+    return run.select("segment_id", r6("confidence"), "is_stub_lane_marking")
+
+
 @query("s7_provisional_run", f"""
   SELECT j.city_id, j.segment_id, g.h AS hour, round(CASE WHEN l.is_stub THEN (g.glare + j.score) / 2 ELSE (l.value + g.glare + j.score) / 3 END, 6) AS composite_risk, round(CASE WHEN l.is_stub THEN 1e0 ELSE least(1e0, l.confidence) END, 6) AS confidence
   FROM ({S3}) j JOIN ({GLARE}) g ON g.segment_id = j.segment_id JOIN ({LANE}) l ON l.segment_id = j.segment_id""")

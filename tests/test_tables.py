@@ -1,12 +1,14 @@
 import datetime as dt
 import json
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
 from kerbline import committed
 from kerbline.operators import delta, scoring
-from kerbline.sources import cities, imagery, incidents, osm
+from kerbline.sources import cities, imagery, incidents, objects, osm
 from kerbline.streaming import incidents as streaming
 
 LINES = "segment_id long, city_id long, highway string, lanes string, coords array<struct<lon: double, lat: double>>"
@@ -46,6 +48,23 @@ def test_imagery_pages(spark, tmp_path):
     assert [(r["provider_image_id"], r["heading_deg"]) for r in rows] == [("a", 5.0)]
 
 
+def test_objects_and_models(spark, tmp_path):
+    (tmp_path / "store" / "p").mkdir(parents=True)
+    for k in ("a.jpg", "b.jpg", "c.jpg"):
+        (tmp_path / "store" / "p" / k).write_bytes(k.encode() * 3)
+    keys = spark.createDataFrame([("p/a.jpg",), ("p/a.jpg",), ("p/x.jpg",)], "object_key string")
+    rows = objects.read(spark, str(tmp_path / "store"), keys).collect()
+    assert [(r["object_key"], bytes(r["content"])) for r in rows] == [("p/a.jpg", b"a.jpg" * 3)] and objects.read(spark, f"file://{tmp_path}/store").count() == 3
+    (tmp_path / "weights.json").write_text(json.dumps({"bias": 2}))
+    get = objects.model(spark, str(tmp_path / "weights.json"), json.loads)
+
+    def run(batches):
+        for b in batches:
+            yield b.set_column(0, "id", pa.compute.add(b.column("id"), get()["bias"]))
+
+    assert sorted(r["id"] for r in spark.range(4).mapInArrow(run, "id long").collect()) == [2, 3, 4, 5]
+
+
 def test_stream_is_idempotent(spark, tmp_path):
     src, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
     (tmp_path / "in").mkdir()
