@@ -15,14 +15,14 @@ rows. Extra columns are not part of the leaf and are not read, so their names ca
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.index import numbered
 from .common import cut, join_spread, release
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 LEVELS = 8  # a tier's height; a group holds 2^LEVELS nodes at most
-BROADCAST_ROWS = 65_536
 
 
 def digest(text: Column) -> Column:
@@ -39,26 +39,6 @@ def leaf(**changed: Column) -> Column:
     return digest(F.concat(*(_field(changed.get(name, F.col(f"`{name}`"))) for name in FIELDS)))
 
 
-def numbered(rows: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, list[DataFrame]]:
-    """rows with place (from 0, within key, by order) and total (rows of the key), without a task that holds a whole key; and what was stored for it.
-
-    Rows are range partitioned, numbered within their partition, written, and shifted by the rows of the key in the partitions before.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = [key, *order, "_row"]
-    dealt = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("_row")
-    dealt = cut(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright("_at", 33)
-    runs = dealt.groupBy(key, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_part")  # one row for each partition at most
-    runs = runs.select(key, "_part", "_first", F.sum("_n").over(before).alias("_upto"), "_n", F.sum("_n").over(Window.partitionBy(key)).alias("total"))
-    runs = cut(runs, "runs")
-    few = F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs
-    placed = dealt.withColumn("_part", part).join(few, [key, "_part"])
-    placed = placed.withColumn("place", F.col("_at") - F.col("_first") + F.col("_upto") - F.col("_n"))
-    return placed.drop("_at", "_part", "_first", "_upto", "_n"), [dealt, runs]
-
-
 def _levels(nodes: Column, total: Column) -> Column:
     """The preimages of a group by level: parents until one node is left, or a whole tier where the tree goes on."""
     found = F.array(F.array().cast("array<string>"))  # a first level that stands for the nodes themselves
@@ -148,10 +128,10 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     changed = F.lit(None).cast("string") if tampered is None else F.when(F.coalesce(tampered, F.lit(False)), leaf(n_chars=F.col("n_chars") + 1))
     key = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))  # null first, then bytewise
     rows = cut(docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), leaf().alias("hash"), changed.alias("other")), "leaves")
-    placed, kept = numbered(rows, "key", ["doc_id", "hash"])
+    placed, kept = numbered(rows, ["key"], ["doc_id", "hash"])
     leaves, subroots, stored = paths(placed)
     names = cut(subroots.select(F.lit(0).alias("key"), F.col("key").alias("name"), F.col("root").alias("hash")), "subroots")
-    placed, kept_above = numbered(names, "key", ["name"])
+    placed, kept_above = numbered(names, ["key"], ["name"])
     tops, root, stored_above = paths(placed)
     upper = tops.join(F.broadcast(root), "key").select(F.col("name").alias("key"), F.col("hash").alias("subroot"), "root", F.col("path").alias("upper"))
     upper = cut(upper.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key"), "upper")
