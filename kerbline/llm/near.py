@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_spread, parts, release, ship, text_or_empty, whole_groups
+from .common import cut, join_spread, parts, release, ship, small_batches, text_or_empty, whole_groups
 from .components import components
 from .simhash import SEED, fingerprint, link_classes
 
@@ -128,9 +128,12 @@ def marked(docs: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.binary()).to_pylist()
-            sets = [shingles(t, shingle) for t in texts]
-            listed = pa.array([bands(x).tolist() for x in sets], pa.list_(pa.int64()))
-            cols = [b.column("doc_id"), _signed([_class(t) for t in texts]), _signed([fingerprint(t, shingle) for t in texts]), listed, pa.array([len(x) for x in sets], pa.int32())]
+            listed, sizes = [], []
+            for t in texts:
+                x = shingles(t, shingle)
+                listed.append(bands(x).tolist())
+                sizes.append(len(x))
+            cols = [b.column("doc_id"), _signed([_class(t) for t in texts]), _signed([fingerprint(t, shingle) for t in texts]), pa.array(listed, pa.list_(pa.int64())), pa.array(sizes, pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "c", "fp", "keys", "size"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
@@ -167,7 +170,8 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int
     small = F.octet_length("x") >= F.octet_length("y") * least  # else the sizes alone forbid it
     large = F.octet_length("y") >= F.octet_length("x") * least
     both = pairs.join(one, "a").join(two, "b").where(small & large).select("a", "b", "x", "y")
-    out = cut(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    with small_batches(docs.sparkSession, 512):
+        out = cut(both.mapInArrow(run, "a long, b long").distinct(), "links")
     release(pairs, found)
     return out
 
@@ -241,7 +245,8 @@ def cells(docs: DataFrame, classes: DataFrame, mixed: DataFrame, shingle: int, l
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     rows = dealt.join(sets, "c").select(*cell, "probe", "c", "root", "grams").repartition(parts(docs.sparkSession), *cell).sortWithinPartitions(*cell)
-    out = cut(rows.mapInArrow(run, "a long, b long").distinct(), "links")
+    with small_batches(docs.sparkSession, 256):
+        out = cut(rows.mapInArrow(run, "a long, b long").distinct(), "links")
     release(both, dealt, sets)
     return out
 
