@@ -8,6 +8,9 @@ take one pass: that is how small cities run, by the same path as large ones.
 Rounds are linear but for the mass of dangling nodes, one number for each round, city and hour. So the passes run on the powers of the
 transition alone: a first series of them adds up what each power leaves on dangling nodes, from which the weight of each power
 in the result follows, and a second series adds up the powers by these weights.
+
+A task holds the edges that lead into its block's zone. Junctions of roads have few, so that is a small multiple of the nodes; a graph
+with hubs wants smaller blocks and less depth, and the in-edges of a single hub still meet in one task.
 """
 
 from __future__ import annotations
