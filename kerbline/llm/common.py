@@ -62,6 +62,39 @@ def small_batches(spark: SparkSession, rows: int):
         spark.conf.set(key, old)
 
 
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make):
+    """What make() returns, kept by this Python worker for its next tasks until another key is asked for.
+
+    Workers outlive jobs, so tables of words would add up from operator to operator if each kept its own.
+    """
+    if _KEPT.get("key") != key:
+        forget()
+        _KEPT.update(key=key, value=make())
+    return _KEPT["value"]
+
+
+def forget() -> None:
+    """Drops what this worker keeps, and gives back memory that Arrow holds without using it."""
+    import pyarrow as pa
+
+    _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+
+
+def alone(run):
+    """run, a function of mapInArrow, in workers that keep nothing of other operators meanwhile."""
+
+    def go(batches):
+        forget()
+        yield from run(batches)
+        forget()
+
+    return go
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

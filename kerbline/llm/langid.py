@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import aside, ship
+from .common import aside, kept, ship
 
 MARK = "▁"
 PART = 32
@@ -152,13 +152,7 @@ class Model:
         self.langs, self.pieces, self.p, self.prior, self.uid = langs, pieces, p, prior, uuid.uuid4().hex
 
     def scorer(self) -> Scorer:
-        if _SCORERS.get("uid") != self.uid:
-            _SCORERS.clear()
-            _SCORERS.update(uid=self.uid, scorer=Scorer(self))
-        return _SCORERS["scorer"]
-
-
-_SCORERS: dict = {}
+        return kept(("langid", self.uid), lambda: Scorer(self))
 
 
 class Scorer:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, cut, join_spread, ship, text_or_empty
+from .common import alone, aside, cut, join_spread, ship, text_or_empty
 
 
 def windows(lines: list[str], least: int) -> list[tuple[int, int, int, bool]]:
@@ -176,7 +176,7 @@ def line_keys(docs: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "pos", "size", "key", "ask"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, pos int, size int, key long, ask boolean")
+    return rows.mapInArrow(alone(run), "doc_id long, pos int, size int, key long, ask boolean")
 
 
 def dedup(docs: DataFrame, rare: int | None = None, min_lines: int = 2, min_chars: int = 40) -> DataFrame:
@@ -212,7 +212,7 @@ def dedup(docs: DataFrame, rare: int | None = None, min_lines: int = 2, min_char
             cols |= {k: pa.array(v, pa.int64()) for k, v in zip(("n_lines", "n_removed", "n_blocks"), counts, strict=True)}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    out = rows.mapInArrow(run, shape)
+    out = rows.mapInArrow(alone(run), shape)
     return out.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(old, own, strict=True)), "n_lines", "n_removed", "n_blocks")
 
 

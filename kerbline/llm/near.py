@@ -28,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_spread, parts, release, ship, small_batches, text_or_empty, whole_groups
+from .common import alone, cut, join_spread, parts, release, ship, small_batches, text_or_empty, whole_groups
 from .components import components
 from .simhash import SEED, fingerprint, link_classes
 
 BANDS, ROWS = 25, 5
+#: Texts of an Arrow batch.
+TEXTS = 1024
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -137,7 +139,7 @@ def marked(docs: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "c", "fp", "keys", "size"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, c long, fp long, keys array<long>, size int")
+    return rows.mapInArrow(alone(run), "doc_id long, c long, fp long, keys array<long>, size int")
 
 
 def grams(docs: DataFrame, named: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
@@ -150,7 +152,13 @@ def grams(docs: DataFrame, named: DataFrame, classes: DataFrame, shingle: int) -
 
     ids = classes.join(named, "c").select("doc_id").distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(ids, "doc_id", "left_semi")
-    return rows.select("text").mapInArrow(run, "c long, grams binary")
+    return rows.select("text").mapInArrow(alone(run), "c long, grams binary")
+
+
+def sets_of(docs: DataFrame, named: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """grams(), written out; a batch holds whole texts and their sets, both in the JVM and in its worker."""
+    with small_batches(docs.sparkSession, TEXTS):
+        return cut(grams(docs, named, classes, shingle), "grams")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -164,14 +172,14 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int
 
     pairs = cut(pairs, "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    found = cut(grams(docs, named, classes, shingle), "grams")
+    found = sets_of(docs, named, classes, shingle)
     one = found.select(F.col("c").alias("a"), F.col("grams").alias("x"))
     two = found.select(F.col("c").alias("b"), F.col("grams").alias("y"))
     small = F.octet_length("x") >= F.octet_length("y") * least  # else the sizes alone forbid it
     large = F.octet_length("y") >= F.octet_length("x") * least
     both = pairs.join(one, "a").join(two, "b").where(small & large).select("a", "b", "x", "y")
     with small_batches(docs.sparkSession, 512):
-        out = cut(both.mapInArrow(run, "a long, b long").distinct(), "links")
+        out = cut(both.mapInArrow(alone(run), "a long, b long").distinct(), "links")
     release(pairs, found)
     return out
 
@@ -223,7 +231,7 @@ def cells(docs: DataFrame, classes: DataFrame, mixed: DataFrame, shingle: int, l
     one = one.select("key", "band", spot("bt").alias("j"), every("bp").alias("i"), "c", "root", F.lit(0).alias("probe"))
     two = two.select("key", "band", spot("bp").alias("i"), every("bt").alias("j"), "c", "root", F.lit(1).alias("probe"))
     dealt = cut(one.unionByName(two), "dealt")
-    sets = cut(grams(docs, dealt.select("c").distinct(), classes, shingle), "grams")
+    sets = sets_of(docs, dealt.select("c").distinct(), classes, shingle)
     cell = ["key", "band", "i", "j"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -246,14 +254,15 @@ def cells(docs: DataFrame, classes: DataFrame, mixed: DataFrame, shingle: int, l
 
     rows = dealt.join(sets, "c").select(*cell, "probe", "c", "root", "grams").repartition(parts(docs.sparkSession), *cell).sortWithinPartitions(*cell)
     with small_batches(docs.sparkSession, 256):
-        out = cut(rows.mapInArrow(run, "a long, b long").distinct(), "links")
+        out = cut(rows.mapInArrow(alone(run), "a long, b long").distinct(), "links")
     release(both, dealt, sets)
     return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
     """doc_id, component_id: the smallest doc_id of the near-duplicate class, one row for each row of docs that has a doc_id."""
-    marks = cut(marked(docs, shingle), "marks")
+    with small_batches(docs.sparkSession, TEXTS):
+        marks = cut(marked(docs, shingle), "marks")
     classes = cut(marks.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), F.min("size").alias("size")), "classes")
     lowest = classes.select("c", "doc_id")
     roots = components(links(docs, classes, shingle, least, radius))

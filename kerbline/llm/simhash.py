@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts, ship, text_or_empty, whole_groups
+from .common import alone, cut, parts, ship, text_or_empty, whole_groups
 from .components import components
 
 SEED = 42
@@ -135,7 +135,7 @@ def link_classes(fps: DataFrame, radius: int = 3, block: int = 8192) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], ["a", "b"])
 
     dealt = rows.repartition(parts(fps.sparkSession), *cell).sortWithinPartitions(*cell)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(alone(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
