@@ -24,10 +24,11 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release, ship, text_or_empty
+from .common import cut, kept, release, ship, text_or_empty
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,9 +38,10 @@ class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own output.
 
     The vocabulary's tokens never cross white space, so a text is the concatenation of its white-space separated words,
-    and a word that of its pre-tokens. Words are looked up in a table of bounded size; what is missing is encoded in one
-    call for all of a batch and split again at the marks that end a word. Words with anything but letters, digits and
-    ASCII punctuation go to the tokenizer one by one, as do those with characters that normalisation might compose.
+    and a word that of its pre-tokens. Words are looked up in a table of bounded size, which a worker keeps for its next
+    tasks; what is missing is encoded in one call for all of a batch and split again at the marks that end a word. Words
+    with anything but letters, digits and ASCII punctuation go to the tokenizer one by one, as do those with characters
+    that normalisation might compose.
     """
 
     def __init__(self, path: str, room: int = 600_000):
@@ -74,42 +76,47 @@ class Encoder:
         found = self.tk.encode_batch_fast(words, add_special_tokens=False)
         return {w: self._pack(e.ids) for w, e in zip(words, found, strict=True)}
 
-    def _words(self, text: str) -> list[str]:
-        """Chunks that the tokenizer would treat one by one; lower case and apart from closing marks where that is surely the same."""
-        if _latin(text):
-            text = text.lower() + "\n"
+    def _apart(self, text: str) -> str:
+        """Chunks that the tokenizer would treat one by one, between spaces; lower case and apart from closing marks where that is surely the same."""
+        text = text.replace("\n", " ")
+        if text.isascii() or _latin(text):
+            text = text.lower() + " "
             if not _MARKS.search(text):
-                text = text.replace(", ", " , ").replace(". ", " . ").replace(",\n", " ,\n").replace(".\n", " .\n")
-        return text.replace("\n", " ").split(" ")
+                text = text.replace(", ", " , ").replace(". ", " . ")
+        return text
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        known = self.words
-        split = [self._words(t) for t in texts]
-        found = [list(map(known.get, ws)) for ws in split]
-        holes = []
-        for ws, ids in zip(split, found, strict=True):
-            at, own = -1, []
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                own.append(at)
-            holes.append(own)
-        missing = {ws[i] for ws, own in zip(split, holes, strict=True) for i in own}
+        """Words are told apart by Arrow, so that each distinct one of the batch is looked up once; their ids are spliced by position."""
+        chunks = pc.split_pattern(pa.array([self._apart(t) for t in texts], pa.large_string()), " ")
+        coded = chunks.flatten().dictionary_encode()
+        distinct = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        words, which = pc.binary_join(distinct, pa.scalar(" ", pa.large_string()))[0].as_py().split(" "), coded.indices.to_numpy()  # words hold no space
+        found = list(map(self.words.get, words))
+        missing = [w for w, ids in zip(words, found, strict=True) if ids is None]
         if missing:
-            stems = {}
-            for w in missing:  # closing punctuation is a pre-token of its own
-                stem = w.rstrip(_TAIL)
-                if stem != w and _splits(stem, w[len(stem) :]):
-                    stems[w] = (stem, w[len(stem) :])
-            bare = missing.difference(stems).union(*stems.values())
-            fresh = self._encode([w for w in bare if w and w not in known]) | {"": b""}
-            if len(known) < self.room:
-                known |= fresh
-            get = lambda x: fresh[x] if x in fresh else known[x]
-            extra = fresh | {w: get(s) + get(p) for w, (s, p) in stems.items()}
-            for ws, ids, own in zip(split, found, holes, strict=True):
-                for i in own:
-                    ids[i] = extra[ws[i]] if ws[i] in extra else known[ws[i]]
-        return [b"".join(ids) for ids in found]
+            extra = self._fresh(missing)
+            found = [extra[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        data = np.frombuffer(b"".join(found), "<u4")
+        n = size[which]
+        ends = np.cumsum(n, dtype=np.int64)
+        ids = data[np.repeat((np.cumsum(size, dtype=np.int64) - size)[which] - (ends - n), n) + np.arange(ends[-1])]
+        cuts = np.concatenate([[0], ends])[chunks.offsets.to_numpy()].tolist()
+        return [ids[s:e].tobytes() for s, e in zip(cuts, cuts[1:], strict=False)]
+
+    def _fresh(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of words that the table does not hold; their stems and closing marks go into the table while it has room."""
+        known, stems = self.words, {}
+        for w in missing:  # closing punctuation is a pre-token of its own
+            stem = w.rstrip(_TAIL)
+            if stem != w and _splits(stem, w[len(stem) :]):
+                stems[w] = (stem, w[len(stem) :])
+        bare = set(missing).difference(stems).union(*stems.values())
+        fresh = self._encode([w for w in bare if w and w not in known]) | {"": b""}
+        if len(known) < self.room:
+            known |= fresh
+        get = lambda x: fresh[x] if x in fresh else known[x]
+        return fresh | {w: get(s) + get(p) for w, (s, p) in stems.items()}
 
 
 def _latin(text: str) -> bool:
@@ -131,9 +138,6 @@ def _splits(stem: str, tail: str) -> bool:
     return not tail or not stem or stem[-1].lower()[-1].isalpha()
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row for each piece of each document; vocabulary: a tokenizer file, by default the public word-level BPE."""
     ship(docs.sparkSession)
@@ -146,14 +150,13 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
         import public_tokenizers
 
         path = vocabulary or public_tokenizers.path("word_bpe_49k.json")
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
+        encoder = kept(("packing", path), lambda: Encoder(path))
         end = end_id.to_bytes(4, "little")
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
+            for a in range(0, b.num_rows, 512):
+                part = b.slice(a, 512)
                 cols: tuple[list, ...] = ([], [], [], [], [])
-                for doc, ids in zip(part.column("doc_id").to_pylist(), _ENCODERS[path].batch(part.column("text").to_pylist()), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.batch(part.column("text").to_pylist()), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), full)):
                         one = ids[at : at + full]

@@ -1,7 +1,7 @@
 """What Python workers hold: tables of one operator at a time, kept from task to task, and batches of bounded size."""
 
 import pyarrow as pa
-from kerbline.llm import langid, near
+from kerbline.llm import langid, near, packing
 
 
 def docs(spark, n=400):
@@ -33,6 +33,11 @@ def test_near_stage_keeps_no_tables_of_the_stage_before(spark):
     assert held(spark) == set()
 
 
+def test_tasks_of_packing_share_their_worker_s_table(spark):
+    packing.pieces(docs(spark)).write.format("noop").mode("overwrite").save()
+    assert held(spark) == {"packing"}
+
+
 def test_texts_of_the_near_stage_come_in_small_batches(spark, monkeypatch):
     seen, cut = {}, near.cut
 
