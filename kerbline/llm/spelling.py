@@ -8,7 +8,8 @@ is the same; rows join on the reduced key and on such a half, so letters that ma
 word agrees. The order of letters is then verified by edit distance.
 
 Words are counted before they move: each task folds its texts into counts, and only these are shuffled. Near words of a word are
-at most some 127 times its length, so no group grows with the corpus; forms are followed by doubling their links.
+at most some 127 times its length, so no group grows with the corpus; forms are followed by doubling their links. No join is broadcast:
+Spark sizes a side by its file and takes no account of the explode after it, which makes some 16 rows of a word.
 
 Defined cases: null text has no words, a null doc_id is written as nothing before the colon; ties between forms go to the
 smaller word in code-point order; a word is near another once, however many letters lead to it; an empty table gives no rows.
@@ -94,7 +95,7 @@ def near(words: DataFrame) -> DataFrame:
     rows = reduced(words).withColumn("place", F.xxhash64("key", "left", "half"))
     a = rows.where(~F.col("own")).select("place", F.col("word").alias("a"), F.col("n").alias("a_n"))
     b = rows.select("place", F.col("word").alias("b"), F.col("n").alias("b_n"), "own")
-    met = a.join(b, "place").where((F.col("own") | (F.col("a") < F.col("b"))) & (F.abs(F.length("a") - F.length("b")) <= 1))
+    met = a.join(b.hint("merge"), "place").where((F.col("own") | (F.col("a") < F.col("b"))) & (F.abs(F.length("a") - F.length("b")) <= 1))
     found = met.where(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n").distinct()
     there = found.select(F.col("a").alias("word"), F.col("a_n").alias("n"), F.col("b").alias("other"), F.col("b_n").alias("other_n"))
     back = found.select(F.col("b").alias("word"), F.col("b_n").alias("n"), F.col("a").alias("other"), F.col("a_n").alias("other_n"))
@@ -105,7 +106,7 @@ def forms(words: DataFrame, ratio: int = 5) -> DataFrame:
     """word, n, n_near, form (the near word of largest n, if ``ratio`` times as frequent) and form_n of every word."""
     best = F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("form")))
     pairs = near(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    joined = words.join(pairs, "word", "left")
+    joined = words.join(pairs.hint("merge"), "word", "left")
     form_n = -F.col("best.less")
     taken = form_n >= ratio * F.col("n")
     return joined.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(taken, F.col("best.form")).alias("form"), F.when(taken, form_n).alias("form_n"))
@@ -116,13 +117,13 @@ def roots(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = cut(found.where(F.col("form").isNotNull()).select("word", F.col("form").alias("to")), "forms")
     while True:
         ahead = links.select(F.col("word").alias("to"), F.col("to").alias("further"))
-        moved = cut(links.join(ahead, "to", "left").select("word", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("on")), "forms")
+        moved = cut(links.join(ahead.hint("merge"), "to", "left").select("word", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("on")), "forms")
         release(links)
         links = moved.drop("on")
         links._kerbline_path = moved._kerbline_path
         if moved.where("on").isEmpty():
             break
-    return found.join(links, "word", "left").withColumn("root", F.coalesce("to", "word")).drop("to"), links
+    return found.join(links.hint("merge"), "word", "left").withColumn("root", F.coalesce("to", "word")).drop("to"), links
 
 
 def variants(docs: DataFrame, least: int = 6, often: int = 5, ratio: int = 5, every: int = 199) -> DataFrame:

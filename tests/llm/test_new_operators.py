@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline.llm import merkle, sentence_pieces, spelling
+from kerbline.llm.common import cut
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, word string, key string, ids binary, path int, place int, n int"
 
@@ -106,6 +107,17 @@ def test_forms_are_followed_to_the_last(spark):
     assert {r["word"]: (r["form"], r["form_n"], r["n_near"]) for r in spelling.forms(tie).collect()} == {"garden": ("gardex", 25, 2), "gardex": (None, None, 2), "gardez": (None, None, 2)}
 
 
+def test_spelling_joins_are_not_broadcast(spark):
+    """A small file of words becomes many rows after the explode, which Spark's sizes do not tell."""
+    words = cut(spark.createDataFrame([("garden", 5), ("gardens", 25), ("gardex", 1)], "word string, n long"), "words")
+    found = cut(spelling.forms(words), "near")
+    linked, _ = spelling.roots(found)
+    for df in (spelling.near(words), spelling.forms(words), linked):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r["word"], r["root"]) for r in linked.collect()} == {("garden", "gardens"), ("gardens", "gardens"), ("gardex", "gardens")}
+
+
 # -- Merkle --
 
 
