@@ -164,27 +164,40 @@ def tile_units(lon: Column, lat: Column, z: Column, x: Column, y: Column, extent
     return px, ((1.0 - F.log(F.tan(r) + 1.0 / F.cos(r)) / math.pi) / 2.0 * n - y) * extent
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once: what a lambda names twice is else computed twice."""
+    return F.transform(F.array(value), f)[0]
+
+
 def clipped(coords: Column, z: Column, x: Column, y: Column, extent: int = 4096, buffer: int = 256) -> Column:
     """Pieces of a line inside a tile and its buffer, as array<struct<part,x1,y1,x2,y2>> of whole units; empty if there is none.
 
-    Each leg is cut to the interval of its parameter in which it lies between both pairs of borders.
+    Each leg is cut to the interval of its parameter in which it lies between both pairs of borders. Every vertex is placed once.
     """
     low, high = float(-buffer), float(extent + buffer)
 
+    def placed(c: Column) -> Column:
+        px, py = tile_units(c["lon"], c["lat"], z, x, y, extent)
+        return F.struct(px.alias("x"), py.alias("y"))
+
+    def leg(a: Column, b: Column) -> Column:
+        return F.struct(a["x"].alias("x"), a["y"].alias("y"), (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy"))
+
     def inside(p: Column, d: Column) -> tuple[Column, Column]:
         a, b = (low - p) / d, (high - p) / d
         still = F.when(p.between(low, high), 0.0).otherwise(2.0)  # enters after the end: nowhere
         return F.when(d == 0, still).otherwise(F.least(a, b)), F.when(d == 0, 1.0).otherwise(F.greatest(a, b))
 
-    def piece(leg: Column, i: Column) -> Column:
-        (ax, ay), (bx, by) = (tile_units(leg[k]["lon"], leg[k]["lat"], z, x, y, extent) for k in ("a", "b"))
-        (x0, x1), (y0, y1) = inside(ax, bx - ax), inside(ay, by - ay)
-        s, e = F.greatest(F.lit(0.0), x0, y0), F.least(F.lit(1.0), x1, y1)
+    def piece(g: Column, i: Column) -> Column:
+        (x0, x1), (y0, y1) = inside(g["x"], g["dx"]), inside(g["y"], g["dy"])
         whole = lambda v, n: F.round(v).cast("int").alias(n)
-        cut = F.struct(i.alias("part"), whole(ax + s * (bx - ax), "x1"), whole(ay + s * (by - ay), "y1"), whole(ax + e * (bx - ax), "x2"), whole(ay + e * (by - ay), "y2"))
-        return F.when(s < e, cut)
+        at = lambda t, n: (whole(g["x"] + t * g["dx"], f"x{n}"), whole(g["y"] + t * g["dy"], f"y{n}"))
+        span = F.struct(F.greatest(F.lit(0.0), x0, y0).alias("s"), F.least(F.lit(1.0), x1, y1).alias("e"))
+        return _once(span, lambda t: F.when(t["s"] < t["e"], F.struct(i.alias("part"), *at(t["s"], 1), *at(t["e"], 2))))
 
-    return F.filter(F.transform(_legs(coords), piece), lambda p: p.isNotNull())
+    n = F.size(coords) - 1
+    legs = _once(F.transform(coords, placed), lambda p: F.zip_with(F.slice(p, F.lit(1), n), F.slice(p, F.lit(2), n), leg))
+    return F.filter(F.transform(legs, piece), lambda p: p.isNotNull())
 
 
 def to_wkb(coords: Column | str) -> Column:

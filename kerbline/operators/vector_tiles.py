@@ -24,7 +24,8 @@ def tiled(segments: DataFrame, zoom: int, extent: int = 4096, buffer: int = 256)
     s = segments.withColumns({f"_{n}": c for n, c in geo.bounds(F.col("coords")).items()})
     s = s.withColumn("x", F.explode(F.sequence(geo.tile_x(F.col("_min_lon"), zoom), geo.tile_x(F.col("_max_lon"), zoom))))
     s = s.withColumn("y", F.explode(F.sequence(geo.tile_y(F.col("_max_lat"), zoom), geo.tile_y(F.col("_min_lat"), zoom))))
-    s = s.withColumns({"z": F.lit(zoom), "geometry": geo.clipped(F.col("coords"), F.lit(zoom), F.col("x"), F.col("y"), extent, buffer)})
+    clipped = geo.clipped(F.col("coords"), F.lit(zoom), F.col("x"), F.col("y"), extent, buffer)
+    s = s.withColumn("z", F.lit(zoom)).withColumn("geometry", F.explode(F.array(clipped)))  # exploded: else the filter would move below and clip once more
     return s.where(F.size("geometry") > 0).drop("_min_lon", "_min_lat", "_max_lon", "_max_lat", "coords")
 
 

@@ -170,6 +170,13 @@ def test_tile_bytes(spark):
     assert n > 30 and any(len(line) > 3 for r in tiles.values() for _, drawn in read_tile(r["tile"])[1].values() for line in drawn)
 
 
+def test_clipping_places_each_vertex_once(spark):
+    """Latitudes are projected for the two borders of a box (there, and in the filter that Spark derives of it) and once for the vertices."""
+    df = spark.createDataFrame([(1, [(-71.1, 42.35), (-71.09, 42.36)])], "segment_id long, coords array<struct<lon: double, lat: double>>")
+    plan = vector_tiles.tiled(df, 14)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("TAN(") <= 5 and plan.upper().count("ROUND(") == 4
+
+
 # -- files along the curve --
 
 
