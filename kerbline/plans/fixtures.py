@@ -137,7 +137,9 @@ def cities(spark: SparkSession, d: str) -> DataFrame:
 
 def road_segments(spark: SparkSession, d: str) -> DataFrame:
     nations = table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").cast("long").alias("city_id"))
-    s = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))  # the nation table has 25 rows at every scale
+    s = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    s = s.repartition(spark.sparkContext.defaultParallelism, "c_custkey")  # a million rows may be one row group of a few MB, hence one task; a given number is not coalesced
+    s = s.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))  # the nation table has 25 rows at every scale
     n0 = F.floor(F.col("c_custkey") / 10).cast("long")
     s = s.select(F.col("c_custkey").alias("segment_id"), "city_id", n0.alias("n0"), (n0 + 1 + F.col("c_custkey") % 3).alias("n1"))
     lon = lambda n: -71.16 + 0.5 * F.col("city_id") + 0.001 * (F.col(n) % 50)

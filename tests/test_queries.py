@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
-from kerbline.plans import ORACLES, QUERIES
+from pyspark.sql import functions as F
+
+from kerbline.plans import ORACLES, QUERIES, fixtures
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,3 +41,9 @@ def test_rewritten_joins_stay_equi_joins(spark):
     for name in ("j7_adjacency", "j9_incident_distance_join", "s9_run_delta"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_segments_are_dealt_to_all_cores(spark):
+    """The table of customers is one row group, which one task reads; what is derived of it takes long a row."""
+    tasks = fixtures.road_segments(spark, SF).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == spark.sparkContext.defaultParallelism > 1
