@@ -7,7 +7,8 @@ take one pass: that is how small cities run, by the same path as large ones.
 
 Rounds are linear but for the mass of dangling nodes, one number for each round, city and hour. So the passes run on the powers of the
 transition alone: a first series of them adds up what each power leaves on dangling nodes, from which the weight of each power
-in the result follows, and a second series adds up the powers by these weights.
+in the result follows, and a second series adds up the powers by these weights. Where no edge leads to a dangling node, as between
+roads, which lead both ways, only the first power leaves something there, and the first series is left out.
 
 A task holds the edges that lead into its block's zone. Junctions of roads have few, so that is a small multiple of the nodes; a graph
 with hubs wants smaller blocks and less depth, and the in-edges of a single hub still meet in one task.
@@ -51,6 +52,38 @@ def zones(home: DataFrame, links: DataFrame, depth: int) -> tuple[DataFrame, Dat
     return zone, cut(links.select("city_id", "u", "v", "p").join(inner, ["city_id", "v"]).select("city_id", "block", "u", "v", "p"), "zone"), False
 
 
+def steps(u, v, p, most: int = 32):
+    """A function of two tables (x, new), a row for each hour, that writes to new the sums of p * x[u] by v; nodes have falling in-degrees.
+
+    The k-th edge into each node is in the k-th layer, so a layer adds a stretch of numbers to the first nodes. What hubs have
+    beyond ``most`` layers is added up by runs.
+    """
+    import numpy as np
+
+    by = np.argsort(v, kind="stable")
+    u, v, p = u[by], v[by], p[by]
+    runs = lambda v: np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
+    first = runs(v)
+    at = np.arange(len(v)) - np.repeat(first, np.diff(np.append(first, len(v))))
+    layers = [(u[here], p[here]) for here in (np.flatnonzero(at == k) for k in range(min(most, at.max(initial=-1) + 1)))]
+    rest = np.flatnonzero(at >= most)
+    ru, rv, rp = u[rest], v[rest], p[rest]
+    rfirst = runs(rv)
+    held = np.empty(len(first))
+
+    def step(x, new) -> None:
+        new.fill(0.0)
+        for row, out in zip(x, new, strict=True):
+            for lu, lp in layers:
+                part = np.take(row, lu, out=held[: len(lu)], mode="clip")  # with a mode, as the default copies first
+                part *= lp
+                out[: len(lu)] += part
+            if len(rv):
+                out[rv[rfirst]] += np.add.reduceat(row[ru] * rp, rfirst)
+
+    return step
+
+
 def _rounds(zone: DataFrame, edges: DataFrame, state: DataFrame, many: int, final: bool, damping: float) -> DataFrame:
     """Runs ``many`` rounds in every block. state: city_id, part, node, x, and if final acc and weights (of these rounds and, last, of
     what is left). Returns rows of nodes (x after the rounds, acc) and, with node null, of blocks (mass on dangling nodes before each)."""
@@ -65,26 +98,25 @@ def _rounds(zone: DataFrame, edges: DataFrame, state: DataFrame, many: int, fina
             return pa.table({k: pa.array([], t) for k, t in schema})
         width = len(n["x"][0])
         order = np.argsort(n["node"].to_numpy(), kind="stable")
+        u, v = (np.searchsorted(n["node"].to_numpy()[order], e[k].to_numpy()) for k in ("u", "v"))
+        fall = np.argsort(-np.bincount(v, minlength=rows), kind="stable")  # nodes by falling in-degree
+        order, place = order[fall], np.empty(rows, np.int64)
+        place[fall] = np.arange(rows)
+        step = steps(place[u], place[v], damping * e["p"].to_numpy())
         ids, own, dangling = (n[k].to_numpy()[order] for k in ("node", "own", "dangling"))
-        table = lambda k: n[k].combine_chunks().flatten().to_numpy().reshape(rows, -1)[order]
-        x = table("x")
+        table = lambda k: np.ascontiguousarray(n[k].combine_chunks().flatten().to_numpy().reshape(rows, -1)[order].T)
+        x, new = table("x"), np.empty((width, rows))
         acc = table("acc") if final else None
         weight = np.array(n["weights"][0].as_py()).reshape(many, width) if final else None
-        u, v = (np.searchsorted(ids, e[k].to_numpy()) for k in ("u", "v"))
-        by = np.argsort(v, kind="stable")
-        u, v, p = u[by], v[by], damping * e["p"].to_numpy()[by]
-        first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else v
-        lost = own & dangling
+        lost = np.flatnonzero(own & dangling)
         mass = np.zeros((many, width))
         for k in range(many):
-            mass[k] = x[lost].sum(axis=0)
+            mass[k] = x[:, lost].sum(axis=1)
             if final:
-                acc += weight[k] * x
-            new = np.zeros_like(x)
-            if len(v):
-                new[v[first]] = np.add.reduceat(x[u] * p[:, None], first, axis=0)
-            x = new
-        listed = lambda a: pa.FixedSizeListArray.from_arrays(pa.array(a[own].ravel()), width).cast(pa.list_(pa.float64()))
+                acc += weight[k][:, None] * x
+            step(x, new)
+            x, new = new, x
+        listed = lambda a: pa.FixedSizeListArray.from_arrays(pa.array(a[:, own].T.ravel()), width).cast(pa.list_(pa.float64()))
         m, none = int(own.sum()), pa.nulls(1, pa.list_(pa.float64()))
         back = lambda a: pa.concat_arrays([listed(a), none]) if a is not None else pa.nulls(m + 1, pa.list_(pa.float64()))
         told = [pa.array([n["city_id"][0].as_py()] * (m + 1), pa.int64()), pa.array([n["part"][0].as_py()] * (m + 1), pa.int32()), pa.array([*ids[own].tolist(), None], pa.int64())]
@@ -114,6 +146,21 @@ def weights(mass: list[float], width: int, damping: float) -> list[float]:
     return c[::-1].ravel().tolist()
 
 
+def _masses(zone: DataFrame, edges: DataFrame, start: DataFrame, spans: list[tuple[int, int]], damping: float) -> tuple[DataFrame, list[DataFrame]]:
+    """city_id, part, mass: what each power of the transition leaves on dangling nodes, by round and hour; and what was stored for it."""
+    state, masses, last = start.select("city_id", "part", "node", "x"), [], []
+    for k, many in spans:
+        done = cut(_rounds(zone, edges, state, many, False, damping), "powers")
+        masses.append(done.where("node IS NULL").select("city_id", "part", F.posexplode("mass").alias("i", "m"), F.lit(k).alias("k")))
+        state = done.where("node IS NOT NULL").select("city_id", "part", "node", "x")
+        last.append(done)
+    mass = masses[0]
+    for m in masses[1:]:
+        mass = mass.unionByName(m)
+    mass = mass.groupBy("city_id", "part", "k", "i").agg(F.sum("m").alias("m")).groupBy("city_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "i", "m"))), lambda s: s["m"]).alias("mass"))  # rounds times hours numbers
+    return mass, last
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, normalise: bool = True, rounds: int = 100, tolerance: float = 1e-12, block: int = BLOCK, depth: int = 10, hours: int = 6) -> DataFrame:
     """Personalised PageRank whose teleport is the input; dangling mass teleports; a city and hour without input is 0.
 
@@ -144,16 +191,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, normalis
 
     step = rounds if closed else depth
     spans = [(k, min(step, rounds - k)) for k in range(0, rounds, step)]
-    state, masses, last = start.select("city_id", "part", "node", "x"), [], []
-    for k, many in spans:
-        done = cut(_rounds(zone, inner, state, many, False, damping), "powers")
-        masses.append(done.where("node IS NULL").select("city_id", "part", F.posexplode("mass").alias("i", "m"), F.lit(k).alias("k")))
-        state = done.where("node IS NOT NULL").select("city_id", "part", "node", "x")
-        last.append(done)
-    mass = masses[0]
-    for m in masses[1:]:
-        mass = mass.unionByName(m)
-    mass = mass.groupBy("city_id", "part", "k", "i").agg(F.sum("m").alias("m")).groupBy("city_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "i", "m"))), lambda s: s["m"]).alias("mass"))  # rounds times hours numbers
+    sinks = home.where("dangling").select("city_id", F.col("node").alias("v"))
+    if links.join(sinks, ["city_id", "v"], "left_semi").isEmpty():  # then only the first power, what teleports, is there
+        lost = start.join(sinks.withColumnRenamed("v", "node"), ["city_id", "node"]).select("city_id", "part", F.posexplode("x").alias("i", "m"))
+        lost = lost.groupBy("city_id", "part", "i").agg(F.sum("m").alias("m")).groupBy("city_id", "part").agg(F.map_from_entries(F.collect_list(F.struct("i", "m"))).alias("lost"))  # hours numbers
+        every = F.sequence(F.lit(0), rounds * F.size("hours") - 1)
+        mass = clock.join(lost, ["city_id", "part"], "left").select("city_id", "part", F.transform(every, lambda i: F.coalesce(F.try_element_at("lost", i), F.lit(0.0))).alias("mass"))
+        last = []
+    else:
+        mass, last = _masses(zone, inner, start, spans, damping)
     weigh = F.arrow_udf(lambda m, w: _weigh(m, w, damping), "array<double>")
     plan = cut(mass.join(clock, ["city_id", "part"]).select("city_id", "part", F.size("hours").alias("width"), weigh("mass", F.size("hours")).alias("weights")), "weights")
     release(*last)

@@ -59,7 +59,8 @@ def junction_scores(x: Inputs) -> DataFrame:
 
 def history_scores(x: Inputs) -> DataFrame:
     at = F.lit(f"{x.date} 12:00:00").cast("timestamp")
-    return _sure(historical.scores(x.segments, x.incidents, at).select("city_id", "segment_id", F.col("score").alias("value")))
+    incidents = cut(x.incidents.select("city_id", "provider_incident_id", "lon", "lat", "incident_at", "severity"), "incidents")  # read twice
+    return _sure(historical.scores(x.segments, incidents, at).select("city_id", "segment_id", F.col("score").alias("value")))
 
 
 for _name, _scorer in (("glare", glare_scores), ("lane_marking", lane_scores), ("junction_complexity", junction_scores), ("historical", history_scores)):
@@ -84,8 +85,9 @@ def sub_scores(x: Inputs, names: Sequence[str]) -> DataFrame:
 
 
 def inputs(segments: DataFrame, imagery: DataFrame, incidents: DataFrame, date: str, hours: Sequence[int]) -> Inputs:
-    """segments: lines (coords); what scorers read of them is derived once."""
-    return Inputs(topology.scoring_view(segments), imagery, incidents, topology.topology(segments), date, tuple(hours))
+    """segments: lines (coords); what scorers read of them is derived once, and written, as every scorer reads it."""
+    view = cut(topology.scoring_view(segments), "segments")
+    return Inputs(view, imagery, incidents, cut(topology.topology(view), "topology"), date, tuple(hours))
 
 
 def scoring_run(segments: DataFrame, imagery: DataFrame, incidents: DataFrame, date: str, hours: Sequence[int] = tuple(range(24)), strategy: str = "pagerank-diffusion", weights: Mapping[str, float] = risk.WEIGHTS, **params) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from kerbline.operators import graph, index
+from kerbline.operators import graph, index, pagerank
 
 
 def frames(spark, inputs, edges):
@@ -73,6 +73,32 @@ def test_blocks_of_any_size_agree(spark, block, depth, rounds):
     assert got == pytest.approx(want, abs=1e-12)
 
 
+@pytest.mark.parametrize(("edges", "passes"), [(both((0, 1), (1, 2), (2, 3), (3, 4)), 2), ([(0, 1, 1.0), (1, 2, 1.0), (2, 0, 1.0), (2, 4, 1.0)], 4)])
+def test_a_pass_for_dangling_mass_only_where_edges_lead_to_it(spark, monkeypatch, edges, passes):
+    """Node 5 has no edge at all; in the second graph an edge leads to node 4, which has none of its own."""
+    run, seen = pagerank._rounds, []
+    monkeypatch.setattr(pagerank, "_rounds", lambda *a: (seen.append(a[4]), run(*a))[1])
+    inputs = [1.0, 0.0, 2.0, 0.5, 0.0, 3.0]
+    got = values(graph.pagerank(*frames(spark, inputs, edges), normalise=False, rounds=6, block=2, depth=3))
+    assert [got[i] for i in range(6)] == pytest.approx(plain_pagerank(inputs, edges, 0.85, 6), abs=1e-12)
+    assert len(seen) == passes and sum(seen) == 2
+
+
+@pytest.mark.parametrize("most", [0, 1, 3, 32])
+def test_steps_add_up_the_edges_of_hubs(most):
+    import numpy as np
+
+    rng = np.random.default_rng(most)
+    u, v, p = rng.integers(0, 40, 400), np.sort(rng.integers(0, 40, 400) ** 2 // 40), rng.random(400)
+    fall = np.argsort(-np.bincount(v, minlength=40), kind="stable")
+    place = np.argsort(fall)
+    x, new, want = rng.random((3, 40)), np.empty((3, 40)), np.zeros((3, 40))
+    for a, b, w in zip(place[u], place[v], p, strict=True):
+        want[:, b] += w * x[:, a]
+    pagerank.steps(place[u], place[v], p, most)(x, new)
+    assert new == pytest.approx(want, abs=1e-12)
+
+
 def test_dense_numbers(spark):
     rng = random.Random(3)
     rows = [(c, rng.randrange(10**9)) for c in (1, 1, 1, 2, 3) for _ in range(70)]

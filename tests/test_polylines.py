@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbline.functions import geo
-from kerbline.operators import topology
+from kerbline.operators import scoring, topology
 
 LINES = "segment_id long, city_id long, highway string, lanes string, coords array<struct<lon: double, lat: double>>"
 
@@ -85,3 +85,13 @@ def test_coincident_vertices(spark):
     r = topology.topology(s).first()
     assert (r["start_bearing"], r["end_bearing"], r["lanes"], r["road_class"]) == (0.0, 0.0, 2, "unclassified")
     assert topology.scoring_view(s).first()["mid_lon"] == 1.0
+
+
+def test_what_scorers_read_of_lines_is_written_once(frame, lines):
+    """Every scorer reads it, and centroids take long."""
+    x = scoring.inputs(frame, None, None, "2025-06-21", (12,))
+    for df in (x.segments, x.topo):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Scan parquet" in plan and "lambda" not in plan
+    want = {r["segment_id"]: r for r in topology.scoring_view(frame).collect()}
+    assert {r["segment_id"]: r for r in x.segments.collect()} == want and x.topo.count() == len(lines)
