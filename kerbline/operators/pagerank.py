@@ -17,6 +17,7 @@ with hubs wants smaller blocks and less depth, and the in-edges of a single hub
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,16 +41,26 @@ def zones(home: DataFrame, links: DataFrame, depth: int) -> tuple[DataFrame, Dat
     own = home.select("city_id", "block", "node", F.lit(0).alias("far"))
     if links.where("bu <> bv").isEmpty():
         return own, links.select("city_id", F.col("bv").alias("block"), "u", "v", "p"), True
-    zone = front = cut(own, "zone")
-    into = links.select("city_id", F.col("u"), F.col("v").alias("node"))
+    into = links.select("city_id", "u", "bu", F.col("v").alias("node"))
+    met, rings = links.where("bu <> bv").select("city_id", F.col("bv").alias("block"), F.col("u").alias("node")), []
     for far in range(1, depth + 1):
-        met = front.join(into, ["city_id", "node"]).select("city_id", "block", F.col("u").alias("node")).distinct()
-        new = cut(met.join(zone, ["city_id", "block", "node"], "left_anti").withColumn("far", F.lit(far)), "zone")
+        met = met.distinct()
+        if rings:
+            met = met.join(_all(rings), ["city_id", "block", "node"], "left_anti")
+        new = cut(met.withColumn("far", F.lit(far)), "zone")
         if new.isEmpty():
             break
-        zone, front = cut(zone.unionByName(new), "zone"), new
+        rings.append(new)
+        met = new.join(into, ["city_id", "node"]).where("bu <> block").select("city_id", "block", F.col("u").alias("node"))  # only what borders on a block is followed
+    zone = cut(own.unionByName(_all(rings)), "zone")
     inner = zone.where(F.col("far") < depth).select("city_id", "block", F.col("node").alias("v"))
-    return zone, cut(links.select("city_id", "u", "v", "p").join(inner, ["city_id", "v"]).select("city_id", "block", "u", "v", "p"), "zone"), False
+    edges = cut(links.select("city_id", "u", "v", "p").join(inner, ["city_id", "v"]).select("city_id", "block", "u", "v", "p"), "zone")
+    release(*rings)
+    return zone, edges, False
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
 
 
 def steps(u, v, p, most: int = 32):
@@ -84,20 +95,22 @@ def steps(u, v, p, most: int = 32):
     return step
 
 
-def _rounds(zone: DataFrame, edges: DataFrame, state: DataFrame, many: int, final: bool, damping: float) -> DataFrame:
-    """Runs ``many`` rounds in every block. state: city_id, part, node, x, and if final acc and weights (of these rounds and, last, of
-    what is left). Returns rows of nodes (x after the rounds, acc) and, with node null, of blocks (mass on dangling nodes before each)."""
+def _rounds(zone: DataFrame, edges: DataFrame, state: DataFrame, many: int, final: bool, damping: float, told: DataFrame) -> DataFrame:
+    """Runs ``many`` rounds in every block. state: city_id, part, node, x, and if final acc. told: city_id, part, and if final the weights
+    of these rounds; they come once for a block, with its edges. Returns rows of nodes (x after the rounds, acc) and, with node null, of blocks (mass on dangling nodes before each)."""
     ship(zone.sparkSession)
 
     def block(n, e):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         rows = n.num_rows
         if not rows:
             return pa.table({k: pa.array([], t) for k, t in schema})
         width = len(n["x"][0])
         order = np.argsort(n["node"].to_numpy(), kind="stable")
+        once, e = e.filter(pc.is_null(e["u"])), e.filter(pc.is_valid(e["u"]))
         u, v = (np.searchsorted(n["node"].to_numpy()[order], e[k].to_numpy()) for k in ("u", "v"))
         fall = np.argsort(-np.bincount(v, minlength=rows), kind="stable")  # nodes by falling in-degree
         order, place = order[fall], np.empty(rows, np.int64)
@@ -107,7 +120,7 @@ def _rounds(zone: DataFrame, edges: DataFrame, state: DataFrame, many: int, fina
         table = lambda k: np.ascontiguousarray(n[k].combine_chunks().flatten().to_numpy().reshape(rows, -1)[order].T)
         x, new = table("x"), np.empty((width, rows))
         acc = table("acc") if final else None
-        weight = np.array(n["weights"][0].as_py()).reshape(many, width) if final else None
+        weight = once["p"].to_numpy()[np.argsort(once["v"].to_numpy())].reshape(many, width) if final else None
         lost = np.flatnonzero(own & dangling)
         mass = np.zeros((many, width))
         for k in range(many):
@@ -128,9 +141,12 @@ def _rounds(zone: DataFrame, edges: DataFrame, state: DataFrame, many: int, fina
     schema = [("city_id", pa.int64()), ("part", pa.int32()), ("node", pa.int64()), ("x", pa.list_(pa.float64())), ("acc", pa.list_(pa.float64())), ("mass", pa.list_(pa.float64()))]
     keys = ["city_id", "part", "block"]
     left = zone.join(state, ["city_id", "node"]).withColumn("own", F.col("far") == 0)
-    left = left.select(*keys, "node", "own", "dangling", "x", *(["acc", "weights"] if final else []))
-    parts = state.select("city_id", "part").distinct().withColumn("part", F.col("part") + 0)  # a few for each city; a column of its own
-    right = edges.join(parts, "city_id").select(*keys, "u", "v", "p")
+    left = left.select(*keys, "node", "own", "dangling", "x", *(["acc"] if final else []))
+    right = edges.join(F.broadcast(told.select("city_id", "part")), "city_id").select(*keys, "u", "v", "p")  # a few rows a city
+    if final:
+        own = zone.select("city_id", "block").distinct().join(told, "city_id")
+        # as rows without u: Arrow's writer takes long over a column of arrays that are mostly null
+        right = right.unionByName(own.select(*keys, F.lit(None).cast("long").alias("u"), F.posexplode("weights").alias("v", "p")).withColumn("v", F.col("v").cast("long")))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, "city_id long, part int, node long, x array<double>, acc array<double>, mass array<double>")
 
 
@@ -146,11 +162,11 @@ def weights(mass: list[float], width: int, damping: float) -> list[float]:
     return c[::-1].ravel().tolist()
 
 
-def _masses(zone: DataFrame, edges: DataFrame, start: DataFrame, spans: list[tuple[int, int]], damping: float) -> tuple[DataFrame, list[DataFrame]]:
+def _masses(zone: DataFrame, edges: DataFrame, start: DataFrame, spans: list[tuple[int, int]], damping: float, clock: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """city_id, part, mass: what each power of the transition leaves on dangling nodes, by round and hour; and what was stored for it."""
     state, masses, last = start.select("city_id", "part", "node", "x"), [], []
     for k, many in spans:
-        done = cut(_rounds(zone, edges, state, many, False, damping), "powers")
+        done = cut(_rounds(zone, edges, state, many, False, damping, clock), "powers")
         masses.append(done.where("node IS NULL").select("city_id", "part", F.posexplode("mass").alias("i", "m"), F.lit(k).alias("k")))
         state = done.where("node IS NOT NULL").select("city_id", "part", "node", "x")
         last.append(done)
@@ -182,7 +198,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, normalis
     total = nodes.groupBy("city_id", "hour").agg(F.sum("input").alias("total"))
     given = nodes.select("city_id", "hour", part, F.col("node").cast("long").alias("node"), "input").join(total, ["city_id", "hour"])
     given = given.withColumn("t", F.when(F.col("total") != 0, F.col("input") / F.col("total")).otherwise(0.0))
-    clock = given.groupBy("city_id", "part").agg(F.sort_array(F.collect_set("hour")).alias("hours"))  # a few numbers a row
+    clock = cut(given.groupBy("city_id", "part").agg(F.sort_array(F.collect_set("hour")).alias("hours")), "clock")  # a few numbers a row
     given = given.groupBy("city_id", "hour", "part", "node").agg(F.sum("t").alias("t"))
     told = given.groupBy("city_id", "part", "node").agg(F.map_from_entries(F.collect_list(F.struct(F.col("hour"), F.col("t")))).alias("by_hour"))
     lined: Column = F.transform("hours", lambda h: F.coalesce(F.try_element_at("by_hour", h), F.lit(0.0)))
@@ -199,7 +215,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, normalis
         mass = clock.join(lost, ["city_id", "part"], "left").select("city_id", "part", F.transform(every, lambda i: F.coalesce(F.try_element_at("lost", i), F.lit(0.0))).alias("mass"))
         last = []
     else:
-        mass, last = _masses(zone, inner, start, spans, damping)
+        mass, last = _masses(zone, inner, start, spans, damping, clock)
     weigh = F.arrow_udf(lambda m, w: _weigh(m, w, damping), "array<double>")
     plan = cut(mass.join(clock, ["city_id", "part"]).select("city_id", "part", F.size("hours").alias("width"), weigh("mass", F.size("hours")).alias("weights")), "weights")
     release(*last)
@@ -207,7 +223,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, normalis
     state = start.select("city_id", "part", "node", "x", F.transform("x", lambda v: v * 0.0).alias("acc"))
     for k, many in spans:
         own = plan.select("city_id", "part", F.slice("weights", F.col("width") * k + 1, F.col("width") * many).alias("weights"))
-        done = cut(_rounds(zone, inner, state.join(own, ["city_id", "part"]), many, True, damping).where("node IS NOT NULL"), "sums")
+        done = cut(_rounds(zone, inner, state, many, True, damping, own).where("node IS NOT NULL"), "sums")
         state = done.select("city_id", "part", "node", "x", "acc")
     pi = state.join(start.select("city_id", "part", "node", "hours"), ["city_id", "part", "node"]).select("city_id", "part", "node", F.explode(F.arrays_zip("hours", F.zip_with("acc", "x", lambda a, b: a + b).alias("pi"))).alias("z"))
     pi = pi.select("city_id", F.col("z.hours").alias("hour"), "node", F.col("z.pi").alias("uplift"))
@@ -217,7 +233,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, normalis
         top = out.groupBy("city_id", "hour").agg(F.max("uplift").alias("top"))
         out = out.join(top, ["city_id", "hour"]).withColumn("uplift", F.when(F.col("top") > 0, F.col("uplift") / F.col("top")).otherwise(F.col("uplift"))).drop("top")
     out = cut(out, "rank")
-    release(share, home, links, start, plan, *stored)
+    release(share, home, links, clock, start, plan, *stored)
     return out
 
 
